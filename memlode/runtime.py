@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +46,22 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared checkpoint folder and reads it from there: survives the loss of executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` as a Parquet table in the shared folder and returns the table read from there.
+
+    Unlike ``cut`` its columns can be pruned on reading. Tables of one application lie in one folder, which
+    ``sweep`` removes once its results are no longer needed.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/memlode-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Removes the tables that ``kept`` wrote for this application."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/memlode-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
