@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlode.llm import copies, near
+from memlode.llm import copies, leak, near
 from memlode.llm.sql import SQL  # noqa: F401
 from memlode.sources.parquet import table
 
@@ -28,4 +28,17 @@ def p6_ball(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_duplicates(table(spark, folder, "memories"), method="ball").select(F.col("id_a").alias("memory_id_a"), F.col("id_b").alias("memory_id_b"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_ball": p6_ball}
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leak.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).select(F.col("doc_id").cast("bigint").alias("doc_id"), "item_id").distinct()
+
+
+def p7_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Per leaked item: documents, and words to remove from them."""
+    return _leaks(spark, folder).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.sum(F.col("end_word") - F.col("start_word")).alias("words"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_ball": p6_ball, "p7_found": p7_found, "p7_items": p7_items}

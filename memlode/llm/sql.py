@@ -38,3 +38,13 @@ where shared >= 0.5 * (x.n + y.n - shared) and r.record <> s.record
 """
 )
 SQL["p6_found"] = _NEAR
+_LEAKS = r"""
+with d as (select distinct doc_id, list_filter(regexp_split_to_array(replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), 'ς', 'σ'), '[^\p{L}\p{N}]+'), lambda x: x <> '') w from documents where text is not null),
+i as (select distinct item_id, list_filter(regexp_split_to_array(replace(replace(lower(nfc_normalize(passage)), 'ß', 'ss'), 'ς', 'σ'), '[^\p{L}\p{N}]+'), lambda x: x <> '') w from eval_items where passage is not null),
+r as (select item_id, array_to_string(w[k:k + 11], ' ') phrase from (select item_id, w, unnest(range(1, len(w) - 10)) k from i)),
+o as (select phrase, min(item_id) item_id from r group by 1 having count(distinct item_id) = 1),
+h as (select doc_id, k, array_to_string(w[k:k + 11], ' ') phrase from (select doc_id, w, unnest(range(1, len(w) - 10)) k from d)),
+f as (select distinct doc_id, item_id, k from h join o using (phrase))
+"""
+SQL["p7_found"] = _LEAKS + "select distinct doc_id, item_id from f"
+SQL["p7_items"] = _LEAKS + "select item_id, count(distinct doc_id) documents, count(*)::bigint words from (select distinct doc_id, item_id, k + unnest(range(0, 12)) from f) group by 1"
