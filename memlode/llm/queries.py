@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlode.llm import copies, leak, near
+from memlode.llm import copies, leak, near, vectors
 from memlode.llm.sql import SQL  # noqa: F401
 from memlode.sources.parquet import table
 
 _NEWEST = ["updated_at", "version"]
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = vectors.similar_pairs(table(spark, folder, "memories"), "id", "embedding", _NEWEST, least=0.93)
+    return pairs.select(F.col("id_a").alias("memory_id_a"), F.col("id_b").alias("memory_id_b"))
+
+
+def p2_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest of every memory whose number is divisible by 50, among all memories."""
+    rows = table(spark, folder, "memories")
+    asked = rows.where(F.regexp_extract("id", r"(\d+)$", 1).cast("bigint") % 50 == 0).select("id").distinct()
+    return vectors.nearest(rows, "id", "embedding", _NEWEST, spread=8, keep=100, queries=asked).select("id", "other_id", F.round("cosine", 6).alias("cosine"), "place")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return copies.copies(copies.record_keys(table(spark, folder, "memories"), "id", "content", _NEWEST))
 
@@ -41,4 +53,4 @@ def p7_items(spark: SparkSession, folder: str) -> DataFrame:
     return _leaks(spark, folder).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.sum(F.col("end_word") - F.col("start_word")).alias("words"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_ball": p6_ball, "p7_found": p7_found, "p7_items": p7_items}
+QUERIES = {"p2_found": p2_found, "p2_nearest": p2_nearest, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_ball": p6_ball, "p7_found": p7_found, "p7_items": p7_items}

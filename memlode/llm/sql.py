@@ -48,3 +48,13 @@ f as (select distinct doc_id, item_id, k from h join o using (phrase))
 """
 SQL["p7_found"] = _LEAKS + "select distinct doc_id, item_id from f"
 SQL["p7_items"] = _LEAKS + "select item_id, count(distinct doc_id) documents, count(*)::bigint words from (select distinct doc_id, item_id, k + unnest(range(0, 12)) from f) group by 1"
+SQL["p2_found"] = """
+with v as (
+  select id, list_transform(arg_max(embedding, (updated_at, version)), lambda x: x::double) v from memories where id is not null and embedding is not null group by id),
+u as (
+  select id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) u from v
+  where len(v) = 64 and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and list_dot_product(v, v) > 0),
+a as (select a.id a, b.id b, list_dot_product(a.u, b.u) c from u a join u b on a.id <> b.id),
+r as (select *, row_number() over (partition by a order by c desc, b) n from a)
+select distinct least(a, b) memory_id_a, greatest(a, b) memory_id_b from r where n <= 5 and c >= 0.93
+"""
