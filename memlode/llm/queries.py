@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlode.llm import copies, leak, near, vectors
+from memlode.llm import copies, leak, near, subjects, vectors
 from memlode.llm.sql import SQL  # noqa: F401
 from memlode.sources.parquet import table
 
@@ -53,4 +53,19 @@ def p7_items(spark: SparkSession, folder: str) -> DataFrame:
     return _leaks(spark, folder).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.sum(F.col("end_word") - F.col("start_word")).alias("words"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_nearest": p2_nearest, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_ball": p6_ball, "p7_found": p7_found, "p7_items": p7_items}
+def _subjects(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    names = [r[0] for r in table(spark, folder, "subjects").select("subject").distinct().collect()]
+    return table(spark, folder, "documents"), table(spark, folder, "subject_labels"), names
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.subjects_of(*_subjects(spark, folder)).select(F.col("doc_id").cast("bigint").alias("doc_id"), "subject")
+
+
+def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents per subject, and what the posteriors expect."""
+    rows = subjects.subject_posteriors(*_subjects(spark, folder))
+    return rows.groupBy("subject").agg(F.count_if(F.col("posterior") >= 0.5).alias("documents"), F.round(F.sum("posterior"), 3).alias("expected"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_nearest": p2_nearest, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_ball": p6_ball, "p7_found": p7_found, "p7_items": p7_items, "p9_found": p9_found, "p9_composition": p9_composition}
