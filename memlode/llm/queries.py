@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlode.llm import copies, leak, near, subjects, vectors
+from memlode.llm import copies, leak, near, pii, subjects, vectors
 from memlode.llm.sql import SQL  # noqa: F401
-from memlode.sources.parquet import table
+from memlode.sources.parquet import newest, table
 
 _NEWEST = ["updated_at", "version"]
 
@@ -24,6 +24,20 @@ def p2_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.nearest(rows, "id", "embedding", _NEWEST, spread=8, keep=100, queries=asked).select("id", "other_id", F.round("cosine", 6).alias("cosine"), "place")
 
 
+def _contents(spark: SparkSession, folder: str) -> list[tuple[str, DataFrame]]:
+    memories = newest(table(spark, folder, "memories").select("id", "content", "updated_at", "version"), "id", ["content"], _NEWEST)
+    requests = newest(table(spark, folder, "remember_requests").select("request_id", "content", "received_at"), "request_id", ["content"], ["received_at"])
+    return [("memories", memories.toDF("record_id", "text")), ("remember_requests", requests.toDF("record_id", "text"))]
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_spans(_contents(spark, folder)).select("table_name", "record_id", "kind", "start_at")
+
+
+def p4_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.redacted(_contents(spark, folder))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return copies.copies(copies.record_keys(table(spark, folder, "memories"), "id", "content", _NEWEST))
 
@@ -68,4 +82,4 @@ def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("subject").agg(F.count_if(F.col("posterior") >= 0.5).alias("documents"), F.round(F.sum("posterior"), 3).alias("expected"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_nearest": p2_nearest, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_ball": p6_ball, "p7_found": p7_found, "p7_items": p7_items, "p9_found": p9_found, "p9_composition": p9_composition}
+QUERIES = {"p2_found": p2_found, "p2_nearest": p2_nearest, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_ball": p6_ball, "p7_found": p7_found, "p7_items": p7_items, "p9_found": p9_found, "p9_composition": p9_composition}
