@@ -40,10 +40,13 @@ def sketches(rows: DataFrame, id_column: str, group_column: str, text_column: st
     list joining one that is).
     """
     base = rows.select(F.col(id_column).cast("string").alias("id"), F.col(group_column).cast("string").alias("owner"), folded(composed(F.col(text_column))).alias("_text"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
-    record = F.coalesce(F.unhex(F.md5(field_list(F.col("_text")))), F.unhex(F.md5(letters_and_digits(F.col("_text")))))
     orders = [f"_o{i}" for i in range(len(order))]
-    made = base.where("id is not null and owner is not null and _text is not null").select("id", "owner", record.alias("record"), shingles(words(F.col("_text")), size).alias("grams"), *orders)
-    made = made.withColumn("kind", F.unhex(F.md5(F.concat(F.col("record"), F.lit(b"|"), F.encode("owner", "UTF-8"), F.lit(b"|"), F.encode(F.concat_ws(",", F.array_sort("grams").cast("array<string>")), "UTF-8")))))
+    record = F.coalesce(F.unhex(F.md5(field_list(F.col("_text")))), F.unhex(F.md5(letters_and_digits(F.col("_text")))))
+    # columns that several expressions need are selected first: an expression repeated inside a lambda runs once per element
+    made = base.where("id is not null and owner is not null and _text is not null").select("id", "owner", record.alias("record"), words(F.col("_text")).alias("_words"), *orders)
+    made = made.select("id", "owner", "record", shingles(F.col("_words"), size).alias("grams"), *orders).withColumn("_sorted", F.sort_array("grams"))
+    same = [F.xxhash64(F.lit(seed), "_sorted").cast("string") for seed in (1, 2)]
+    made = made.withColumn("kind", F.unhex(F.md5(F.concat("record", F.encode(F.concat_ws("|", "owner", *same), "UTF-8"))))).drop("_sorted")
     table = kept(made, "sketches")
     # several rows of one id: only ids and what decides travel, and only of rows that hold
     latest = newest(table.select("id", "kind", *orders), "id", ["kind"], orders)
