@@ -5,13 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlode.llm import copies, leak, near, pii, subjects, vectors
+from memlode.llm import copies, leak, mix, names, near, pii, subjects, vectors
 from memlode.llm.sql import SQL  # noqa: F401
 from memlode.sources.parquet import newest, table
 
 _NEWEST = ["updated_at", "version"]
 
 
+def _linked(spark: SparkSession, folder: str) -> DataFrame:
+    return names.linked(table(spark, folder, "entities"), table(spark, folder, "entity_mentions"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return names.same_pairs(_linked(spark, folder))
+
+
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of entities by the smallest id, with their size."""
+    return _linked(spark, folder).groupBy(F.col("root").alias("entity_id")).agg(F.count("*").alias("spellings"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = vectors.similar_pairs(table(spark, folder, "memories"), "id", "embedding", _NEWEST, least=0.93)
     return pairs.select(F.col("id_a").alias("memory_id_a"), F.col("id_b").alias("memory_id_b"))
@@ -67,6 +80,14 @@ def p7_items(spark: SparkSession, folder: str) -> DataFrame:
     return _leaks(spark, folder).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.sum(F.col("end_word") - F.col("start_word")).alias("words"))
 
 
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mix.mixed(table(spark, folder, "documents"), table(spark, folder, "source_targets"))[1]
+
+
+def p8_plan(spark: SparkSession, folder: str) -> DataFrame:
+    return mix.mixed(table(spark, folder, "documents"), table(spark, folder, "source_targets"))[0]
+
+
 def _subjects(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, list[str]]:
     names = [r[0] for r in table(spark, folder, "subjects").select("subject").distinct().collect()]
     return table(spark, folder, "documents"), table(spark, folder, "subject_labels"), names
@@ -82,4 +103,4 @@ def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("subject").agg(F.count_if(F.col("posterior") >= 0.5).alias("documents"), F.round(F.sum("posterior"), 3).alias("expected"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_nearest": p2_nearest, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_ball": p6_ball, "p7_found": p7_found, "p7_items": p7_items, "p9_found": p9_found, "p9_composition": p9_composition}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_nearest": p2_nearest, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_ball": p6_ball, "p7_found": p7_found, "p7_items": p7_items, "p8_plan": p8_plan, "p8_shares": p8_shares, "p9_found": p9_found, "p9_composition": p9_composition}
