@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from memlode.plans import references
+from memlode.plans import references, relational
 
 FLAGSHIP = "p3_report"
-QUERIES = {**references.QUERIES}
-SQL = {**references.SQL}
+QUERIES = {**references.QUERIES, **relational.C.queries}
+SQL = {**references.SQL, **relational.C.sql}
