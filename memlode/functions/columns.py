@@ -23,7 +23,8 @@ def micros(column: Column | str) -> Column:
 
 def days_until(column: Column | str, now: datetime) -> Column:
     """Days from ``column`` to ``now``, at least 0; null stays null."""
-    return F.greatest((micros(at(now)) - micros(column)) / F.lit(86_400_000_000.0), F.lit(0.0))
+    moment = micros(column)
+    return F.when(moment.isNotNull(), F.greatest((micros(at(now)) - moment) / F.lit(86_400_000_000.0), F.lit(0.0)))
 
 
 def hours_between(start: Column | str, end: Column | str) -> Column:

@@ -88,5 +88,5 @@ clock as (select timestamp '2024-02-01' now_at)
 
 
 def sql_days(column: str) -> str:
-    """Days from a column to the clock, at least 0."""
-    return f"greatest((epoch_us(timestamp '2024-02-01') - epoch_us({column})) / 86400000000.0, 0)"
+    """Days from a column to the clock, at least 0, in brackets."""
+    return f"(case when {column} is not null then greatest((epoch_us(timestamp '2024-02-01') - epoch_us({column})) / 86400000000.0, 0) end)"
