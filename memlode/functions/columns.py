@@ -45,9 +45,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity in double precision; 0 for null, empty, unequal lengths or a zero norm."""
+    """Cosine similarity in double precision; 0 for null, empty, unequal lengths, a zero norm or numbers that aren't finite."""
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    fits = a.isNotNull() & b.isNotNull() & (F.size(a) == F.size(b)) & (F.size(a) > 0) & (norms > 0)
+    fits = a.isNotNull() & b.isNotNull() & (F.size(a) == F.size(b)) & (F.size(a) > 0) & (norms > 0) & (norms < float("inf"))
     return F.when(fits, dot(a, b) / norms).otherwise(F.lit(0.0))
 
 
