@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlode.functions.columns import at, micros
@@ -91,15 +91,21 @@ def next_run(schedule: Column, after: Column, zone: str = "UTC") -> Column:
     )
 
 
-def due(schedule: Column, last_run: Column, now: datetime, zone: str = "UTC") -> Column:
-    return F.coalesce(next_run(schedule, last_run, zone) <= at(now), F.lit(False))
+def due(next_at: Column, now: datetime) -> Column:
+    """Whether a run is due. Take ``next_run`` as a column first: the expression is large and needed more than once."""
+    return F.coalesce(next_at <= at(now), F.lit(False))
 
 
-def missed(schedule: Column, last_run: Column, now: datetime, zone: str = "UTC") -> Column:
+def missed(schedule: Column, next_at: Column, now: datetime) -> Column:
     """Due for longer than the grace: twice an interval, else 24 hours."""
     grace = F.when(schedule["kind"] == "interval", 2 * schedule["seconds"]).otherwise(F.lit(timedelta(days=1).total_seconds()))
-    late = (micros(at(now)) - micros(next_run(schedule, last_run, zone))) / 1e6
-    return F.coalesce(late > grace, F.lit(False))
+    return F.coalesce((micros(at(now)) - micros(next_at)) / 1e6 > grace, F.lit(False))
+
+
+def planned(rows: DataFrame, last_run: Column, zone: str = "UTC") -> DataFrame:
+    """Rows with a valid schedule tag, with columns schedule and next_at."""
+    tagged = rows.where(F.exists("tags", lambda t: t.rlike(_KINDS))).withColumn("schedule", parsed(schedule_tag(F.col("tags"))))
+    return tagged.withColumn("next_at", next_run(F.col("schedule"), last_run, zone)).where("schedule is not null")
 
 
 def seconds_of(schedule: Column) -> Column:

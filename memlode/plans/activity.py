@@ -145,22 +145,20 @@ else (select min(t) from (select date_trunc('month', base) + to_months(m::int) +
 
 @C.add(WITH + f", t as (select id, tag, coalesce(last_accessed_at, created_at) base from {_TAG} where tag is not null) select id, {_NEXT} next_run from t")
 def cron_next(spark, folder):
-    rows = memories(spark, folder, "tags", "created_at", "last_accessed_at").withColumn("s", schedule.parsed(schedule.schedule_tag(F.col("tags")))).where("s is not null")
-    return rows.select("id", schedule.next_run(F.col("s"), F.coalesce("last_accessed_at", "created_at")).alias("next_run"))
+    rows = schedule.planned(memories(spark, folder, "tags", "created_at", "last_accessed_at"), F.coalesce("last_accessed_at", "created_at"))
+    return rows.select("id", F.col("next_at").alias("next_run"))
 
 
 @C.add(WITH + f", t as (select id, tag, coalesce(last_accessed_at, created_at) base from {_TAG} where tag is not null), n as (select *, {_NEXT} next_run from t) select id, coalesce(next_run <= timestamp '2024-02-01', false) due, coalesce(timestamp '2024-02-01' - next_run > case when starts_with(tag, 'every') then interval 8 hour else interval 24 hour end, false) missed from n")
 def cron_due(spark, folder):
-    rows = memories(spark, folder, "tags", "created_at", "last_accessed_at").withColumn("s", schedule.parsed(schedule.schedule_tag(F.col("tags")))).where("s is not null")
-    last = F.coalesce("last_accessed_at", "created_at")
-    return rows.select("id", schedule.due(F.col("s"), last, NOW).alias("due"), schedule.missed(F.col("s"), last, NOW).alias("missed"))
+    rows = schedule.planned(memories(spark, folder, "tags", "created_at", "last_accessed_at"), F.coalesce("last_accessed_at", "created_at"))
+    return rows.select("id", schedule.due(F.col("next_at"), NOW).alias("due"), schedule.missed(F.col("schedule"), F.col("next_at"), NOW).alias("missed"))
 
 
 @C.add(WITH + f", t as (select id, tag, coalesce(last_accessed_at, created_at) base from {_TAG} where tag is not null), n as (select t.*, m.state, {_NEXT} next_run from t join mem m using (id)) select state, case when state not in ('active', 'stale') then 'inactive' when next_run is null then 'ended' when timestamp '2024-02-01' - next_run > case when starts_with(tag, 'every') then interval 8 hour else interval 24 hour end then 'missed' when next_run <= timestamp '2024-02-01' then 'due' else 'waiting' end diagnosis, count(*) n from n group by 1, 2")
 def cron_diagnose(spark, folder):
-    rows = memories(spark, folder, "tags", "state", "created_at", "last_accessed_at").withColumn("s", schedule.parsed(schedule.schedule_tag(F.col("tags")))).where("s is not null")
-    last = F.coalesce("last_accessed_at", "created_at")
-    said = F.when(~F.col("state").isin("active", "stale"), "inactive").when(schedule.next_run(F.col("s"), last).isNull(), "ended").when(schedule.missed(F.col("s"), last, NOW), "missed").when(schedule.due(F.col("s"), last, NOW), "due").otherwise("waiting")
+    rows = schedule.planned(memories(spark, folder, "tags", "state", "created_at", "last_accessed_at"), F.coalesce("last_accessed_at", "created_at"))
+    said = F.when(~F.col("state").isin("active", "stale"), "inactive").when(F.col("next_at").isNull(), "ended").when(schedule.missed(F.col("schedule"), F.col("next_at"), NOW), "missed").when(schedule.due(F.col("next_at"), NOW), "due").otherwise("waiting")
     return rows.select("state", said.alias("diagnosis")).groupBy("state", "diagnosis").agg(F.count("*").alias("n"))
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from memlode.plans import references, relational
+from memlode.plans import activity, insight, references, relational, search
 
-FLAGSHIP = "p3_report"
-QUERIES = {**references.QUERIES, **relational.C.queries}
-SQL = {**references.SQL, **relational.C.sql}
+FLAGSHIP = "search_balanced"
+_PARTS = (relational.C, activity.C, search.C, insight.C)
+QUERIES = {**references.QUERIES, **{name: query for part in _PARTS for name, query in part.queries.items()}}
+SQL = {**references.SQL, **{name: sql for part in _PARTS for name, sql in part.sql.items()}}
