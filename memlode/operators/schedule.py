@@ -104,8 +104,9 @@ def missed(schedule: Column, next_at: Column, now: datetime) -> Column:
 
 def planned(rows: DataFrame, last_run: Column, zone: str = "UTC") -> DataFrame:
     """Rows with a valid schedule tag, with columns schedule and next_at."""
-    tagged = rows.where(F.exists("tags", lambda t: t.rlike(_KINDS))).withColumn("schedule", parsed(schedule_tag(F.col("tags"))))
-    return tagged.withColumn("next_at", next_run(F.col("schedule"), last_run, zone)).where("schedule is not null")
+    # each large expression is a generated column: filters on it can't be pushed below, where it would be written out once per use
+    tagged = rows.where(F.exists("tags", lambda t: t.rlike(_KINDS))).select("*", F.explode(F.array(parsed(schedule_tag(F.col("tags"))))).alias("schedule")).where("schedule is not null")
+    return tagged.select("*", F.explode(F.array(next_run(F.col("schedule"), last_run, zone))).alias("next_at"))
 
 
 def seconds_of(schedule: Column) -> Column:
