@@ -33,82 +33,80 @@ def _duration(text: Column) -> Column:
     return F.when(text.rlike(r"^(?:[0-9]*\.?[0-9]+(?:ms|us|ns|h|m|s))+\z"), total)
 
 
-def parsed(tag: Column) -> Column:
-    """A struct (kind, seconds, weekday, day, hour, minute, zone, once); null if the tag isn't a valid schedule.
+def _stage(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns as generated ones: neither filters nor later projections can copy their expressions, so each is planned and run once."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
-    kind: interval, daily, weekly, weekdays, monthly or once. ``daily``, ``weekly[:DAY]``, ``monthly`` and
+
+def parsed(rows: DataFrame, tag: Column) -> DataFrame:
+    """Rows whose tag is a valid schedule, with columns s_kind, s_seconds, s_weekday, s_day, s_hour, s_minute, s_zone and s_once.
+
+    s_kind: interval, daily, weekly, weekdays, monthly or once. ``daily``, ``weekly[:DAY]``, ``monthly`` and
     ``hourly`` without a time are intervals.
     """
-    kind, rest = F.regexp_extract(tag, _KINDS, 1), F.regexp_extract(tag, _KINDS, 2)
-    part = lambda i: F.get(F.split(rest, ":"), i)
-    count = F.when(rest == "", 0).otherwise(F.size(F.split(rest, ":")))
+    own = rows.columns
     number = lambda c, low, high: F.when(c.rlike(r"^\d{1,2}\z") & c.cast("int").between(low, high), c.cast("int"))
-    weekday = F.element_at(F.create_map(*[x for k, v in WEEKDAYS.items() for x in (F.lit(k), F.lit(v))]), F.lower(part(0)))
-    moment = F.coalesce(*[F.try_to_timestamp(rest, F.lit(f)).cast("timestamp_ntz") for f in ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd")])
-    plain = F.when(kind == "hourly", 3600.0).when((kind == "daily") & (count == 0), 86400.0).when((kind == "weekly") & (count <= 1), 604800.0).when((kind == "monthly") & (count == 0), 2592000.0).when(kind == "every", _duration(rest))
-    first = F.when(kind.isin("daily", "weekdays"), 0).otherwise(1)
-    hour, minute = number(F.get(F.split(rest, ":"), first), 0, 23), number(F.get(F.split(rest, ":"), first + 1), 0, 59)
-    day = number(part(0), 1, 31)
-    timed = hour.isNotNull() & minute.isNotNull()
-    valid_kind = (
-        F.when(plain > 0, "interval")
+    part = lambda i: F.get("_parts", i)
+    out = _stage(rows, _kind=F.regexp_extract(tag, _KINDS, 1), _rest=F.regexp_extract(tag, _KINDS, 2)).where("_kind <> ''")
+    out = _stage(out, _parts=F.when(F.col("_rest") == "", F.array().cast("array<string>")).otherwise(F.split("_rest", ":")), _first=F.when(F.col("_kind").isin("daily", "weekdays"), 0).otherwise(1))
+    kind, count = F.col("_kind"), F.size("_parts")
+    moment = F.coalesce(*[F.try_to_timestamp("_rest", F.lit(f)).cast("timestamp_ntz") for f in ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd")])
+    plain = F.when(kind == "hourly", 3600.0).when((kind == "daily") & (count == 0), 86400.0).when((kind == "weekly") & (count <= 1), 604800.0).when((kind == "monthly") & (count == 0), 2592000.0).when(kind == "every", _duration(F.col("_rest")))
+    days = F.element_at(F.create_map(*[x for k, v in WEEKDAYS.items() for x in (F.lit(k), F.lit(v))]), F.lower(part(0)))
+    out = _stage(out, _seconds=plain, _weekday=days, _day=number(part(0), 1, 31), _hour=number(part(F.col("_first")), 0, 23), _minute=number(part(F.col("_first") + 1), 0, 59), _once=F.when(kind == "once", moment))
+    timed = F.col("_hour").isNotNull() & F.col("_minute").isNotNull()
+    valid = (
+        F.when(F.col("_seconds") > 0, "interval")
         .when((kind == "daily") & timed, "daily")
-        .when((kind == "weekly") & timed & weekday.isNotNull(), "weekly")
+        .when((kind == "weekly") & timed & F.col("_weekday").isNotNull(), "weekly")
         .when((kind == "weekdays") & timed, "weekdays")
-        .when((kind == "monthly") & timed & day.isNotNull(), "monthly")
-        .when((kind == "once") & moment.isNotNull(), "once")
-    )
-    zone = F.when((kind == "daily") & (count >= 3), F.concat_ws("/", F.slice(F.split(rest, ":"), 3, 9)))
-    timed_kind = valid_kind.isin("daily", "weekly", "weekdays", "monthly")
-    made = F.struct(
-        valid_kind.alias("kind"), F.when(valid_kind == "interval", plain).alias("seconds"), F.when(valid_kind == "weekly", weekday).alias("weekday"), F.when(valid_kind == "monthly", day).alias("day"),
-        F.when(timed_kind, hour).alias("hour"), F.when(timed_kind, minute).alias("minute"), F.when(timed_kind, zone).alias("zone"), F.when(valid_kind == "once", moment).alias("once"),
-    )
-    return F.when(valid_kind.isNotNull(), made)
-
-
-def next_run(schedule: Column, after: Column, zone: str = "UTC") -> Column:
-    """The first run after a moment, in UTC; once: its moment if still ahead, else null. Months without the day are skipped; local times that don't exist move on with the clock."""
-    here = F.coalesce(schedule["zone"], F.lit(zone))
-    local = F.convert_timezone(F.lit("UTC"), here, after)
-    midnight = F.date_trunc("day", local).cast("timestamp_ntz")
-    clock = schedule["hour"] * 3600 + schedule["minute"] * 60
-    utc = lambda t: F.convert_timezone(here, F.lit("UTC"), t)
-    moved = lambda days: F.timestamp_add("SECOND", clock, F.timestamp_add("DAY", days, midnight))
-    day_fits = lambda t: F.when(schedule["kind"] == "weekly", F.dayofweek(t) - 1 == schedule["weekday"]).when(schedule["kind"] == "weekdays", (F.dayofweek(t) >= 2) & (F.dayofweek(t) <= 6)).otherwise(True)
-    days = F.filter(F.transform(F.sequence(F.lit(0), F.lit(8)), moved), lambda t: (utc(t) > after) & day_fits(t))
-    months = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(3)), lambda m: F.struct(F.add_months(F.trunc(local.cast("date"), "month"), m).alias("first"))),
-        lambda s: F.day(F.last_day(s["first"])) >= schedule["day"],
-    )
-    run_of = lambda s: F.timestamp_add("SECOND", clock, F.timestamp_add("DAY", schedule["day"] - 1, s["first"].cast("timestamp_ntz")))
-    monthly = F.filter(F.transform(months, run_of), lambda t: utc(t) > after)
-    return (
-        F.when(schedule["kind"] == "interval", F.timestamp_add("MICROSECOND", (schedule["seconds"] * 1e6).cast("bigint"), after))
-        .when(schedule["kind"] == "once", F.when(schedule["once"] > after, schedule["once"]))
-        .when(schedule["kind"] == "monthly", utc(F.get(monthly, 0)))
-        .otherwise(utc(F.get(days, 0)))
+        .when((kind == "monthly") & timed & F.col("_day").isNotNull(), "monthly")
+        .when(F.col("_once").isNotNull(), "once")
     )
+    out = _stage(out, _valid=valid).where("_valid is not null")
+    at_time = F.col("_valid").isin("daily", "weekly", "weekdays", "monthly")
+    made = {
+        "s_kind": F.col("_valid"), "s_seconds": F.when(F.col("_valid") == "interval", F.col("_seconds")), "s_weekday": F.when(F.col("_valid") == "weekly", F.col("_weekday")),
+        "s_day": F.when(F.col("_valid") == "monthly", F.col("_day")), "s_hour": F.when(at_time, F.col("_hour")), "s_minute": F.when(at_time, F.col("_minute")),
+        "s_zone": F.when((F.col("_valid") == "daily") & (count >= 3), F.concat_ws("/", F.slice("_parts", 3, 9))), "s_once": F.when(F.col("_valid") == "once", F.col("_once")),
+    }
+    return _stage(out, **made).select(*own, *made)
+
+
+def planned(rows: DataFrame, last_run: Column, zone: str = "UTC") -> DataFrame:
+    """Rows with a valid schedule among their tags, with its parts (``parsed``) and ``next_at``: the first run after ``last_run``, in UTC.
+
+    A one-off schedule in the past has no next run. Months without the day are skipped; local times that a zone
+    skips move on with its clock.
+    """
+    own = rows.columns
+    out = parsed(rows.where(F.exists("tags", lambda t: t.rlike(_KINDS))), schedule_tag(F.col("tags")))
+    out = _stage(out, _after=last_run, _zone=F.coalesce("s_zone", F.lit(zone)))
+    out = _stage(out, _local=F.convert_timezone(F.lit("UTC"), F.col("_zone"), F.col("_after")), _clock=F.col("s_hour") * 3600 + F.col("s_minute") * 60)
+    utc = lambda t: F.convert_timezone(F.col("_zone"), F.lit("UTC"), t)
+    kind, weekday = F.col("s_kind"), F.col("s_weekday")
+    daily = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda d: F.timestamp_add("SECOND", F.col("_clock"), F.timestamp_add("DAY", d, F.date_trunc("day", "_local").cast("timestamp_ntz"))))
+    firsts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda m: F.add_months(F.trunc(F.col("_local").cast("date"), "month"), m))
+    monthly = F.transform(F.filter(firsts, lambda d: F.day(F.last_day(d)) >= F.col("s_day")), lambda d: F.timestamp_add("SECOND", F.col("_clock"), F.timestamp_add("DAY", F.col("s_day") - 1, d.cast("timestamp_ntz"))))
+    out = _stage(out, _runs=F.when(kind == "monthly", monthly).when(kind.isin("daily", "weekly", "weekdays"), daily))
+    fits = lambda t: F.when(kind == "weekly", F.dayofweek(t) - 1 == weekday).when(kind == "weekdays", F.dayofweek(t).between(2, 6)).otherwise(True)
+    first = F.get(F.filter("_runs", lambda t: (utc(t) > F.col("_after")) & fits(t)), 0)
+    plain = F.when(kind == "interval", F.timestamp_add("MICROSECOND", (F.col("s_seconds") * 1e6).cast("bigint"), F.col("_after"))).when(kind == "once", F.when(F.col("s_once") > F.col("_after"), F.col("s_once"))).otherwise(utc(first))
+    return _stage(out, next_at=plain).select(*own, "s_kind", "s_seconds", "next_at")
 
 
 def due(next_at: Column, now: datetime) -> Column:
-    """Whether a run is due. Take ``next_run`` as a column first: the expression is large and needed more than once."""
+    """Whether a run is due."""
     return F.coalesce(next_at <= at(now), F.lit(False))
 
 
-def missed(schedule: Column, next_at: Column, now: datetime) -> Column:
-    """Due for longer than the grace: twice an interval, else 24 hours."""
-    grace = F.when(schedule["kind"] == "interval", 2 * schedule["seconds"]).otherwise(F.lit(timedelta(days=1).total_seconds()))
+def missed(next_at: Column, now: datetime) -> Column:
+    """Due for longer than the grace (of rows as from ``planned``): twice an interval, else 24 hours."""
+    grace = F.when(F.col("s_kind") == "interval", 2 * F.col("s_seconds")).otherwise(F.lit(timedelta(days=1).total_seconds()))
     return F.coalesce((micros(at(now)) - micros(next_at)) / 1e6 > grace, F.lit(False))
 
 
-def planned(rows: DataFrame, last_run: Column, zone: str = "UTC") -> DataFrame:
-    """Rows with a valid schedule tag, with columns schedule and next_at."""
-    # each large expression is a generated column: filters on it can't be pushed below, where it would be written out once per use
-    tagged = rows.where(F.exists("tags", lambda t: t.rlike(_KINDS))).select("*", F.explode(F.array(parsed(schedule_tag(F.col("tags"))))).alias("schedule")).where("schedule is not null")
-    return tagged.select("*", F.explode(F.array(next_run(F.col("schedule"), last_run, zone))).alias("next_at"))
-
-
-def seconds_of(schedule: Column) -> Column:
-    """The plain interval reading of a schedule: days, weeks and months as fixed lengths."""
-    return F.when(schedule["kind"] == "interval", schedule["seconds"]).when(schedule["kind"].isin("daily", "weekdays"), 86400.0).when(schedule["kind"] == "weekly", 604800.0).when(schedule["kind"] == "monthly", 2592000.0)
+def interval_seconds() -> Column:
+    """The plain interval reading of a parsed schedule: days, weeks and months as fixed lengths."""
+    kind = F.col("s_kind")
+    return F.when(kind == "interval", F.col("s_seconds")).when(kind.isin("daily", "weekdays"), 86400.0).when(kind == "weekly", 604800.0).when(kind == "monthly", 2592000.0)

@@ -43,7 +43,7 @@ def scheduled(memories: DataFrame, surfaced: DataFrame, now: datetime, each: int
     """Due schedules that weren't shown within half an hour, with whether their window was missed."""
     top = _top(memories.where("state = 'active'"), each, F.col("created_at").desc())
     rows = schedule.planned(top, F.coalesce("last_accessed_at", "created_at"))
-    due = rows.where(schedule.due(F.col("next_at"), now)).withColumn("missed", schedule.missed(F.col("schedule"), F.col("next_at"), now)).drop("schedule", "next_at")
+    due = rows.where(schedule.due(F.col("next_at"), now)).withColumn("missed", schedule.missed(F.col("next_at"), now)).drop("s_kind", "s_seconds", "next_at")
     return filters.not_surfaced(due, surfaced, now, timedelta(minutes=30))
 
 

@@ -134,8 +134,8 @@ _TAG = "(select id, created_at, last_accessed_at, list_filter(tags, lambda t: re
 
 @C.add(WITH + f"select id, tag, case when starts_with(tag, 'every') then 'interval' when starts_with(tag, 'daily') then 'daily' else 'monthly' end kind, case when starts_with(tag, 'every') then regexp_extract(tag, '([0-9]+)h', 1)::double * 3600 end \"seconds\", case when starts_with(tag, 'daily') then split_part(tag, ':', 2)::int when starts_with(tag, 'monthly') then split_part(tag, ':', 3)::int end \"hour\", case when starts_with(tag, 'monthly') then split_part(tag, ':', 2)::int end \"day\" from {_TAG} where tag is not null")
 def cron_parse(spark, folder):
-    rows = memories(spark, folder, "tags").withColumn("tag", schedule.schedule_tag(F.col("tags"))).withColumn("s", schedule.parsed(F.col("tag")))
-    return rows.where("s is not null").select("id", "tag", "s.kind", "s.seconds", "s.hour", "s.day")
+    rows = memories(spark, folder, "tags").withColumn("tag", schedule.schedule_tag(F.col("tags"))).where("tag is not null")
+    return schedule.parsed(rows, F.col("tag")).select("id", "tag", F.col("s_kind").alias("kind"), F.col("s_seconds").alias("seconds"), F.col("s_hour").alias("hour"), F.col("s_day").alias("day"))
 
 
 _NEXT = """case when starts_with(tag, 'every') then base + interval 4 hour
@@ -152,13 +152,13 @@ def cron_next(spark, folder):
 @C.add(WITH + f", t as (select id, tag, coalesce(last_accessed_at, created_at) base from {_TAG} where tag is not null), n as (select *, {_NEXT} next_run from t) select id, coalesce(next_run <= timestamp '2024-02-01', false) due, coalesce(timestamp '2024-02-01' - next_run > case when starts_with(tag, 'every') then interval 8 hour else interval 24 hour end, false) missed from n")
 def cron_due(spark, folder):
     rows = schedule.planned(memories(spark, folder, "tags", "created_at", "last_accessed_at"), F.coalesce("last_accessed_at", "created_at"))
-    return rows.select("id", schedule.due(F.col("next_at"), NOW).alias("due"), schedule.missed(F.col("schedule"), F.col("next_at"), NOW).alias("missed"))
+    return rows.select("id", schedule.due(F.col("next_at"), NOW).alias("due"), schedule.missed(F.col("next_at"), NOW).alias("missed"))
 
 
 @C.add(WITH + f", t as (select id, tag, coalesce(last_accessed_at, created_at) base from {_TAG} where tag is not null), n as (select t.*, m.state, {_NEXT} next_run from t join mem m using (id)) select state, case when state not in ('active', 'stale') then 'inactive' when next_run is null then 'ended' when timestamp '2024-02-01' - next_run > case when starts_with(tag, 'every') then interval 8 hour else interval 24 hour end then 'missed' when next_run <= timestamp '2024-02-01' then 'due' else 'waiting' end diagnosis, count(*) n from n group by 1, 2")
 def cron_diagnose(spark, folder):
     rows = schedule.planned(memories(spark, folder, "tags", "state", "created_at", "last_accessed_at"), F.coalesce("last_accessed_at", "created_at"))
-    said = F.when(~F.col("state").isin("active", "stale"), "inactive").when(F.col("next_at").isNull(), "ended").when(schedule.missed(F.col("schedule"), F.col("next_at"), NOW), "missed").when(schedule.due(F.col("next_at"), NOW), "due").otherwise("waiting")
+    said = F.when(~F.col("state").isin("active", "stale"), "inactive").when(F.col("next_at").isNull(), "ended").when(schedule.missed(F.col("next_at"), NOW), "missed").when(schedule.due(F.col("next_at"), NOW), "due").otherwise("waiting")
     return rows.select("state", said.alias("diagnosis")).groupBy("state", "diagnosis").agg(F.count("*").alias("n"))
 
 
