@@ -26,7 +26,7 @@ def composed(text: Column) -> Column:
 
 def folded(text: Column) -> Column:
     """Case ignored as in Unicode's full folding (sharp s equals ss, final sigma equals sigma)."""
-    return F.translate(F.lower(F.upper(text)), "ς", "σ")
+    return F.translate(F.regexp_replace(F.lower(F.upper(text)), "ß", "ss"), "ς", "σ")
 
 
 def letters_and_digits(text: Column) -> Column:

@@ -151,7 +151,7 @@ def _scan(shared, run: int, limit: int):
             # runs that overlap or touch within a text and item become one span
             apart = (found["start_word"] > found.groupby(["doc", "_item"])["start_word"].shift(fill_value=-(10**9)) + run).cumsum()
             spans = found.groupby(["doc", "_item", apart.rename("_span")], as_index=False)["start_word"].agg(["min", "max"])
-            yield pd.DataFrame({"_id": [ids[i] for i in spans["doc"]], "_item": spans["_item"].astype(np.int64), "start_word": spans["min"].astype(np.int64), "end_word": (spans["max"] + run).astype(np.int64)})
+            yield pd.DataFrame({"_id": pd.Series([ids[i] for i in spans["doc"]], dtype=object), "_item": spans["_item"].astype(np.int64), "start_word": spans["min"].astype(np.int64), "end_word": (spans["max"] + run).astype(np.int64)})
 
     return scan
 

@@ -185,7 +185,7 @@ def _suffixes(shortest: int, known: dict[str, set[str]]):
                                     got[w[-n:], o] = got.get((w[-n:], o), False) or n == len(w)
                 for (suffix, other), whole in got.items():
                     ids.append(id_), keys.append(suffix), others.append(other), final.append(whole)
-            yield pd.DataFrame({"id": ids, "suffix": keys, "other": others, "whole": np.array(final, dtype=bool)})
+            yield pd.DataFrame({"id": pd.Series(ids, dtype=object), "suffix": pd.Series(keys, dtype=object), "other": pd.Series(others, dtype=object), "whole": np.array(final, dtype=bool)})
 
     return run
 
@@ -195,7 +195,8 @@ def _judge(known: dict[str, set[str]], least: float):
         comparer = Comparer(known, least)
         for batch in batches:
             keep = [comparer.same(k, comparer.read(a, k, list(fa)), comparer.read(b, k, list(fb))) for k, a, b, fa, fb in zip(batch["type"], batch["a"], batch["b"], batch["fa"], batch["fb"], strict=True)]
-            yield batch.loc[keep, ["a", "b"]]
+            chosen = np.array(keep, dtype=bool)
+            yield pd.DataFrame({c: batch[c].to_numpy(object)[chosen] for c in ("a", "b")})
 
     return run
 

@@ -264,7 +264,7 @@ def _mapper(shared, forms: NameForms, each: Callable) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         models, words = shared.value
         for batch in batches:
-            yield each(batch, find(batch["text"].tolist(), models, words, forms))
+            yield each(batch, find([t if isinstance(t, str) else None for t in batch["text"]], models, words, forms))
 
     return run
 
@@ -272,11 +272,11 @@ def _mapper(shared, forms: NameForms, each: Callable) -> Callable:
 def _spans_frame(batch: pd.DataFrame, spans: list) -> pd.DataFrame:
     flat = [(i, KINDS[k], s, e) for i, own in enumerate(spans) for k, s, e in own]
     at = [f[0] for f in flat]
-    return pd.DataFrame({"table_name": batch["table_name"].to_numpy()[at], "record_id": batch["record_id"].to_numpy()[at], "kind": [f[1] for f in flat], "start_at": np.array([f[2] for f in flat], dtype=np.int64), "end_at": np.array([f[3] for f in flat], dtype=np.int64)})
+    return pd.DataFrame({"table_name": batch["table_name"].to_numpy(object)[at], "record_id": batch["record_id"].to_numpy(object)[at], "kind": pd.Series([f[1] for f in flat], dtype=object), "start_at": np.array([f[2] for f in flat], dtype=np.int64), "end_at": np.array([f[3] for f in flat], dtype=np.int64)})
 
 
 def _redacted_frame(batch: pd.DataFrame, spans: list) -> pd.DataFrame:
-    return pd.DataFrame({"table_name": batch["table_name"], "record_id": batch["record_id"], "redacted": [t if t is None else redact(t, own) for t, own in zip(batch["text"], spans, strict=True)], "found": np.array([len(own) for own in spans], dtype=np.int32)})
+    return pd.DataFrame({"table_name": batch["table_name"].to_numpy(object), "record_id": batch["record_id"].to_numpy(object), "redacted": np.array([redact(t, own) if isinstance(t, str) else None for t, own in zip(batch["text"], spans, strict=True)], dtype=object), "found": np.array([len(own) for own in spans], dtype=np.int32)})
 
 
 def _prepared(sources: Sequence[tuple[str, DataFrame]], names: dict[str, set[str]] | None):

@@ -178,7 +178,7 @@ def _units(dims: int):
                 good = np.isfinite(top) & (top > 0)
                 x = x[good] / top[good][:, None]
                 x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("<f4")
-            yield pd.DataFrame({"id": batch["id"].to_numpy()[good], "unit": [row.tobytes() for row in x]})
+            yield pd.DataFrame({"id": batch["id"].to_numpy()[good], "unit": pd.Series([row.tobytes() for row in x], dtype=object)})
 
     return run
 
