@@ -38,7 +38,7 @@ STREETS = r"street|st|road|rd|lane|ln|avenue|ave|blvd|boulevard|close|drive|cour
 
 _WORD = re.compile(r"(?<![^\W_])[^\W\d_](?:[^\W\d_]|[̀-ͯ'’])*")
 _EMAIL = re.compile(r"(?<![\w.+@-])[\w](?:[\w.+'-]*[\w])?(?:@|\s?[(\[]\s?at\s?[)\]]\s?| at (?=[\w-]+\s?[\[(]\s?dot))[\w-]+(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?)[\w-]+)*", re.I)
-_RUN = re.compile(r"[+(]{0,2}(?<![A-Za-z\d_])(?:[A-Za-z]{1,5}[ ]?)?\d[\dA-Za-z]*(?:(?:[ ./-]|\) ?| ?\()\(?\d[\dA-Za-z]*\)?)*(?:[ -][A-Za-z]\b(?![\w'’]))?")
+_RUN = re.compile(r"[+(]{0,2}(?<![A-Za-z\d_])(?:[A-Za-z]{1,5}[ ]?)?\d[\dA-Za-z]*(?:(?:[ ./-]|\) ?| ?\(|(?<=\)))\(?\d[\dA-Za-z]*\)?)*(?:[ -][A-Za-z]\b(?![\w'’]))?")
 _ADDRESSES = tuple(
     re.compile(p, re.I)
     for p in (

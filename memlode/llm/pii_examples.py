@@ -86,8 +86,8 @@ def _address_alike(r: random.Random) -> str:
 
 
 def _email(r: random.Random) -> str:
-    name = r.choice([f"{_made(r, 1)}.{_made(r, 3)}", f"{_made(r, 3)}{r.randint(1, 99)}", f"{_made(r, 2)}_{_made(r, 3)}", f"{_made(r, 2)}+{_made(r, 2)}", f"{_made(r, 2)}-{_made(r, 1)}"]).lower()
-    host = r.choice(["example.com", "example.org", "example.net", f"{_made(r, 1).lower()}.test", f"mail.{_made(r, 2).lower()}.example"])
+    name = r.choice([f"{_made(r, 1)}.{_made(r, 3)}", f"{_made(r, 3)}{r.randint(1, 99)}", f"{_made(r, 2)}_{_made(r, 3)}", f"{_made(r, 2)}+{_made(r, 2)}", f"{_made(r, 2)}-{_made(r, 1)}", _made(r, 1), f"{r.choice(_ONSETS)}{r.choice(_VOWELS)}+{r.choice(_CODAS)}", f"{r.choice(_ONSETS)}{_made(r, 2)}", r.choice(_ONSETS)]).lower()
+    host = r.choice(["example.com", "example.org", "example.net", f"{_made(r, 1).lower()}.test", f"mail.{_made(r, 2).lower()}.example", f"{r.choice(_ONSETS)}{r.choice(_VOWELS)}.org", f"{_made(r, 1).lower()}.co.uk", f"{_made(r, 4).lower()}.{r.choice(['com', 'de', 'fr', 'io'])}"])
     if r.random() < 0.2:
         return r.choice([f"{name}(at){host}", f"{name} [at] {host}", f"{name} at {host.replace('.', ' [dot] ')}", f"{name} at {host.replace('.', ' (dot) ')}"])
     return f"{name}@{host}"
