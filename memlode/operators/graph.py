@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memlode.functions.columns import clamp
-from memlode.runtime import cut
+from memlode.runtime import cut, kept
 from memlode.sources.parquet import clean_key
 
 # Relation patterns as (pattern, type, both ways, group of the source, group of the target, confidence); group 0 is the user.
@@ -75,6 +74,24 @@ def reached(graph: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def components(links: DataFrame) -> DataFrame:
+    """(id, root): smallest id of each connected component of undirected links (a, b); labels spread by min until none changes.
+
+    Each round takes the least label of a node and its neighbours, then that label's own label, so long chains
+    halve. State is written to the shared checkpoint folder every round. Nodes without a link don't appear.
+    """
+    both = kept(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    state = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).select(F.col("a").alias("id"), "root"))
+    while True:
+        near = both.join(state.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("root").alias("_near"))
+        least = state.join(near, state["id"] == near["a"]).select("id", F.least("root", "_near").alias("_new"), F.col("root").alias("_old"))
+        jumps = state.select(F.col("id").alias("_new"), F.col("root").alias("_jump"))
+        after = cut(least.join(jumps, "_new", "left").select("id", F.least("_new", F.coalesce("_jump", "_new")).alias("root"), "_old"))
+        state = after.select("id", "root")
+        if after.where("root <> _old").isEmpty():
+            return state
+
+
 def hops(graph: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
     """(source, target, hops): length of the shortest path of each pair, null beyond ``depth``; one search from all sources."""
     found = reached(graph, pairs.select(F.col("source").alias("id")).distinct(), depth)
@@ -129,6 +146,3 @@ def cooccurring(mentions: DataFrame, memories: DataFrame, near: int = 100) -> Da
     gap = F.greatest(F.col("at_b") - F.col("end_a"), F.col("at_a") - F.col("end_b"), F.lit(0))
     return a.join(b, "memory_id").where("a < b").groupBy("memory_id", "a", "b").agg(F.min(gap).alias("distance")).where(F.col("distance") < near)
 
-
-def bounded(strengths: Column) -> Column:
-    return clamp(strengths, 0.0, 1.0)

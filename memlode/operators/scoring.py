@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -95,3 +95,9 @@ def blended(judged: Column, score: Column) -> Column:
 def merged_importance(first: Column, second: Column) -> Column:
     """The mean if the second is larger, else the first, within [0, 1]."""
     return clamp(F.when(second > first, (first + second) / 2).otherwise(first), 0.0, 1.0)
+
+
+def deadline_proximity(expires: Column, now: datetime) -> Column:
+    """1 / hours left, hours counting as half an hour at least; a tenth of an hour once overdue."""
+    hours = (F.unix_micros(expires.cast("timestamp")) - F.lit(int(now.replace(tzinfo=timezone.utc).timestamp() * 1e6))) / 3_600_000_000.0
+    return 1 / F.when(hours <= 0, 0.1).otherwise(F.greatest(hours, F.lit(0.5)))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memlode.functions.columns import NOW, cosine
-from memlode.operators import scoring, search, texts
+from memlode.functions.plugins import HashingEmbedder, RuleExtractor, embedding
+from memlode.operators import consolidate, scoring, search, texts
 from memlode.plans.base import WITH, Catalog, memories, messages, sql_days
 from memlode.plans.relational import _DECAY
 from memlode.sources.parquet import table
@@ -229,3 +230,50 @@ def sha(spark, folder):
 def vector_scan(spark, folder):
     query = query_vector(spark, folder)
     return table(spark, folder, "embeddings").select("vec_id", F.round(cosine(F.col("embedding"), query), 6).alias("similarity"))
+
+
+_FREE = "len(list_filter(tags, lambda t: regexp_matches(t, '^(cron:|hourly|daily|weekly|weekdays|monthly|every:|once:)'))) = 0"
+_GROUPS = (WITH + _VPAIRS).strip().removeprefix("with ") + f""", f as (select p.a, p.b from p join mem x on x.id = p.a join mem y on y.id = p.b where c >= 0.92 - 1e-9 and coalesce(x.agent_id, '') = coalesce(y.agent_id, '') and x.{_FREE.replace('tags', 'tags')} and len(list_filter(y.tags, lambda t: regexp_matches(t, '^(cron:|hourly|daily|weekly|weekdays|monthly|every:|once:)'))) = 0),
+walk as (select a r, a n from f union select b, b from f union select r, case when f.a = n then f.b else f.a end from walk join f on f.a = n or f.b = n),
+g as (select n id, min(r) root from walk group by 1)"""
+
+
+def _groups(spark, folder):
+    rows = memories(spark, folder, "entity_id", "embedding", "state", "tags", "agent_id", "importance", "confidence", "visibility")
+    live = rows.where((F.col("state") == "active") & (F.size("embedding") == 64))
+    return rows, consolidate.groups(rows, search.similarity_pairs(live, "entity_id", 0.92))
+
+
+@C.add("with recursive " + _GROUPS.replace("x.len(list_filter(tags,", "len(list_filter(x.tags,") + " select * from g")
+def consolidation_groups(spark, folder):
+    return _groups(spark, folder)[1]
+
+
+@C.add("with recursive " + _GROUPS.replace("x.len(list_filter(tags,", "len(list_filter(x.tags,") + """, j as (select m.*, g.root, coalesce(importance, 0) i, case lower(visibility) when 'private' then 1 when 'team' then 2 when 'global' then 3 else 1 end k from mem m join g using (id)),
+h as (select root, arg_min(id, (-i, id)) first_id, count(*) members, round(least(1, avg(i) * (1 + 0.1 * (count(*) - 1))), 6)::double importance, max(confidence) confidence, ['private', 'team', 'global'][min(k)] visibility, list_sort(list(id)) ids from j group by 1)
+select first_id "primary", members, importance, confidence, visibility, list_filter(ids, lambda x: x <> first_id) derived_from from h""")
+def consolidated(spark, folder):
+    rows, grouped = _groups(spark, folder)
+    return consolidate.consolidated(rows, grouped)
+
+
+@C.add()
+def conflict_votes(spark, folder):
+    rows = _close(spark, folder, 0.6).withColumn("c", texts.conflict(F.col("cb"), F.col("ca"))).where("c is not null")
+    return consolidate.vote(rows.select(F.col("a").alias("id"), F.col("c.kind").alias("resolution"), F.col("c.confidence").alias("confidence")))
+
+
+@C.add(WITH + "select id, round(1 / case when expires_at <= timestamp '2024-02-01' then 0.1 else greatest((epoch_us(expires_at) - epoch_us(timestamp '2024-02-01')) / 3600000000.0, 0.5) end, 6)::double proximity from mem where expires_at is not null and state = 'active'")
+def deadline_proximity(spark, folder):
+    rows = memories(spark, folder, "expires_at", "state").where("expires_at is not null and state = 'active'")
+    return rows.select("id", F.round(scoring.deadline_proximity(F.col("expires_at"), NOW), 6).alias("proximity"))
+
+
+@C.add()
+def hashed_embeddings(spark, folder):
+    return messages(spark, folder).select("id", embedding(F.col("content"), HashingEmbedder(64)).alias("embedding"))
+
+
+@C.add()
+def rule_extraction(spark, folder):
+    return RuleExtractor().extract(messages(spark, folder))
