@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -38,7 +40,9 @@ def shared_dir(spark: SparkSession) -> str:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="memlode-"))
+        own = tempfile.mkdtemp(prefix="memlode-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context.setCheckpointDir(own)
     return context._jsc.sc().getCheckpointDir().get()
 
 
