@@ -7,9 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memlode.runtime import ship
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table of a folder; filters and column choice on it reach the Parquet scan."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
