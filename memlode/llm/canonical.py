@@ -5,10 +5,12 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from memlode.runtime import ship
+
 #: Fixed values. Characters that composing leaves alone whatever stands beside them (a safe part of those).
 _COMPOSED = r"\x00-\x{2FF}\x{400}-\x{482}\x{48A}-\x{52F}\x{200B}-\x{2027}\x{2030}-\x{205E}\x{20A0}-\x{20CF}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}"
 
@@ -20,6 +22,8 @@ def _nfc(texts: pd.Series) -> pd.Series:
 
 def composed(text: Column) -> Column:
     """The text in Unicode's composed form (NFC). Only texts that may need it travel to Python."""
+    if session := SparkSession.getActiveSession():
+        ship(session)
     unsure = text.rlike(f"[^{_COMPOSED}]")
     return F.coalesce(_nfc(F.when(unsure, text)), text)
 
