@@ -23,6 +23,7 @@ from memlode.llm.boosting import BoostedTrees
 from memlode.llm.given_names import full_names, plain, short_forms
 
 KINDS = ("email", "phone", "id_number", "address", "name")
+UNLISTED = len(KINDS)  # candidates of kind 'name' whose given name no list holds; trees of their own judge them by context
 PLACEHOLDERS = {kind: f"[{kind.upper()}]" for kind in KINDS}
 
 # Words before a number that say what it is, or that it is something else.
@@ -33,6 +34,12 @@ OTHER_CUES = {"order", "build", "page", "ticket", "lot", "part", "note", "job",
 TITLES = {"dr", "mr", "mrs", "ms", "miss", "prof", "professor", "herr", "frau", "sr", "sra", "señor", "señora", "mme", "monsieur", "madame", "sir", "dame"}
 THING_CUES = {"agent", "project", "tag", "channel", "mute", "named", "tasks", "product", "release", "app", "café", "cafe", "hotel", "cup", "team", "company", "brand"}
 ORG_WORDS = {"inc", "llc", "ltd", "gmbh", "plc", "corp", "co", "corporation", "limited", "incorporated", "company", "labs", "laboratories", "university", "univ", "institute", "inst", "brothers", "bros", "associates", "assoc", "technologies", "tech", "services", "svcs", "foods", "aviation", "logistics", "consulting", "electronics", "pharmaceuticals", "pharma", "manufacturing", "mfg", "engineering", "eng", "construction", "constr", "properties", "insurance", "ins", "international", "intl", "publishing", "publ", "group", "holdings", "partners", "sons", "festival", "meetup", "case", "app", "kettle", "square", "pier", "valley", "method", "habit", "thing", "street", "road", "lane", "close", "avenue", "stories", "cup"}
+# Words before a person, prepositions that may stand there, words before places and things, what people do.
+PERSON_CUES = {"met", "meet", "told", "tell", "asked", "ask", "introduced", "introduce", "contact", "call", "called", "trusts", "trust", "promised", "thanked", "thanks", "wife", "husband", "partner", "neighbour", "neighbor", "colleague", "friend", "sister", "brother", "mother", "father", "son", "daughter", "aunt", "uncle", "cousin", "boss", "manager", "doctor", "nurse", "teacher", "landlord", "plumber", "client", "patient", "tenant", "owes", "invited", "married", "heard", "according", "argued", "works", "worked", "spoke", "talked", "attn", "regards", "dear", "hi", "hello", "signed", "emailed", "phoned", "remind", "reminded", "thank"}
+PERSON_PREPOSITIONS = {"with", "from", "to", "by", "for", "of", "is", "and"}
+THING_LEADS = {"the", "a", "an", "in", "at", "near", "visit", "visited", "bought", "buy", "uses", "use", "every", "avoids", "compare", "linked", "through", "via", "on", "into", "inside", "around", "trip", "moved", "train", "flight", "sells", "ordered"}
+PERSON_VERBS = {"said", "says", "asked", "asks", "told", "tells", "wrote", "writes", "called", "calls", "works", "lives", "lent", "brought", "signed", "picked", "met", "agreed", "thinks", "phoned", "emailed", "joined", "married", "gave", "has", "wants", "likes", "prefers", "who"}
+PLACE_WORDS = {"town", "city", "village", "quay", "point", "bay", "port", "bridge", "harbour", "harbor", "hollow", "cross", "river", "lake", "park", "station", "hall", "school", "college", "hotel", "church", "island", "mountain", "airport", "museum", "pier", "props", "int'l", "bank", "motors", "airlines", "airways", "software", "systems", "solutions", "media", "music", "records", "books", "energy", "foundation", "times", "news", "club", "street", "hospital", "restaurant", "theatre", "market", "los", "las", "el", "la", "north", "south", "east", "west", "sankt", "saint", "san", "santa", "new", "mount", "fort", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "january", "february", "march", "april", "june", "july", "august", "september", "october", "november", "december"}
 FILE_ENDINGS = {"png", "jpg", "jpeg", "gif", "svg", "webp", "pdf", "md", "txt", "js", "css", "py", "ico"}
 STREETS = r"street|st|road|rd|lane|ln|avenue|ave|blvd|boulevard|close|drive|court|ct|terrace|crescent|gardens|row|walk|way|mews|grove|hill"
 
@@ -188,7 +195,7 @@ def _names(text: str, words: Words, forms: NameForms, out: list) -> None:
     gaps = [text[a[2] : b[1]] for a, b in zip(tokens, tokens[1:])]
     plain_gap = {" ", "  ", ".", ". ", ".  ", " ", "\t"}
 
-    def add(given: int, surname: int, first: int, last: int, middle: int, comma: bool) -> None:
+    def add(given: int, surname: int, first: int, last: int, middle: int, comma: bool, unlisted: bool = False) -> None:
         word = tokens[surname][0]
         if len(word) < 4 or kinds[surname] in (1, 3, 4):
             return
@@ -200,9 +207,42 @@ def _names(text: str, words: Words, forms: NameForms, out: list) -> None:
         close = right is not None and gaps[last] in (" ", ".", ". ", " & ", "-")
         after = 0 if not close else 1 if right[0].lower() in ORG_WORDS else 2 if right[0][:1].isupper() and text[tokens[last][2]] != "." else 0
         end = tokens[last][2] + (1 if dots[last] and last == given and kinds[given] in (3, 4) else 0)
-        out.append((4, tokens[first][1], end, [kinds[given], given > surname, comma, words.of(word), len(word), _caps(word), _caps(tokens[given][0]), before, after, words.of_lower(tokens[given][0]), len(tokens[given][0]), dots[given], middle, word.lower() in ORG_WORDS]))
+        own = tokens[given][0]
+        values = [kinds[given], given > surname, comma, words.of(word), len(word), _caps(word), _caps(own), before, after, words.of_lower(own), len(own), dots[given], middle, word.lower() in ORG_WORDS]
+        if unlisted:
+            acts = close and gaps[last] == " " and right[0].lower() in PERSON_VERBS
+            values += [words.of_lower(word), words.of(own), own.lower() in ORG_WORDS, any(w.lower() in PLACE_WORDS or w.lower() in THING_CUES or w.lower() in THING_LEADS for w in (own, word)), cue(first), acts, left is not None and left[0].lower() in ORG_WORDS]
+        out.append((UNLISTED if unlisted else 4, tokens[first][1], end, values))
+
+    def cue(first: int) -> int:
+        """What the two words before say: 3 a person follows, 2 a preposition of persons, 1 the sentence opens, -1 a place or thing follows."""
+        near = tokens[first - 1][0].lower() if first else ""
+        gap = text[tokens[first - 1][2] : tokens[first][1]] if first else ""
+        if near in TITLES and _TITLE_GAP.fullmatch(gap):
+            return 3
+        if not first or len(gap) > 3 or not gap.isspace() and any(c in ".!?\n" for c in gap):
+            return 1
+        if near in PERSON_CUES:
+            return 3
+        if near in PERSON_PREPOSITIONS:
+            return 3 if first > 1 and tokens[first - 2][0].lower() in PERSON_CUES and gaps[first - 2] == " " else 2
+        return -1 if near in THING_LEADS or near in THING_CUES else 0
+
+    def unknown(i: int, j: int) -> bool:
+        """Two words that no list knows, but that are shaped like a name: capitals, or rare words where a person is due."""
+        a, b = tokens[i][0], tokens[j][0]
+        if len(a) < 2 or len(b) < 4 or kinds[i] or kinds[j]:
+            return False
+        if a[0].isupper() and b[0].isupper() and not (a.isupper() and b.isupper()):
+            return True
+        return words.of_lower(a) <= -2.3 and words.of_lower(b) <= -2.3 and cue(i) == 3
 
     for i, kind in enumerate(kinds):
+        if not kind and i + 1 < len(tokens):
+            if gaps[i] in (" ", "  ", "\t", "\xa0", ", ") and unknown(i, i + 1):
+                add(*((i + 1, i) if gaps[i] == ", " else (i, i + 1)), i, i + 1, 0, gaps[i] == ", ", True)
+            elif kinds[i + 1] == 4 and i + 2 < len(tokens) and gaps[i] == " " and gaps[i + 1] in plain_gap and unknown(i, i + 2):
+                add(i, i + 2, i, i + 2, 1, False, True)
         if not kind or kind == 4 and not dots[i] and tokens[i][0] in ("a", "e", "i", "o", "y"):  # articles and conjunctions, not initials
             continue
         if i + 1 < len(tokens) and gaps[i] in plain_gap and (gaps[i][0] != "." or kind in (3, 4)):
@@ -238,7 +278,7 @@ def redact(text: str, spans: Sequence[tuple[int, int, int]]) -> str:
 def find(texts: Sequence[str | None], models: Sequence[BoostedTrees], words: Words, forms: NameForms) -> list[list[tuple[int, int, int]]]:
     """Spans of each text; the candidates of all texts are scored together, kind by kind."""
     proposed = [candidates(t, words, forms) if t else [] for t in texts]
-    rows: dict[int, list] = {k: [] for k in range(len(KINDS))}
+    rows: dict[int, list] = {k: [] for k in range(UNLISTED + 1)}
     for i, own in enumerate(proposed):
         for kind, start, end, values in own:
             rows[kind].append((i, start, end, values))
@@ -247,7 +287,7 @@ def find(texts: Sequence[str | None], models: Sequence[BoostedTrees], words: Wor
         if own:
             chance = models[kind].probability(np.array([r[3] for r in own], dtype=float))
             for (i, start, end, _), p in zip(own, chance, strict=True):
-                found[i].append((kind, start, end, float(p), p >= models[kind].threshold))
+                found[i].append((min(kind, 4), start, end, float(p), p >= models[kind].threshold))
     return [accepted(f) for f in found]
 
 

@@ -10,7 +10,7 @@ import numpy as np
 
 from memlode.llm.boosting import BoostedTrees, fit
 from memlode.llm.given_names import GIVEN_NAMES
-from memlode.llm.pii import _CHECK, KINDS, NameForms, Words, candidates
+from memlode.llm.pii import _CHECK, KINDS, ORG_WORDS, PLACE_WORDS, UNLISTED, NameForms, Words, candidates
 
 _ONSETS, _VOWELS, _CODAS = "bdfghklmnprstvz", "aeiou", "bdfgklmnprstxz"
 
@@ -26,6 +26,64 @@ def _surname(r: random.Random) -> str:
     return (_misspelt(r, word) if len(word) > 5 and r.random() < 0.25 else word).capitalize()
 
 
+def _given(r: random.Random) -> str:
+    """A given name that no list holds."""
+    word = "".join((r.choice(_ONSETS) if r.random() < 0.8 else "") + r.choice(_VOWELS) + (r.choice("lnrst") if r.random() < 0.3 else "") for _ in range(r.choice([1, 2, 2, 2, 3]))) + r.choice(["", "", "a", "n", "r", "s", "d", "l"])
+    return (word if len(word) > 2 else word + "na").capitalize()
+
+
+_PERSON_LEADS = ["Lunch with", "dinner at 18:40 with", "went with", "signed by", "a gift for", "Met with", "Call from", "According to", "Dr.", "Mrs.", "Mr", "Prof.", "Introduced", "works with", "Argued with", "contact is", "ask for", "Asked", "Told", "Heard from", "Promised", "user trusts", "my neighbour", "his sister", "her boss", "the landlord", "our doctor", "a letter from", "Thanked", "Owes", "Call", "spoke to", "Dear", "married to", "a friend of", "Invited"]
+_PERSON_ACTS = ["said no", "says hello", "asked for it", "told us", "wrote back", "called twice", "works here", "lives nearby", "lent a key", "brought the notes", "signed for it", "picked it up", "agreed", "phoned", "has the spare key", "wants it back", "joined late"]
+_PLACES = [w.capitalize() for w in sorted(PLACE_WORDS)]
+_THINGS = ["Kettle", "Sensor", "Lamp", "Method", "Habit", "Meetup", "Festival", "Router", "Stories", "Square", "Cup", "Lantern", "Console"]
+_SECTORS = [w.capitalize() for w in sorted(ORG_WORDS)]
+_VERBS = ["Avoids", "Visited", "Compare", "Linked", "Noted", "Prefers", "Tested", "Mentioned", "Moved", "Bought", "Introduced", "Asked", "Promised", "Told", "Heard", "Trusts", "Called", "Met", "Owes", "Yesterday", "Today", "Again", "Maybe"]
+
+
+def _unlisted(r: random.Random) -> tuple[str, str, str]:
+    """Words before, a name whose given name no list holds, and words after."""
+    given, surname = _given(r), _surname(r)
+    kind = r.random()
+    said = f"{given} {surname}" if kind < 0.75 else f"{surname}, {given}" if kind < 0.82 else f"{given} {r.choice('ABCDEFGHKLMNPRST')}. {surname}" if kind < 0.9 else f"{given} {surname}".lower() if kind < 0.95 else f"{given} {surname}".upper()
+    shape = r.random()
+    if shape < 0.7:
+        lead = r.choice(_PERSON_LEADS)
+        return lead.upper() if said.isupper() else lead, said, r.choice(["", *_AFTER])
+    return "", said, f" {r.choice(_PERSON_ACTS)}. "
+
+
+def _unlisted_alike(r: random.Random) -> str:
+    """Capitals two by two that are places, products, organisations or the start of a sentence."""
+    two = lambda: r.choice([_made, _made, lambda q, _: _surname(q)])(r, 2)
+    lead = r.choice(["in", "near", "from", "to", "visit", "for", "at", "with", "by", "through", "the", "a", "trip to", "moved to", "heard from", "works with", "works for", "asked", "Met with", "Call from", "compare", "Avoids", "Linked", "that"])
+    still = r.choice(["in", "at", "near", "visit", "the", "a", "an", "bought", "uses", "through", "every", "on", "train to", "trip to"])
+    return r.choice(
+        [
+            f"{lead} {two()} {r.choice(_PLACES)}", f"{lead} {r.choice(['Port', 'Sankt', 'Saint', 'New', 'Mount', 'San'])} {two()}", f"{lead} {two()} {two()} {r.choice(_THINGS)}", f"{lead} {two()} {r.choice(_THINGS)}",
+            f"{lead} {two()} {two()} {r.choice(_SECTORS)}", f"{lead} {two()} {r.choice(_SECTORS)}", f"{lead} {r.choice(['the', 'The'])} {two()} {two()} {r.choice(_SECTORS)}", f"{lead} {two()} and {two()} {r.choice(_SECTORS)}", f"{lead} {r.choice(_SECTORS)}, {two()} {two()}", f"{lead} {two()}{two()} {r.choice(_SECTORS)}",
+            f"{still} {two()} {two()}", f"{r.choice(_VERBS)} {two()} {r.choice(_SECTORS)}", f"{r.choice(_VERBS)} {two()}", f"{r.choice(['Project', 'Agent', 'Team', 'Product', 'Channel'])} {two()} needs", f"Every {r.choice(['Monday', 'Tuesday', 'Friday'])} around", f"{lead} {two()}, {two()}", f"{r.choice(_SECTORS)} {two()} {two()} {r.choice(_PERSON_ACTS)}", f"{two()} {two()} {r.choice(_SECTORS)} {r.choice(_PERSON_ACTS)}", f"{two()} {r.choice(_PLACES)} {r.choice(_PERSON_ACTS)}", f"{two()} {two()} {r.choice(['ships', 'costs', 'opens', 'closed'])}",
+        ]
+    )
+
+
+def _unlisted_examples(count: int, seed: int) -> list[tuple[str, set[int]]]:
+    """Texts with the places of names whose given name no list holds, among places, products and organisations."""
+    r = random.Random(seed)
+    out = []
+    for _ in range(count):
+        text, starts = " ".join(r.choices(_FILLER, k=r.randint(2, 8))).capitalize() + ". ", set()
+        for _ in range(r.randint(2, 4)):
+            if r.random() < 0.4:
+                lead, said, rest = _unlisted(r)
+                text += lead + (" " if lead else "")
+                starts.add(len(text))
+                text += said + rest + " "
+            else:
+                text += _unlisted_alike(r) + r.choice(_AFTER) + " "
+        out.append((text, starts))
+    return out
+
+
 def _digits(r: random.Random, n: int, first: str = "0123456789") -> str:
     return r.choice(first) + "".join(r.choice("0123456789") for _ in range(n - 1))
 
@@ -184,11 +242,22 @@ def _fitted(count: int, seed: int) -> tuple[BoostedTrees, ...]:
     for text, spans in examples:
         true = {(KINDS.index(k), s) for k, s in spans}
         for kind, start, _, values in candidates(text, words, forms):
-            x[kind].append(values)
-            y[kind].append((kind, start) in true)
+            if kind < len(KINDS):
+                x[kind].append(values)
+                y[kind].append((kind, start) in true)
+    x.append([]), y.append([])
+    written = _unlisted_examples(count // 2, seed + 1)
+    words, r = _statistics([t for t, _ in written]), random.Random(seed)
+    rare = {w for w in sorted(words.rate) if words.lower[w] < 0.5 and r.random() < 0.5}  # other texts use other words of places and firms often
+    words = Words({w: v for w, v in words.rate.items() if w not in rare}, words.lower)
+    for text, starts in written:
+        for kind, start, _, values in candidates(text, words, forms):
+            if kind == UNLISTED:
+                x[kind].append(values)
+                y[kind].append(start in starts)
     return tuple(fit(np.array(a, dtype=float), np.array(b)) for a, b in zip(x, y, strict=True))
 
 
 def trained(forms: NameForms | None = None, count: int = 6000, seed: int = 11) -> tuple[BoostedTrees, ...]:
-    """Trees for each of ``KINDS``, fitted on ``count`` written examples; the same on every call."""
+    """Trees for each of ``KINDS`` and for unlisted names, fitted on ``count`` written examples; the same on every call."""
     return _fitted(count, seed)

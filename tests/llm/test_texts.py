@@ -170,3 +170,17 @@ def test_words_follow_unicode(spark):
     text = "Café STRASSE_x 12½ – fin"
     got = spark.createDataFrame([(text,)], "t string").select(canonical.words(canonical.folded(canonical.composed(F.col("t")))).alias("w")).first()["w"]
     assert got == re.findall(r"[^\W_]+", unicodedata.normalize("NFC", text).casefold())
+
+
+def test_names_outside_the_list():
+    forms, models = pii.NameForms(), pii_examples.trained()
+    given = "Maria David Sarah Peter Anna Paul Laura Kevin Emma Lucas Sofia Martin Julia Oscar Ahmed Ingrid Marco Elena Brian Nina".split()
+    surnames = "Lopez Schmidt Miller Garcia Novak Fischer Kowalski Dubois Murphy Patel".split()
+    places = ["Met with {} after lunch.", "According to {}, the room is free.", "My neighbour {} has the key.", "{} said the kit is late.", "Dr. {} signed the form.", "Lunch with {} on Monday."]
+    assert not any(forms.kind(g, False) for g in given)
+    cases = [(p.format(f"{g} {surnames[(i + k) % 10]}"), p.index("{}")) for i, g in enumerate(given) for k, p in enumerate(places)]
+    words = pii.Words({"the": 1.0, "with": 0.5, "lunch": 0.3}, {"the": 0.9, "with": 1.0, "lunch": 0.9})
+    found = pii.find([t for t, _ in cases], models, words, forms)
+    assert sum(any(k == 4 and s == at for k, s, _ in own) for (_, at), own in zip(cases, found, strict=True)) >= 0.9 * len(cases)
+    others = ["Moved to Halden Quay last month.", "Avoids Norlol Madmep Construction now.", "Every Monday around noon.", "Agent Gixseb suggested it.", "Hedhof Gultom Labs asked for 261 copies."]
+    assert not any(pii.find(others, models, words, forms))
