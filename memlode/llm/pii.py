@@ -23,7 +23,10 @@ from memlode.llm.boosting import BoostedTrees
 from memlode.llm.given_names import full_names, plain, short_forms
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-UNLISTED = len(KINDS)  # candidates of kind 'name' whose given name no list holds; trees of their own judge them by context
+# Candidates with trees of their own: names whose given name no list holds, names whose surname is short or itself a
+# given name, addresses of long numbers or many words; and the kind that each set of trees stands for.
+UNLISTED, HARD, LONG = range(len(KINDS), len(KINDS) + 3)
+STANDS_FOR = (*range(len(KINDS)), 4, 4, 3)
 PLACEHOLDERS = {kind: f"[{kind.upper()}]" for kind in KINDS}
 
 # Words before a number that say what it is, or that it is something else.
@@ -53,6 +56,7 @@ _ADDRESSES = tuple(
         r"(?:\b(?:flat|apt\.?|apartment|unit|suite)\s+\w{1,4},?\s+)?(?<![\w.,:€$£-])\d{1,4}[a-z]?,?\s+(?:rue|avenue|boulevard|place|chemin|allée)\s+(?:de\s+la\s+|du\s+|des\s+|de\s+l['’]|de\s+|d['’])?[^\W\d_]+",
         r"\b(?:calle|avenida|plaza|paseo|c/|via|viale)\s*(?:de\s+(?:la\s+|los\s+)?)?[^\W\d_]+(?:\s[^\W\d_]+)?,?\s+\d{1,4}\b",
         r"\b[^\W\d_]+(?:straße|strasse|str\.|weg|gasse|allee|platz|ring|damm)\s+\d{1,4}[a-z]?\b",
+        rf"(?:\b(?:flat|apt\.?|apartment|unit|suite)\s+\w{{1,4}},?\s+)?(?<![\w.,:€$£-])\d{{1,6}}[a-z]?,?\s+(?:(?:(?:st|dr|mt|gen|[a-z])\.|[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*|\d{{1,3}}(?:st|nd|rd|th))\s+){{1,5}}?(?:{STREETS})\b",
     )
 )
 _TITLE_GAP = re.compile(r"[\s.]*$")
@@ -177,13 +181,20 @@ def candidates(text: str, words: Words, forms: NameForms) -> list[tuple[int, int
             values = _number_features(text, s, end)
             out.append((1, s, end, values))
             out.append((2, s, end, values))
+    starts = set()
     for pattern, regex in enumerate(_ADDRESSES):
         for m in regex.finditer(text):
+            if pattern == 4 and m.start() in starts:  # the last pattern is the first one with longer numbers and more words
+                continue
+            starts.add(m.start())
             inner = [w for w in _WORD.findall(m.group()) if len(w) > 2]
             rarest = min((words.of(w) for w in inner), default=-2.7)
             before = _WORD.findall(text[max(0, m.start() - 20) : m.start()])
             cue = _cue([w.lower() for w in before])
-            out.append((3, m.start(), m.end(), [pattern, rarest, len(inner), len(m.group()), cue == 3, text[m.start() : m.start() + 1].isdigit(), text[m.end() : m.end() + 1] == ":"]))
+            values = [pattern, rarest, len(inner), len(m.group()), cue == 3, text[m.start() : m.start() + 1].isdigit(), text[m.end() : m.end() + 1] == ":"]
+            if pattern == 4:
+                values += [len(re.search(r"\d+", m.group())[0]), sum(w[0].isupper() for w in inner) / max(len(inner), 1), max((words.of_lower(w) for w in inner[:-1]), default=-2.7)]
+            out.append((LONG if pattern == 4 else 3, m.start(), m.end(), values))
     _names(text, words, forms, out)
     return out
 
@@ -197,7 +208,7 @@ def _names(text: str, words: Words, forms: NameForms, out: list) -> None:
 
     def add(given: int, surname: int, first: int, last: int, middle: int, comma: bool, unlisted: bool = False) -> None:
         word = tokens[surname][0]
-        if len(word) < 4 or kinds[surname] in (1, 3, 4):
+        if len(word) < 2 or word.islower() and kinds[given] == 4 and len(word) < 4:  # 'I am', 'b is'
             return
         left = tokens[first - 1] if first else None
         near = left is not None and _TITLE_GAP.fullmatch(text[left[2] : tokens[first][1]]) is not None
@@ -212,7 +223,15 @@ def _names(text: str, words: Words, forms: NameForms, out: list) -> None:
         if unlisted:
             acts = close and gaps[last] == " " and right[0].lower() in PERSON_VERBS
             values += [words.of_lower(word), words.of(own), own.lower() in ORG_WORDS, any(w.lower() in PLACE_WORDS or w.lower() in THING_CUES or w.lower() in THING_LEADS for w in (own, word)), cue(first), acts, left is not None and left[0].lower() in ORG_WORDS]
-        out.append((UNLISTED if unlisted else 4, tokens[first][1], end, values))
+        hard = not unlisted and (len(word) < 4 or kinds[surname] in (1, 3))
+        if hard:
+            values += [kinds[surname], words.of_lower(word), listed(first, last)]
+        out.append((UNLISTED if unlisted else HARD if hard else 4, tokens[first][1], end, values))
+
+    def listed(first: int, last: int) -> bool:
+        """Whether the pair stands in a list of given names: 'Robert, Susan and Thomas'."""
+        more = last + 2 < len(tokens) and gaps[last] == " " and tokens[last + 1][0].lower() in ("and", "or", "und", "y") and gaps[last + 1] == " " and kinds[last + 2] == 1
+        return more or first > 0 and gaps[first - 1] == ", " and kinds[first - 1] == 1 or last + 1 < len(tokens) and gaps[last] == ", " and kinds[last + 1] == 1
 
     def cue(first: int) -> int:
         """What the two words before say: 3 a person follows, 2 a preposition of persons, 1 the sentence opens, -1 a place or thing follows."""
@@ -231,7 +250,7 @@ def _names(text: str, words: Words, forms: NameForms, out: list) -> None:
     def unknown(i: int, j: int) -> bool:
         """Two words that no list knows, but that are shaped like a name: capitals, or rare words where a person is due."""
         a, b = tokens[i][0], tokens[j][0]
-        if len(a) < 2 or len(b) < 4 or kinds[i] or kinds[j]:
+        if len(a) < 2 or len(b) < 2 or kinds[i] or kinds[j]:
             return False
         if a[0].isupper() and b[0].isupper() and not (a.isupper() and b.isupper()):
             return True
@@ -278,7 +297,7 @@ def redact(text: str, spans: Sequence[tuple[int, int, int]]) -> str:
 def find(texts: Sequence[str | None], models: Sequence[BoostedTrees], words: Words, forms: NameForms) -> list[list[tuple[int, int, int]]]:
     """Spans of each text; the candidates of all texts are scored together, kind by kind."""
     proposed = [candidates(t, words, forms) if t else [] for t in texts]
-    rows: dict[int, list] = {k: [] for k in range(UNLISTED + 1)}
+    rows: dict[int, list] = {k: [] for k in range(len(STANDS_FOR))}
     for i, own in enumerate(proposed):
         for kind, start, end, values in own:
             rows[kind].append((i, start, end, values))
@@ -287,7 +306,7 @@ def find(texts: Sequence[str | None], models: Sequence[BoostedTrees], words: Wor
         if own:
             chance = models[kind].probability(np.array([r[3] for r in own], dtype=float))
             for (i, start, end, _), p in zip(own, chance, strict=True):
-                found[i].append((min(kind, 4), start, end, float(p), p >= models[kind].threshold))
+                found[i].append((STANDS_FOR[kind], start, end, float(p), p >= models[kind].threshold))
     return [accepted(f) for f in found]
 
 

@@ -10,7 +10,7 @@ import numpy as np
 
 from memlode.llm.boosting import BoostedTrees, fit
 from memlode.llm.given_names import GIVEN_NAMES
-from memlode.llm.pii import _CHECK, KINDS, ORG_WORDS, PLACE_WORDS, UNLISTED, NameForms, Words, candidates
+from memlode.llm.pii import _CHECK, HARD, KINDS, LONG, ORG_WORDS, PLACE_WORDS, STANDS_FOR, UNLISTED, NameForms, Words, candidates
 
 _ONSETS, _VOWELS, _CODAS = "bdfghklmnprstvz", "aeiou", "bdfgklmnprstxz"
 
@@ -32,6 +32,7 @@ def _given(r: random.Random) -> str:
     return (word if len(word) > 2 else word + "na").capitalize()
 
 
+_SMALL = "is was has had and or to of in on at by for the a an it he she will can may not who did does says said asks sent came went got let put ran sat saw met his her its our my we you they from with about over into then now".split()
 _PERSON_LEADS = ["Lunch with", "dinner at 18:40 with", "went with", "signed by", "a gift for", "Met with", "Call from", "According to", "Dr.", "Mrs.", "Mr", "Prof.", "Introduced", "works with", "Argued with", "contact is", "ask for", "Asked", "Told", "Heard from", "Promised", "user trusts", "my neighbour", "his sister", "her boss", "the landlord", "our doctor", "a letter from", "Thanked", "Owes", "Call", "spoke to", "Dear", "married to", "a friend of", "Invited"]
 _PERSON_ACTS = ["said no", "says hello", "asked for it", "told us", "wrote back", "called twice", "works here", "lives nearby", "lent a key", "brought the notes", "signed for it", "picked it up", "agreed", "phoned", "has the spare key", "wants it back", "joined late"]
 _PLACES = [w.capitalize() for w in sorted(PLACE_WORDS)]
@@ -84,6 +85,60 @@ def _unlisted_examples(count: int, seed: int) -> list[tuple[str, set[int]]]:
     return out
 
 
+def _short(r: random.Random) -> str:
+    return (r.choice(["", *_ONSETS]) + r.choice(_VOWELS) + r.choice(["x", "y", "e", "n", "m", "ng", "w", "u"]))[:3].capitalize()
+
+
+def _hard(r: random.Random, names: list[tuple[str, list[str]]]) -> str:
+    """A name whose surname is short or itself a given name."""
+    full, short = r.choice(names)
+    given = r.choice([full, full, *short, f"{full[0]}.", f"{full[0]}."])
+    surname = _short(r) if r.random() < 0.5 else r.choice(names)[0]
+    said = f"{surname}, {given}" if r.random() < 0.2 else f"{given} {surname}"
+    return said.upper() if r.random() < 0.06 else said
+
+
+def _hard_alike(r: random.Random, names: list[tuple[str, list[str]]]) -> str:
+    full, two = lambda: r.choice(names)[0], lambda: _made(r, 2)
+    any_form = r.choice([n for a, b in names for n in (a, *b)])
+    other = r.choice([two(), "Bros", "Tech", "Svcs", "TKB", "VRI", _short(r), "Int'l"])
+    return r.choice([f"{any_form} {r.choice(_SMALL)}", f"{r.choice(_SMALL)} {any_form}", f"{r.choice(_SMALL)} {any_form.lower()} {r.choice(_FILLER)}", f"{any_form.lower()} {r.choice(_SMALL)}", f"{other} will change", f"{other} kit for", f"{other} bill came", f"{full()}, {full()} and {full()} came", f"{full()}, {full()}, {full()} came", f"{r.choice('ABCDEM')} {r.choice(_SMALL)}", f"{full()} {_surname(r)} {r.choice(_SMALL)}", f"{_surname(r)}, {full()} {r.choice(_SMALL)}", f"{r.choice('ABCDEFX')}.{r.choice(['png', 'md', 'js', 'py', 'com'])}", f"plan {r.choice('ABC')} {r.choice(_SMALL)}", f"{r.choice(_SMALL).capitalize()} {any_form}", f"the {any_form.lower()} {r.choice(_SMALL)}", f"{full()} {r.choice(['Inc', 'Ltd', 'Co', 'Bay'])}", f"{full().lower()} dot com", f"mail {full().lower()} at fog dot com"])
+
+
+def _long_address(r: random.Random) -> str:
+    number = r.choice([r.randint(1, 9999), r.randint(10_000, 99_999), r.randint(10_000, 99_999), r.randint(100_000, 999_999)])
+    words = [_made(r, r.choice([1, 2])) for _ in range(r.choice([1, 2, 3, 3, 4]) if number > 9999 else r.choice([3, 4]))]
+    words[0] = r.choice([words[0], words[0], "St.", "Dr.", f"{r.randint(2, 99)}th", f"O'{words[0]}"]) if len(words) > 1 else words[0]
+    said = f"{r.choice(['', '', f'Flat {r.randint(1, 9)}, '])}{number} {' '.join(words)} {r.choice(['Street', 'St', 'Road', 'Rd', 'Lane', 'Avenue', 'Ave', 'Blvd', 'Drive', 'Court', 'Way'])}"
+    return said.lower() if r.random() < 0.1 else said
+
+
+def _long_address_alike(r: random.Random) -> str:
+    number, end = r.choice([r.randint(2, 90), r.randint(2, 9999), r.randint(10_000, 99_999)]), r.choice(["way", "walk", "close", "drive", "road", "street", "court", "hill", "row"])
+    return r.choice([f"{number} {' '.join(r.choices(_FILLER, k=r.choice([2, 3, 4])))} {end}", f"{number} {r.choice(['by the', 'copies of the', 'people in the', 'on their', 'steps from the'])} {r.choice(['', 'charger ', _made(r, 2) + ' '])}{end}", f"{r.randint(1, 31)} May {_made(r, 2)} and {_made(r, 2)} Street", f"{number} copies of {_made(r, 2)} Street"])
+
+
+def _hard_examples(count: int, seed: int) -> list[tuple[str, set[tuple[int, int]]]]:
+    """Texts with the (kind, place) of hard names and long addresses, among look-alikes."""
+    r = random.Random(seed)
+    names = [(a.strip(), b.split()) for a, b in (line.split(":") for line in GIVEN_NAMES.strip().splitlines())]
+    out = []
+    for _ in range(count):
+        text, starts = " ".join(r.choices(_FILLER, k=r.randint(2, 8))).capitalize() + ". ", set()
+        for _ in range(r.randint(2, 4)):
+            name, kind = r.random() < 0.65, r.random()
+            if kind < 0.4:
+                lead = r.choice([*_PERSON_LEADS, "", ""] if name else _BEFORE["address"])
+                text += lead + (" " if lead else "")
+                starts.add((4 if name else 3, len(text)))
+                text += _hard(r, names) if name else _long_address(r)
+            else:
+                text += _hard_alike(r, names) if name else _long_address_alike(r)
+            text += r.choice(_AFTER) + " "
+        out.append((text, starts))
+    return out
+
+
 def _digits(r: random.Random, n: int, first: str = "0123456789") -> str:
     return r.choice(first) + "".join(r.choice("0123456789") for _ in range(n - 1))
 
@@ -245,7 +300,8 @@ def _fitted(count: int, seed: int) -> tuple[BoostedTrees, ...]:
             if kind < len(KINDS):
                 x[kind].append(values)
                 y[kind].append((kind, start) in true)
-    x.append([]), y.append([])
+    x += [[], [], []]
+    y += [[], [], []]
     written = _unlisted_examples(count // 2, seed + 1)
     words, r = _statistics([t for t, _ in written]), random.Random(seed)
     rare = {w for w in sorted(words.rate) if words.lower[w] < 0.5 and r.random() < 0.5}  # other texts use other words of places and firms often
@@ -255,9 +311,16 @@ def _fitted(count: int, seed: int) -> tuple[BoostedTrees, ...]:
             if kind == UNLISTED:
                 x[kind].append(values)
                 y[kind].append(start in starts)
+    hard = _hard_examples(count // 2, seed + 2)
+    words = _statistics([t for t, _ in hard])
+    for text, true in hard:
+        for kind, start, _, values in candidates(text, words, forms):
+            if kind in (HARD, LONG):
+                x[kind].append(values)
+                y[kind].append((STANDS_FOR[kind], start) in true)
     return tuple(fit(np.array(a, dtype=float), np.array(b)) for a, b in zip(x, y, strict=True))
 
 
 def trained(forms: NameForms | None = None, count: int = 6000, seed: int = 11) -> tuple[BoostedTrees, ...]:
-    """Trees for each of ``KINDS`` and for unlisted names, fitted on ``count`` written examples; the same on every call."""
+    """Trees for each of ``KINDS`` and for the candidates beyond them, fitted on ``count`` written examples; the same on every call."""
     return _fitted(count, seed)

@@ -184,3 +184,16 @@ def test_names_outside_the_list():
     assert sum(any(k == 4 and s == at for k, s, _ in own) for (_, at), own in zip(cases, found, strict=True)) >= 0.9 * len(cases)
     others = ["Moved to Halden Quay last month.", "Avoids Norlol Madmep Construction now.", "Every Monday around noon.", "Agent Gixseb suggested it.", "Hedhof Gultom Labs asked for 261 copies."]
     assert not any(pii.find(others, models, words, forms))
+
+
+def test_short_surnames_and_long_addresses():
+    forms, models = pii.NameForms(), pii_examples.trained()
+    cases = [("Met with {} after lunch.", n) for n in ("Susan Lee", "Robert Fox", "James Thomas", "Thomas, James", "Michael Ng", "Lee, Susan", "Daniel Kim", "Maria Lee")]
+    cases += [("Moved to {} last month.", a) for a in ("12345 Main Street", "100 Martin Luther King Blvd", "7 Old Mill Pond Lane", "32 Tuxvup St", "100234 Kestrel Road")]
+    common = "the with to and is was last after lunch moved met month will on of in at for copies shared road".split()
+    words = pii.Words(dict.fromkeys(common, 0.3), dict.fromkeys(common, 0.9))
+    found = pii.find([t.format(n) for t, n in cases], models, words, forms)
+    want = [[(4 if t.startswith("Met") else 3, t.index("{"), t.index("{") + len(n))] for t, n in cases]
+    assert found == want
+    others = ["Susan is in the room.", "Will was on it.", "Robert and the others.", "Robert, Susan and Thomas met.", "12345 copies of the shared road map"]
+    assert pii.find(others, models, words, forms) == [[]] * len(others)
