@@ -128,7 +128,9 @@ def _place(shared, spread: int):
     return run
 
 
-def _scan(shared, keep: int, floor: float):
+def _scan(shared, keep: int, floor: float, error: float, k: int):
+    """Best ``keep`` by codes. Where more than ``keep`` could be wanted, the query comes back without ``other``: its block is to be scored exactly."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         quantiser = shared.value
         dims = quantiser.cells.shape[1]
@@ -149,11 +151,36 @@ def _scan(shared, keep: int, floor: float):
                 if len(ids) > keep:
                     top = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
                     high = np.take_along_axis(scores, top, 1)
+                    best = -np.partition(-high, min(k, keep - 1), axis=1)[:, min(k, keep - 1)]
+                    dense = high.min(1) > np.maximum(floor, best - 2 * error)
                 else:
                     top, high = np.broadcast_to(np.arange(len(ids)), scores.shape), scores
-                q, c = np.nonzero(high > floor)
+                    dense = np.zeros(len(scores), bool)
+                q, c = np.nonzero((high > floor) & ~dense[:, None])
+                out.append(pd.DataFrame({"query": own[s : s + step][q], "other": ids[top[q, c]]}))
+                out.append(pd.DataFrame({"query": own[s : s + step][dense], "other": pd.Series([None] * int(dense.sum()), dtype="Int64")}))
+        found = pd.concat(out) if out else pd.DataFrame({"query": np.zeros(0, np.int64), "other": np.zeros(0, np.int64)})
+        return found.astype({"other": "Int64"}).assign(cell=pdf["cell"].iloc[0], db=pdf["db"].iloc[0], qb=pdf["qb"].iloc[0])
+
+    return run
+
+
+def _scan_exactly(dims: int, k: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates(["vec", "is_query"])
+        queries, base = pdf[pdf["is_query"]], pdf[~pdf["is_query"]]
+        out = [pd.DataFrame({"query": np.zeros(0, np.int64), "other": np.zeros(0, np.int64)})]
+        if len(queries) and len(base):
+            entries, ids = _matrix(base["data"], dims), base["vec"].to_numpy(np.int64)
+            asked, own = _matrix(queries["data"], dims), queries["vec"].to_numpy(np.int64)
+            step, most = max(1, 4_000_000 // len(base)), min(k + 2, len(ids))  # a little more than k: single precision
+            for s in range(0, len(asked), step):
+                scores = asked[s : s + step] @ entries.T
+                scores[own[s : s + step][:, None] == ids] = -9
+                top = np.argpartition(-scores, most - 1, axis=1)[:, :most]
+                q, c = np.nonzero(np.take_along_axis(scores, top, 1) > -9)
                 out.append(pd.DataFrame({"query": own[s : s + step][q], "other": ids[top[q, c]]}))
-        return pd.concat(out) if out else pd.DataFrame({"query": np.zeros(0, np.int64), "other": np.zeros(0, np.int64)})
+        return pd.concat(out)
 
     return run
 
@@ -220,7 +247,18 @@ def nearest(rows: DataFrame, id_column: str, vector_column: str, order: list[str
     visits = F.explode("cells").alias("cell") if queries is not None else F.element_at("cells", 1).alias("cell")
     ask = asking.select("vec", F.col("unit").alias("data"), visits).select("vec", "data", "cell", every.alias("db"), mine.alias("qb"), F.lit(True).alias("is_query"))
     floor = -2.0 if least is None else least - slack
-    found = base.unionByName(ask).groupBy("cell", "db", "qb").applyInPandas(_scan(shared, keep, floor), "query bigint, other bigint").distinct()
+    # the error of a score by codes: exact for thresholds (everything above the floor counts), else the largest of a part of the sample
+    part = _matrix(drawn["unit"], dims)[:2000]
+    error = 2.0 if least is not None else float(np.abs((part - quantiser.decode(quantiser.encode(part))) @ part.T).max())
+    by_codes = kept(base.unionByName(ask).groupBy("cell", "db", "qb").applyInPandas(_scan(shared, keep, floor, error, k), "query bigint, other bigint, cell int, db int, qb int"), "scanned")
+    found = by_codes.where("other is not null").select("query", "other")
+    dense = by_codes.where("other is null").select("cell", "db", "qb", F.col("query").alias("vec"))
+    if not dense.isEmpty():  # only these blocks' full vectors travel
+        units_of = placed.select("vec", F.col("unit").alias("data"))
+        again = base.select("vec", "cell", "db", "qb").join(dense.select("cell", "db", "qb").distinct(), ["cell", "db", "qb"], "left_semi").join(units_of, "vec").withColumn("is_query", F.lit(False))
+        again = again.unionByName(dense.join(units_of, "vec").withColumn("is_query", F.lit(True)))
+        found = found.unionByName(again.groupBy("cell", "db", "qb").applyInPandas(_scan_exactly(dims, k), "query bigint, other bigint"))
+    found = found.distinct()
     full = placed.select("vec", "unit").dropDuplicates(["vec"])
     both = found.join(full.select(F.col("vec").alias("query"), F.col("unit").alias("ua")), "query").join(full.select(F.col("vec").alias("other"), F.col("unit").alias("ub")), "other")
     scored = both.mapInPandas(_exact(dims), "query bigint, other bigint, score double")

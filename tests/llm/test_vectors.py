@@ -63,3 +63,13 @@ def test_anisotropic_codes_keep_high_products_better(clustered):
     plain, aware = (vectors.train(clustered.astype(np.float32), 8, threshold=t) for t in (1e-6, 0.6))
     error = lambda q: np.abs(((q.decode(q.encode(clustered.astype(np.float32))) - clustered) * clustered).sum(1)).mean()
     assert error(aware) < error(plain)
+
+
+def test_dense_cluster_beyond_the_candidates_kept(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=64) + rng.normal(size=(400, 64)) * 0.15, rng.normal(size=(400, 64))])
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = frame(spark, [(f"m{i:03}", [float(c) for c in v]) for i, v in enumerate(x)])
+    got = {tuple(r) for r in vectors.similar_pairs(rows, "id", "v", ["version"], least=0.93, k=5, dims=64, cells=1).collect()}
+    want = {(min(p), max(p)) for p in exact(x, 5, 0.93)}
+    assert len(got & want) >= 0.99 * len(want) and len(want) > 400
