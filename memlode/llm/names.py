@@ -1,8 +1,7 @@
 """Variant spellings of names: entities of one owner and type that mean the same person or organisation.
 
 Every spelling of an entity (its name, aliases and mentions) is cut into tokens, and the tokens' suffixes are the
-blocks. A suffix that too many entities share is refined by the neighbouring token; only if it is still too
-common, and a longer suffix of the token stands for it, is it discarded. Pairs that meet are compared by the
+blocks. A suffix that too many entities share is refined by the neighbouring token; none is discarded. Pairs that meet are compared by the
 ratio of the longest common subsequence of their surnames (or of the organisations' own words), and by whether
 the given names (or the lines of business) can be the same. Links are closed transitively per owner.
 """
@@ -212,12 +211,12 @@ def spellings(entities: DataFrame, mentions: DataFrame, types: tuple[str, ...] =
     return joined.select("id", "owner", "type", F.array_distinct(F.concat("forms", F.coalesce("said", F.array().cast("array<string>")))).alias("forms"))
 
 
-def linked(entities: DataFrame, mentions: DataFrame, names: dict[str, set[str]] | None = None, least: float = 0.8, shortest: int = 4, common: int = 60, too_common: int = 400) -> DataFrame:
+def linked(entities: DataFrame, mentions: DataFrame, names: dict[str, set[str]] | None = None, least: float = 0.8, shortest: int = 4, common: int = 60) -> DataFrame:
     """(id, root): entities that some other entity of their owner and type equals, with the smallest id of their group.
 
     ``names``: given names and short forms, lower case without accents -> full names. ``common``: entities per
-    suffix beyond which the suffix is refined by the first letter of a neighbouring token; ``too_common``: per
-    refined suffix, beyond which it is discarded unless it is a whole token. Defined cases: null names or
+    suffix beyond which the suffix is refined by the first letter of a neighbouring token; no refined
+    block is discarded, whatever its size. Defined cases: null names or
     aliases, roles ('the landlord') and names without letters link nothing; null owners or types link nothing;
     repeated rows of an id count once, the newest; empty tables give no rows; other columns are ignored.
     """
@@ -230,7 +229,7 @@ def linked(entities: DataFrame, mentions: DataFrame, names: dict[str, set[str]]
     fine = index.groupBy("key", "other").agg(F.count("*").alias("m"))
     sized = index.join(sizes.where(F.col("n") > 1), "key").join(fine, ["key", "other"])
     plain_keys = sized.where(F.col("n") <= common).select("id", "key").distinct()
-    refined = sized.where((F.col("n") > common) & (F.col("m") > 1) & ((F.col("m") <= too_common) | F.col("whole"))).select("id", F.xxhash64("key", "other").alias("key")).distinct()
+    refined = sized.where((F.col("n") > common) & (F.col("m") > 1)).select("id", F.xxhash64("key", "other").alias("key")).distinct()
     blocks = plain_keys.unionByName(refined)
     pairs = blocks.select(F.col("id").alias("a"), "key").join(blocks.select(F.col("id").alias("b"), "key"), "key").where("a < b").select("a", "b").distinct()
     left, right = base.select(F.col("id").alias("a"), "owner", "type", F.col("forms").alias("fa")), base.select(F.col("id").alias("b"), F.col("owner").alias("_owner"), F.col("type").alias("_type"), F.col("forms").alias("fb"))

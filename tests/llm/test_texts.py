@@ -197,3 +197,14 @@ def test_short_surnames_and_long_addresses():
     assert found == want
     others = ["Susan is in the room.", "Will was on it.", "Robert and the others.", "Robert, Susan and Thomas met.", "12345 copies of the shared road map"]
     assert pii.find(others, models, words, forms) == [[]] * len(others)
+
+
+def test_frequent_surname_loses_no_link(spark):
+    from datetime import datetime
+
+    letters = "bcdfghjklmnpqrstvwxz"
+    names = [("e0", "R. Smith"), ("e1", "Bob Smith")] + [(f"f{i:03}", f"R{letters[i // 20]}o{letters[i % 20]}u Smith") for i in range(400)] + [(f"g{i:03}", f"Bo{letters[i // 20]}a{letters[i % 20]} Smith") for i in range(400)]
+    entities = spark.createDataFrame([(i, "u1", "person", n, None, datetime(2024, 1, 1)) for i, n in names], "id string, owner_entity_id string, type string, canonical_name string, aliases array<string>, updated_at timestamp_ntz")
+    mentions = spark.createDataFrame([], "entity_id string, mention_text string")
+    roots = {r.id: r.root for r in linked(entities, mentions).collect()}
+    assert roots["e0"] == roots["e1"] == "e0"
