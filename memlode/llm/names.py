@@ -160,7 +160,9 @@ class Comparer:
     def _organisations(self, a: set, b: set) -> bool:
         for lines, own in a:
             for other_lines, other in b:
-                if len(own) > 3 and len(other) > 3 and (lines & other_lines or not lines and not other_lines) and ratio(own, other) >= self.least + 0.05:
+                if not own or not (lines & other_lines or not lines and not other_lines):
+                    continue
+                if own == other or len(own) > 3 and len(other) > 3 and ratio(own, other) >= self.least + 0.05:  # short names: only equal ones
                     return True
         return False
 
@@ -180,7 +182,7 @@ def _suffixes(shortest: int, known: dict[str, set[str]]):
                     for i, w in enumerate(t + more):
                         rest = [x[:1] for j, x in enumerate(t) if j != i] or [w[:1]]
                         for n in range(min(shortest, len(w)), len(w) + 1):
-                            if n >= 3:
+                            if n >= 3 or n == len(w) == 2:
                                 for o in set(rest):
                                     got[w[-n:], o] = got.get((w[-n:], o), False) or n == len(w)
                 for (suffix, other), whole in got.items():

@@ -208,3 +208,16 @@ def test_frequent_surname_loses_no_link(spark):
     mentions = spark.createDataFrame([], "entity_id string, mention_text string")
     roots = {r.id: r.root for r in linked(entities, mentions).collect()}
     assert roots["e0"] == roots["e1"] == "e0"
+
+
+@pytest.mark.parametrize(("a", "b", "same"), [("IBM", "IBM Corp.", True), ("SAP", "SAP AG", True), ("T.G.P.", "TGP", True), ("BMW Group", "BMW Grp", True), ("HP", "HP Inc", True), ("IBM", "IBN", False), ("Group", "Group Ltd", False)])
+def test_short_organisations(a, b, same):
+    import pandas as pd
+
+    from memlode.llm.names import _suffixes
+
+    known = full_names()
+    c = Comparer(known, 0.8)
+    assert c.same("organization", c.read("a", "organization", [a]), c.read("b", "organization", [b])) == same
+    made = next(_suffixes(4, known)(iter([pd.DataFrame({"id": ["a", "b"], "forms": [[a], [b]]})])))
+    assert bool(set(made[made.id == "a"].suffix) & set(made[made.id == "b"].suffix)) or not same
