@@ -88,6 +88,6 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: flo
         p = made.probability(xv)
         grid = np.linspace(0.2, 0.8, 25)
         f1 = [2 * (yv * (p > t)).sum() / max((yv.sum() + (p > t).sum()), 1) for t in grid]
-        good = grid[np.array(f1) >= max(f1) - 1e-9]
+        good = grid[np.array(f1) >= max(f1) - 2e-3]
         made.threshold = float(good[np.abs(good - 0.5).argmin()])
     return made

@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
@@ -20,35 +20,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlode.llm.boosting import BoostedTrees
-from memlode.llm.given_names import full_names, plain, short_forms
+from memlode.llm.given_names import full_names, plain
+from memlode.runtime import kept
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-# Candidates with trees of their own: names whose given name no list holds, names whose surname is short or itself a
-# given name, addresses of long numbers or many words; and the kind that each set of trees stands for.
-UNLISTED, HARD, LONG = range(len(KINDS), len(KINDS) + 3)
-STANDS_FOR = (*range(len(KINDS)), 4, 4, 3)
+# Addresses of long numbers or many words have trees of their own; and the kind that each set of trees stands for.
+LONG = len(KINDS)
+STANDS_FOR = (*range(len(KINDS)), 3)
 PLACEHOLDERS = {kind: f"[{kind.upper()}]" for kind in KINDS}
 
-# Words before a number that say what it is, or that it is something else.
-PHONE_CUES = {"phone", "call", "text", "mobile", "tel", "telephone", "cell", "reach", "fax", "ring", "dial", "sms", "whatsapp", "landlord", "clinic", "back"}
-ID_CUES = {"ssn", "social", "security", "tax", "id", "steuernummer", "dni", "nif", "nie", "passport", "licence", "license", "insurance", "identity", "national", "steuer", "tin"}
-OTHER_CUES = {"order", "build", "page", "ticket", "lot", "part", "note", "job", "thread", "log", "file", "release", "version", "port", "window", "score", "invoice", "room", "pinned", "price", "cost", "budget", "ref", "serial", "sku", "model", "batch", "case", "bug", "issue", "plan", "retry", "item", "number"}
-# Titles before names, words before names of things, words after names of organisations.
-TITLES = {"dr", "mr", "mrs", "ms", "miss", "prof", "professor", "herr", "frau", "sr", "sra", "señor", "señora", "mme", "monsieur", "madame", "sir", "dame"}
-THING_CUES = {"agent", "project", "tag", "channel", "mute", "named", "tasks", "product", "release", "app", "café", "cafe", "hotel", "cup", "team", "company", "brand"}
-ORG_WORDS = {"inc", "llc", "ltd", "gmbh", "plc", "corp", "co", "corporation", "limited", "incorporated", "company", "labs", "laboratories", "university", "univ", "institute", "inst", "brothers", "bros", "associates", "assoc", "technologies", "tech", "services", "svcs", "foods", "aviation", "logistics", "consulting", "electronics", "pharmaceuticals", "pharma", "manufacturing", "mfg", "engineering", "eng", "construction", "constr", "properties", "insurance", "ins", "international", "intl", "publishing", "publ", "group", "holdings", "partners", "sons", "festival", "meetup", "case", "app", "kettle", "square", "pier", "valley", "method", "habit", "thing", "street", "road", "lane", "close", "avenue", "stories", "cup"}
-# Words before a person, prepositions that may stand there, words before places and things, what people do.
-PERSON_CUES = {"met", "meet", "told", "tell", "asked", "ask", "introduced", "introduce", "contact", "call", "called", "trusts", "trust", "promised", "thanked", "thanks", "wife", "husband", "partner", "neighbour", "neighbor", "colleague", "friend", "sister", "brother", "mother", "father", "son", "daughter", "aunt", "uncle", "cousin", "boss", "manager", "doctor", "nurse", "teacher", "landlord", "plumber", "client", "patient", "tenant", "owes", "invited", "married", "heard", "according", "argued", "works", "worked", "spoke", "talked", "attn", "regards", "dear", "hi", "hello", "signed", "emailed", "phoned", "remind", "reminded", "thank"}
+# Fixed values, from general knowledge: words before a number that say what it is, or that it is something else.
+PHONE_CUES = {"phone", "call", "text", "mobile", "tel", "telephone", "cell", "reach", "fax", "ring", "dial", "sms", "whatsapp", "landline", "hotline", "voicemail", "clinic", "office", "back"}
+ID_CUES = {"ssn", "social", "security", "tax", "id", "steuernummer", "dni", "nif", "nie", "passport", "licence", "license", "insurance", "identity", "national", "steuer", "tin", "ausweis", "permit"}
+OTHER_CUES = {"article", "batch", "budget", "bug", "build", "case", "chapter", "code", "cost", "file", "flight", "invoice", "isbn", "issue", "item", "job", "log", "lot", "model", "note", "number", "order", "page", "parcel", "part", "plan", "port", "price", "record", "ref", "reference", "release", "retry", "room", "sample", "score", "section", "serial", "sku", "thread", "ticket", "track", "version", "window"}
+# Fixed values, from general knowledge: titles before names, words before names of things, words after names of organisations, events, goods and ideas.
+TITLES = {"dr", "mr", "mrs", "ms", "miss", "prof", "professor", "herr", "frau", "sr", "sra", "señor", "señora", "mme", "monsieur", "madame", "sir", "dame", "captain", "judge", "sister", "father"}
+THING_CUES = {"agent", "app", "book", "brand", "café", "cafe", "channel", "company", "cup", "film", "firm", "game", "hotel", "named", "product", "project", "release", "restaurant", "ship", "song", "tag", "team"}
+ORG_WORDS = {
+    "academy", "agency", "airlines", "airways", "app", "associates", "assoc", "association", "aviation", "award", "bakery", "bank", "band", "books", "brothers", "bros", "camp", "case", "challenge", "championship", "clinic", "club", "co", "college", "committee", "company", "concert", "conference", "construction", "constr", "consulting", "corp", "corporation", "council", "cup", "department", "electronics",
+    "energy", "engineering", "eng", "exhibition", "fair", "festival", "foods", "forum", "foundation", "game", "gmbh", "group", "guide", "habit", "holdings", "hospital", "inc", "incorporated", "industries", "institute", "inst", "insurance", "ins", "international", "intl", "kettle", "laboratories", "labs", "law", "league", "library", "limited", "llc", "logistics", "ltd", "machine", "magazine", "manufacturing",
+    "marathon", "market", "media", "meetup", "method", "mfg", "ministry", "motors", "museum", "music", "news", "office", "orchestra", "partners", "pharma", "pharmaceuticals", "plc", "press", "principle", "prize", "properties", "publ", "publishing", "records", "report", "restaurant", "school", "services", "society", "software", "solutions", "sons", "square", "studio", "summit", "svcs", "systems", "team", "tech",
+    "technologies", "theatre", "theorem", "theory", "thing", "times", "tower", "union", "univ", "university", "works",
+}
+# Fixed values, from general knowledge: words before a person, prepositions that may stand there, words before places and things, what people do, words in names of places.
+PERSON_CUES = {
+    "according", "argued", "ask", "asked", "attn", "aunt", "blamed", "boss", "brother", "call", "called", "client", "colleague", "contact", "cousin", "daughter", "dear", "doctor", "emailed", "father", "friend", "heard", "hello", "helped", "hi", "hired", "husband", "interviewed", "introduce", "introduced", "invited", "landlord", "manager", "married", "meet", "met", "mother", "neighbor", "neighbour", "nurse", "owes",
+    "partner", "patient", "paid", "phoned", "plumber", "promised", "regards", "remind", "reminded", "saw", "signed", "sister", "son", "spoke", "talked", "teacher", "tell", "tenant", "thank", "thanked", "thanks", "told", "trust", "trusts", "uncle", "visited", "wife", "worked", "works",
+}
 PERSON_PREPOSITIONS = {"with", "from", "to", "by", "for", "of", "is", "and"}
-THING_LEADS = {"the", "a", "an", "in", "at", "near", "visit", "visited", "bought", "buy", "uses", "use", "every", "avoids", "compare", "linked", "through", "via", "on", "into", "inside", "around", "trip", "moved", "train", "flight", "sells", "ordered"}
-PERSON_VERBS = {"said", "says", "asked", "asks", "told", "tells", "wrote", "writes", "called", "calls", "works", "lives", "lent", "brought", "signed", "picked", "met", "agreed", "thinks", "phoned", "emailed", "joined", "married", "gave", "has", "wants", "likes", "prefers", "who"}
-PLACE_WORDS = {"town", "city", "village", "quay", "point", "bay", "port", "bridge", "harbour", "harbor", "hollow", "cross", "river", "lake", "park", "station", "hall", "school", "college", "hotel", "church", "island", "mountain", "airport", "museum", "pier", "props", "int'l", "bank", "motors", "airlines", "airways", "software", "systems", "solutions", "media", "music", "records", "books", "energy", "foundation", "times", "news", "club", "street", "hospital", "restaurant", "theatre", "market", "los", "las", "el", "la", "north", "south", "east", "west", "sankt", "saint", "san", "santa", "new", "mount", "fort", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "january", "february", "march", "april", "june", "july", "august", "september", "october", "november", "december"}
+PARTICLES = {"al", "ben", "bin", "da", "de", "del", "della", "den", "der", "di", "dos", "du", "el", "ibn", "la", "le", "van", "von", "y", "zu"}
+THING_LEADS = {"the", "a", "an", "in", "at", "near", "visit", "bought", "buy", "uses", "use", "every", "compare", "through", "via", "on", "into", "inside", "around", "trip", "train", "flight", "sells", "ordered"}
+PERSON_VERBS = {"said", "says", "asked", "asks", "told", "tells", "wrote", "writes", "called", "calls", "works", "lives", "lent", "brought", "signed", "picked", "met", "agreed", "thinks", "phoned", "emailed", "joined", "married", "gave", "has", "wants", "likes", "prefers", "who", "moved", "left", "came", "went", "plays", "teaches", "is", "was", "will"}
+PLACE_WORDS = {
+    "airport", "avenue", "bay", "beach", "bridge", "castle", "church", "city", "coast", "cross", "east", "falls", "fort", "garden", "gate", "harbor", "harbour", "heights", "hill", "hollow", "hotel", "island", "lake", "las", "los", "mount", "mountain", "new", "north", "park", "pier", "point", "port", "quay", "ridge", "river", "road", "saint", "san", "sankt", "santa", "south", "springs", "station", "street", "town", "valley", "village", "west", "wood",
+    "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "january", "february", "march", "april", "june", "july", "august", "september", "october", "november", "december",
+}
 FILE_ENDINGS = {"png", "jpg", "jpeg", "gif", "svg", "webp", "pdf", "md", "txt", "js", "css", "py", "ico"}
 STREETS = r"street|st|road|rd|lane|ln|avenue|ave|blvd|boulevard|close|drive|court|ct|terrace|crescent|gardens|row|walk|way|mews|grove|hill"
 
-_WORD = re.compile(r"(?<![^\W_])[^\W\d_](?:[^\W\d_]|[̀-ͯ'’])*")
+_WORD = re.compile(r"(?<![^\W_])[^\W\d_](?:[^\W\d_]|[̀-ͯ'’]|-(?=[A-ZÀ-ÖØ-Þ]))*")
 _EMAIL = re.compile(r"(?<![\w.+@-])[\w](?:[\w.+'-]*[\w])?(?:@|\s?[(\[]\s?at\s?[)\]]\s?| at (?=[\w-]+\s?[\[(]\s?dot))[\w-]+(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?)[\w-]+)*", re.I)
 _RUN = re.compile(r"[+(]{0,2}(?<![A-Za-z\d_])(?:[A-Za-z]{1,5}[ ]?)?\d[\dA-Za-z]*(?:(?:[ ./-]|\) ?| ?\(|(?<=\)))\(?\d[\dA-Za-z]*\)?)*(?:[ -][A-Za-z]\b(?![\w'’]))?")
+# Digits as words, in English, German, Spanish and French.
+_DIGIT_WORDS = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+}
+_SPELLED = re.compile(rf"(?<![^\W_])(?:{'|'.join(_DIGIT_WORDS)})(?:[ ,-]{{1,2}}(?:{'|'.join(_DIGIT_WORDS)})){{5,}}(?![^\W_])", re.I)
 _ADDRESSES = tuple(
     re.compile(p, re.I)
     for p in (
@@ -64,10 +84,21 @@ _TITLE_GAP = re.compile(r"[\s.]*$")
 
 @dataclass
 class Words:
-    """How often words occur per text, and which part of that in lower case."""
+    """How often words occur per text, which part of that in lower case, and how many different capitalised words follow them.
+
+    ``follow``: word -> (different capitalised words right after it, times such a word follows, times of these in the
+    middle of a sentence), all where the word itself is capitalised. A given name is followed by many different words
+    and also in the middle of sentences; a place's name is followed by few, a verb that opens sentences stands at the start.
+    """
 
     rate: dict[str, float]
     lower: dict[str, float]
+    follow: dict[str, tuple[float, float, float]] = field(default_factory=dict)
+    texts: float = 1.0
+
+    def rare(self, word: str) -> bool:
+        """Whether one text in 200 at most has the word in lower case; too few texts can't tell (three over their number bounds the rate of an unseen word)."""
+        return self.of_lower(word) <= -2.3 and 3 / self.texts <= 5e-3
 
     def of(self, word: str) -> float:
         """Logarithm of the rate; whatever is rarer than one in 500 texts counts as unknown."""
@@ -78,13 +109,19 @@ class Words:
         key = word.lower()
         return round(math.log10(max(self.rate.get(key, 0.0) * self.lower.get(key, 0.0), 2e-3)), 1)
 
+    def followed(self, word: str) -> tuple[float, float, float]:
+        """(how many different words follow, as a rounded logarithm up to 32; which share of the pairs is different; which share is amid a sentence)."""
+        kinds, times, inner = self.follow.get(word.lower(), (0.0, 0.0, 0.0))
+        return min(round(math.log2(kinds + 1)), 5), round(kinds / times, 1) if times else -1.0, round(inner / times, 1) if times else -1.0
+
 
 class NameForms:
     """What a word may be in a name: 1 full or short given name, 3 shortened ('Humb.'), 4 initial, 5 misspelt; 0 nothing."""
 
     def __init__(self, full: dict[str, set[str]] | None = None):
-        self.full = set(full or full_names())
-        self.long = {n for n in short_forms() if len(n) >= 5}
+        known = full_names() if full is None else full
+        self.full = set(known)
+        self.long = {n for names in known.values() for n in names if len(n) >= 5}
         self.cut = {n[:k] for n in self.long for k in (3, 4, 5)}
         self.near = {v for n in self.long for v in _deletions(n)}
         self.seen: dict[tuple[str, bool], int] = {}
@@ -117,12 +154,12 @@ _CHECK = "TRWAGMYFPDXBNJZSQVHLCKE"  # fixed value: check letters of Spanish iden
 
 
 def _cue(before: list[str]) -> int:
-    """The nearest telling word among the last three: 1 phone, 2 identity, 3 something else, 0 none."""
-    for word in reversed(before[-3:]):
+    """The nearest telling word: 1 phone or 2 identity among the last three, 3 something else among the last two, 0 none."""
+    for back, word in enumerate(reversed(before[-3:])):
         if word == "number":
             continue
         for code, cues in ((2, ID_CUES), (1, PHONE_CUES), (3, OTHER_CUES)):
-            if word in cues:
+            if word in cues and (code != 3 or back < 2):
                 return code
     return 3 if "number" in before[-1:] else 0
 
@@ -181,6 +218,11 @@ def candidates(text: str, words: Words, forms: NameForms) -> list[tuple[int, int
             values = _number_features(text, s, end)
             out.append((1, s, end, values))
             out.append((2, s, end, values))
+    for m in _SPELLED.finditer(text):  # digits as words are judged as the digits they are
+        digits = "".join(_DIGIT_WORDS[w] for w in re.findall(r"[^\W\d_]+", m.group().lower()))
+        values = _number_features(text[: m.start()] + digits + text[m.end() :], m.start(), m.start() + len(digits))
+        out.append((1, *m.span(), values))
+        out.append((2, *m.span(), values))
     starts = set()
     for pattern, regex in enumerate(_ADDRESSES):
         for m in regex.finditer(text):
@@ -199,44 +241,54 @@ def candidates(text: str, words: Words, forms: NameForms) -> list[tuple[int, int
     return out
 
 
+_GAPS = {" ", "  ", ".", ". ", ".  ", "\xa0", "\t"}
+
+
 def _names(text: str, words: Words, forms: NameForms, out: list) -> None:
+    """Proposes pairs of words by their form alone; what lists and statistics say of them are features.
+
+    A pair is two words side by side (an initial or particles may stand between) that are both capitalised, or of
+    which one is an initial or a cut or listed given name, or that are both rare as words in lower case; also
+    'surname, given'.
+    """
     tokens = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(text)]
+    if len(tokens) < 2:
+        return
+    said = [t[0] for t in tokens]
     dots = [text[e : e + 1] == "." for _, _, e in tokens]
-    kinds = [forms.kind(w, d) for (w, _, _), d in zip(tokens, dots, strict=True)]
+    kinds = [forms.kind(w, d) for w, d in zip(said, dots, strict=True)]
     gaps = [text[a[2] : b[1]] for a, b in zip(tokens, tokens[1:])]
-    plain_gap = {" ", "  ", ".", ". ", ".  ", " ", "\t"}
+    caps = [w[0].isupper() for w in said]
+    low = [w.lower() for w in said]
 
-    def add(given: int, surname: int, first: int, last: int, middle: int, comma: bool, unlisted: bool = False) -> None:
-        word = tokens[surname][0]
+    def add(given: int, surname: int, first: int, last: int, middle: int, comma: bool) -> None:
+        word, own = said[surname], said[given]
         if len(word) < 2 or word.islower() and kinds[given] == 4 and len(word) < 4:  # 'I am', 'b is'
             return
-        left = tokens[first - 1] if first else None
-        near = left is not None and _TITLE_GAP.fullmatch(text[left[2] : tokens[first][1]]) is not None
-        prev = left[0].lower() if near else ""
-        before = 1 if prev in TITLES else 2 if prev in THING_CUES else 3 if near and left[0][:1].isupper() and text[left[2]] == " " else 0
-        right = tokens[last + 1] if last + 1 < len(tokens) else None
-        close = right is not None and gaps[last] in (" ", ".", ". ", " & ", "-")
-        after = 0 if not close else 1 if right[0].lower() in ORG_WORDS else 2 if right[0][:1].isupper() and text[tokens[last][2]] != "." else 0
+        near = first > 0 and _TITLE_GAP.fullmatch(gaps[first - 1]) is not None
+        prev = low[first - 1] if near else ""
+        before = 1 if prev in TITLES else 2 if prev in THING_CUES else 3 if near and caps[first - 1] and gaps[first - 1] == " " else 0
+        close = last + 1 < len(tokens) and gaps[last] in (" ", ".", ". ", " & ", "-")
+        after = 0 if not close else 1 if low[last + 1] in ORG_WORDS else 2 if caps[last + 1] and gaps[last][0] != "." else 0
+        next_ = (words.of_lower(said[last + 1]), words.of(said[last + 1])) if after == 2 else (-9.0, -9.0)
         end = tokens[last][2] + (1 if dots[last] and last == given and kinds[given] in (3, 4) else 0)
-        own = tokens[given][0]
-        values = [kinds[given], given > surname, comma, words.of(word), len(word), _caps(word), _caps(own), before, after, words.of_lower(own), len(own), dots[given], middle, word.lower() in ORG_WORDS]
-        if unlisted:
-            acts = close and gaps[last] == " " and right[0].lower() in PERSON_VERBS
-            values += [words.of_lower(word), words.of(own), own.lower() in ORG_WORDS, any(w.lower() in PLACE_WORDS or w.lower() in THING_CUES or w.lower() in THING_LEADS for w in (own, word)), cue(first), acts, left is not None and left[0].lower() in ORG_WORDS]
-        hard = not unlisted and (len(word) < 4 or kinds[surname] in (1, 3))
-        if hard:
-            values += [kinds[surname], words.of_lower(word), listed(first, last)]
-        out.append((UNLISTED if unlisted else HARD if hard else 4, tokens[first][1], end, values))
+        acts = close and gaps[last] == " " and low[last + 1] in PERSON_VERBS
+        thing = (low[given] in PLACE_WORDS or low[given] in THING_CUES) + 2 * (low[surname] in PLACE_WORDS or low[surname] in THING_CUES)
+        values = [
+            kinds[given], given > surname, comma, words.of(word), min(len(word), 9), _caps(word), _caps(own), before, after, words.of_lower(own), min(len(own), 9), dots[given], middle, low[surname] in ORG_WORDS,
+            words.of_lower(word), words.of(own), low[given] in ORG_WORDS, thing, cue(first), acts, first > 0 and low[first - 1] in ORG_WORDS, kinds[surname], listed(first, last), *words.followed(own), *words.followed(word), *next_, low[given] in PERSON_CUES or low[given] in PERSON_VERBS,
+        ]
+        out.append((4, tokens[first][1], end, values))
 
     def listed(first: int, last: int) -> bool:
         """Whether the pair stands in a list of given names: 'Robert, Susan and Thomas'."""
-        more = last + 2 < len(tokens) and gaps[last] == " " and tokens[last + 1][0].lower() in ("and", "or", "und", "y") and gaps[last + 1] == " " and kinds[last + 2] == 1
+        more = last + 2 < len(tokens) and gaps[last] == " " and low[last + 1] in ("and", "or", "und", "y") and gaps[last + 1] == " " and kinds[last + 2] == 1
         return more or first > 0 and gaps[first - 1] == ", " and kinds[first - 1] == 1 or last + 1 < len(tokens) and gaps[last] == ", " and kinds[last + 1] == 1
 
     def cue(first: int) -> int:
         """What the two words before say: 3 a person follows, 2 a preposition of persons, 1 the sentence opens, -1 a place or thing follows."""
-        near = tokens[first - 1][0].lower() if first else ""
-        gap = text[tokens[first - 1][2] : tokens[first][1]] if first else ""
+        near = low[first - 1] if first else ""
+        gap = gaps[first - 1] if first else ""
         if near in TITLES and _TITLE_GAP.fullmatch(gap):
             return 3
         if not first or len(gap) > 3 or not gap.isspace() and any(c in ".!?\n" for c in gap):
@@ -244,30 +296,40 @@ def _names(text: str, words: Words, forms: NameForms, out: list) -> None:
         if near in PERSON_CUES:
             return 3
         if near in PERSON_PREPOSITIONS:
-            return 3 if first > 1 and tokens[first - 2][0].lower() in PERSON_CUES and gaps[first - 2] == " " else 2
+            return 3 if first > 1 and low[first - 2] in PERSON_CUES and gaps[first - 2] == " " else 2
         return -1 if near in THING_LEADS or near in THING_CUES else 0
 
-    def unknown(i: int, j: int) -> bool:
-        """Two words that no list knows, but that are shaped like a name: capitals, or rare words where a person is due."""
-        a, b = tokens[i][0], tokens[j][0]
-        if len(a) < 2 or len(b) < 2 or kinds[i] or kinds[j]:
+    def shaped(i: int, j: int) -> bool:
+        """Two capitalised words, or two words that hardly any text has in lower case."""
+        a, b = said[i], said[j]
+        if len(a) < 2 or len(b) < 2:
             return False
-        if a[0].isupper() and b[0].isupper() and not (a.isupper() and b.isupper()):
-            return True
-        return words.of_lower(a) <= -2.3 and words.of_lower(b) <= -2.3 and cue(i) == 3
+        if caps[i] and caps[j]:
+            return not (a.isupper() and b.isupper() and min(len(a), len(b)) < 4)
+        return not caps[i] and not caps[j] and words.rare(a) and words.rare(b)
 
     for i, kind in enumerate(kinds):
-        if not kind and i + 1 < len(tokens):
-            if gaps[i] in (" ", "  ", "\t", "\xa0", ", ") and unknown(i, i + 1):
-                add(*((i + 1, i) if gaps[i] == ", " else (i, i + 1)), i, i + 1, 0, gaps[i] == ", ", True)
-            elif kinds[i + 1] == 4 and i + 2 < len(tokens) and gaps[i] == " " and gaps[i + 1] in plain_gap and unknown(i, i + 2):
-                add(i, i + 2, i, i + 2, 1, False, True)
-        if not kind or kind == 4 and not dots[i] and tokens[i][0] in ("a", "e", "i", "o", "y"):  # articles and conjunctions, not initials
+        if i + 1 < len(tokens) and not kind and low[i] not in PERSON_CUES and low[i] not in TITLES:
+            gap = gaps[i]
+            if gap in (". ", ".") and caps[i] and caps[i + 1] and 3 <= len(said[i]) <= 5 and not kinds[i + 1]:  # perhaps a given name cut short
+                add(i, i + 1, i, i + 1, 0, False)
+            if gap in (" ", "  ", "\t", "\xa0", ", "):
+                j = i + 1
+                if gap == " " and caps[i]:
+                    while j < i + 4 and j + 1 < len(tokens) and low[j] in PARTICLES and not caps[j] and gaps[j] == " ":
+                        j += 1
+                if not kinds[j] and shaped(i, j):
+                    add(*((j, i) if gap == ", " else (i, j)), i, j, 0, gap == ", ")
+                elif kinds[j] == 4 and j == i + 1 and j + 1 < len(tokens) and gap == " " and gaps[j] in _GAPS and not kinds[j + 1] and shaped(i, j + 1):
+                    add(i, j + 1, i, j + 1, 1, False)
+        if not kind or kind == 4 and not dots[i] and said[i] in ("a", "e", "i", "o", "y"):  # articles and conjunctions, not initials
             continue
-        if i + 1 < len(tokens) and gaps[i] in plain_gap and (gaps[i][0] != "." or kind in (3, 4)):
+        if i + 1 < len(tokens) and gaps[i] in _GAPS and (gaps[i][0] != "." or kind in (3, 4)):
             j, middle = i + 1, 0
-            if kinds[j] == 4 and j + 1 < len(tokens) and gaps[j] in plain_gap:
+            if kinds[j] == 4 and j + 1 < len(tokens) and gaps[j] in _GAPS:
                 j, middle = j + 1, 1
+            while caps[i] and middle == 0 and j < i + 4 and j + 1 < len(tokens) and low[j] in PARTICLES and not caps[j] and gaps[j] == " ":
+                j += 1
             add(i, j, i, j, middle, False)
             if middle:
                 add(i, i + 1, i, i + 1, 0, False)
@@ -276,9 +338,9 @@ def _names(text: str, words: Words, forms: NameForms, out: list) -> None:
 
 
 def accepted(found: list[tuple[int, int, int, float, bool]]) -> list[tuple[int, int, int]]:
-    """Spans (kind, start, end) kept of (kind, start, end, probability, above threshold): likelier and longer first, none overlapping."""
+    """Spans (kind, start, end) kept of (kind, start, end, probability, above threshold): mail addresses first, names last, likelier and longer before others; none overlapping."""
     kept: list[tuple[int, int, int]] = []
-    ranked = sorted((f for f in found if f[4]), key=lambda f: (f[0] != 0, -round(f[3], 2), -(f[2] - f[1]), f[1], f[0]))
+    ranked = sorted((f for f in found if f[4]), key=lambda f: (f[0] != 0, f[0] == 4, -round(f[3], 1), -(f[2] - f[1]), f[1], f[0]))
     for kind, start, end, *_ in ranked:
         if all(end <= s or e <= start for _, s, e in kept):
             kept.append((kind, start, end))
@@ -310,13 +372,22 @@ def find(texts: Sequence[str | None], models: Sequence[BoostedTrees], words: Wor
     return [accepted(f) for f in found]
 
 
-def word_statistics(texts: DataFrame, column: str = "text", most: int = 50_000) -> Words:
-    """Rates of the ``most`` most frequent words over all rows; counts are combined before the shuffle."""
+def word_statistics(texts: DataFrame, column: str = "text", rarest: float = 1e-3) -> Words:
+    """Rates of the words that at least one in a thousand texts (``rarest``) holds, and what follows capitalised words, over all rows.
+
+    Counts are combined before the shuffle. As a text holds some hundred different words, at most some hundred
+    thousand words reach the driver whatever the number of texts; rarer words are unknown words.
+    """
     total = max(texts.count(), 1)
+    least = max(2, int(total * rarest))
     exploded = texts.select(F.explode(F.split(column, r"[^\p{L}\p{M}]+")).alias("w")).where(F.length("w") > 1)
     counts = exploded.groupBy(F.lower("w").alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col("w") == F.lower("w")).alias("low"))
-    top = counts.where("n > 1").orderBy(F.desc("n"), "w").limit(most).toPandas()
-    return Words(dict(zip(top["w"], top["n"] / total)), dict(zip(top["w"], top["low"] / top["n"])))
+    top = counts.where(F.col("n") >= least).toPandas()
+    pair = F.lit(r"([\p{Ll},] )?(\p{Lu}[\p{L}\p{M}]+)(?= (\p{Lu}[\p{L}\p{M}]*))")
+    parts = F.arrays_zip(*[F.regexp_extract_all(column, pair, F.lit(k)).alias(c) for k, c in ((1, "inner"), (2, "head"), (3, "tail"))])
+    followed = texts.select(F.explode(parts).alias("p")).groupBy(F.lower("p.head").alias("w"))
+    sets = followed.agg(F.approx_count_distinct("p.tail").alias("kinds"), F.count("*").alias("times"), F.count_if(F.col("p.inner") != "").alias("inner")).where(F.col("times") >= least).toPandas()
+    return Words(dict(zip(top["w"], top["n"] / total)), dict(zip(top["w"], top["low"] / top["n"])), dict(zip(sets["w"], zip(sets["kinds"].astype(float), sets["times"].astype(float), sets["inner"].astype(float)))), total)
 
 
 def _mapper(shared, forms: NameForms, each: Callable) -> Callable:
@@ -339,10 +410,10 @@ def _redacted_frame(batch: pd.DataFrame, spans: list) -> pd.DataFrame:
 
 
 def _prepared(sources: Sequence[tuple[str, DataFrame]], names: dict[str, set[str]] | None):
-    """All texts in one frame (table_name, record_id, text), with the models and word statistics as one broadcast (bounded by ``most`` words)."""
+    """All texts in one frame (table_name, record_id, text), with the models and word statistics as one broadcast (see ``word_statistics`` for its bound)."""
     from memlode.llm.pii_examples import trained
 
-    texts = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("table_name"), "record_id", "text") for name, df in sources])
+    texts = kept(reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("table_name"), "record_id", "text") for name, df in sources]), "texts")
     forms = NameForms(names)
     words = word_statistics(texts.where("text is not null"))
     return texts, texts.sparkSession.sparkContext.broadcast((trained(forms), words)), forms

@@ -56,12 +56,12 @@ def test_spans_and_placeholders(spark):
 
 def test_held_out_accuracy():
     forms, models = pii.NameForms(), pii_examples.trained()
-    examples = pii_examples._examples(800, seed=99)
-    words = pii_examples._statistics([t for t, _ in examples])
+    examples = pii_examples.written(800, seed=99)
+    words = pii_examples.statistics([t for t, _ in examples])
     found = pii.find([t for t, _ in examples], models, words, forms)
     hits = got = want = 0
     for (_, true), own in zip(examples, found, strict=True):
-        a, b = {(k, s) for k, s in true}, {(pii.KINDS[k], s) for k, s, _ in own}
+        a, b = true, {(k, s) for k, s, _ in own}
         hits, got, want = hits + len(a & b), got + len(b), want + len(a)
     assert hits / got > 0.9 and hits / want > 0.9
 
@@ -74,9 +74,9 @@ def test_common_subsequence(a, b, n):
 
 def test_reading_names():
     known = full_names()
-    assert person("Dr. Stephen B. Balhofbim", known) == ("stephen", "balhofbim")
-    assert person("BALHOFBIM, Stephen ", known) == ("stephen", "balhofbim")
-    assert person("Balhofbim Steve", known) == ("steve", "balhofbim")
+    assert person("Dr. Stephen B. Balhofbim", known) == {("stephen", "balhofbim")}
+    assert person("BALHOFBIM, Stephen ", known) == {("stephen", "balhofbim")}
+    assert person("Balhofbim Steve", known) == {("steve", "balhofbim")}
     assert organisation("The Monbuz & Rudhed Assoc. GmbH") == (frozenset(["associates"]), "monbuzrudhed")
     assert organisation("MonbuzRudhed Associates") == (frozenset(["associates"]), "monbuzrudhed")
     assert ratio("", "") == 0
@@ -173,7 +173,7 @@ def test_words_follow_unicode(spark):
 
 
 def test_names_outside_the_list():
-    forms, models = pii.NameForms(), pii_examples.trained()
+    forms, models = pii.NameForms({}), pii_examples.trained()
     given = "Maria David Sarah Peter Anna Paul Laura Kevin Emma Lucas Sofia Martin Julia Oscar Ahmed Ingrid Marco Elena Brian Nina".split()
     surnames = "Lopez Schmidt Miller Garcia Novak Fischer Kowalski Dubois Murphy Patel".split()
     places = ["Met with {} after lunch.", "According to {}, the room is free.", "My neighbour {} has the key.", "{} said the kit is late.", "Dr. {} signed the form.", "Lunch with {} on Monday."]
@@ -214,10 +214,48 @@ def test_frequent_surname_loses_no_link(spark):
 def test_short_organisations(a, b, same):
     import pandas as pd
 
-    from memlode.llm.names import _suffixes
+    from memlode.llm.names import _name_tokens
 
     known = full_names()
     c = Comparer(known, 0.8)
     assert c.same("organization", c.read("a", "organization", [a]), c.read("b", "organization", [b])) == same
-    made = next(_suffixes(4, known)(iter([pd.DataFrame({"id": ["a", "b"], "forms": [[a], [b]]})])))
-    assert bool(set(made[made.id == "a"].suffix) & set(made[made.id == "b"].suffix)) or not same
+    made = next(_name_tokens(known)(iter([pd.DataFrame({"id": ["a", "b"], "forms": [[a], [b]]})])))
+    assert bool(set(made[made.id == "a"].token.str[-4:]) & set(made[made.id == "b"].token.str[-4:])) or not same
+
+
+@pytest.mark.parametrize(("a", "b", "same"), [("David Thompson", "D. Thompson", True), ("David Thompson", "Thompson David", True), ("David Thompson", "Dave Thompson", True), ("George Baker", "Baker George", True), ("Oyelaran Adebisi", "Adebisi, O.", True), ("Oyelaran Adebisi", "Adebisi Oyelarn", True), ("David Thompson", "Mary Thompson", False), ("Oyelaran Adebisi", "Temitope Adebisi", False), ("David Mark", "Mark Peters", False), ("D. Thompson", "M. Thompson", False)])
+def test_names_without_fixed_places(a, b, same):
+    c = Comparer(full_names(), 0.8)
+    assert c.same("person", c.read("a", "person", [a]), c.read("b", "person", [b])) == same
+
+
+SENTENCES = [
+    "Yesterday {} rang the bell twice.", "The parcel for {} is in the hall.", "Could you give {} my number?", "I had coffee with {} in the park.", "Thanks to {} the roof is dry again.", "Minutes taken by {}, room 4.", "Grandma says {} sings well.", "Rent is due to {} on the first.", "{} and the twins are coming over.", "Tickets are in the name of {}.",
+    "Dr. {} changed the dose.", "Her tutor {} recommends the book.", "{} moved to Leeds last year.", "We saw {} at the station.", "Please forward this to {} today.", "The dog of {} ran off.",
+]
+GIVEN = "David Mary Peter Paul Anna Maria George Laura Mark Linda Sarah Ahmed Fatima Juan Pierre Klaus Thandiwe Oyelaran Siobhan Kwame Anneliese Bogdan Marisol Tevfik".split()
+SURNAMES = "Thompson Gonzalez Whitfield Lindqvist Karimi Haddad Brenner Okafor Baker Castellanos Petrov Nakamura Abernathy Delacroix Mwangi Rosenthal".split()
+OTHERS = ["Lunch at the Golden Lion was fine.", "The Northern Line is closed on Sunday.", "Westfield Bakery sells rye bread.", "Flight from New York to San Diego", "Project Falcon starts on Monday.", "Acme Logistics Ltd sent the invoice.", "Every Friday the shop closes early.", "He reads the Morning Post.", "Agent Orchid suggested a walk.", "They met at Lake Bolsena in May."]
+
+
+@pytest.mark.parametrize("forms", [pii.NameForms(), pii.NameForms({})])
+def test_names_and_sentences_apart_from_training(forms):
+    cases = [(t.format(f"{g} {SURNAMES[(3 * i + k) % 16]}"), t.index("{")) for i, g in enumerate(GIVEN) for k, t in enumerate(SENTENCES)]
+    texts = [t for t, _ in cases] + OTHERS * 10
+    found = pii.find(texts, pii_examples.trained(), pii_examples.statistics(texts), forms)
+    hits = sum(any(k == 4 and s == at for k, s, _ in own) for (_, at), own in zip(cases, found))
+    names = sum(k == 4 for own in found for k, _, _ in own)
+    assert hits >= 0.9 * len(cases) and hits >= 0.9 * names
+
+
+def test_unseen_given_names_cost_little():
+    """All given names replaced by names of no list: no more than 0.05 of the recall is lost."""
+    known = [g for g in GIVEN if pii.NameForms().kind(g, False) == 1]
+    unseen = ["Tavro", "Imsel", "Dorvane", "Kalithe", "Brunock", "Ysmeri", "Pelwan", "Ostrig", "Navelle", "Quorim", "Haldis", "Fenwyr", "Ruvani", "Zelkor", "Amdira", "Torquel"]
+    recall = []
+    for names in (known[:16], unseen):
+        cases = [(t.format(f"{g} {SURNAMES[(3 * i + k) % 16]}"), t.index("{")) for i, g in enumerate(names) for k, t in enumerate(SENTENCES)]
+        texts = [t for t, _ in cases] + OTHERS * 10
+        found = pii.find(texts, pii_examples.trained(), pii_examples.statistics(texts), pii.NameForms())
+        recall.append(sum(any(k == 4 and s == at for k, s, _ in own) for (_, at), own in zip(cases, found)) / len(cases))
+    assert recall[1] >= recall[0] - 0.05
