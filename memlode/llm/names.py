@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,16 +22,16 @@ from memlode.operators.graph import components
 from memlode.runtime import kept
 from memlode.sources.parquet import newest
 
-# Words that open a role instead of a name; legal forms; lines of business and their short forms.
+# Fixed values, from general knowledge: words that open a role instead of a name; titles; legal forms; lines of business and their short forms.
 DETERMINERS = {"the", "my", "our", "that", "this", "his", "her", "their", "your"}
 TITLES = {"dr", "mr", "mrs", "ms", "miss", "prof", "professor", "herr", "frau", "sr", "sra", "mme"}
 LEGAL = {"inc", "incorporated", "llc", "ltd", "limited", "gmbh", "plc", "corp", "corporation", "co", "company", "sa", "ag", "bv", "pty"}
 BUSINESS = {
-    "associates": ["assoc", "assocs"], "aviation": ["avn", "avi"], "brothers": ["bros", "bro"], "construction": ["constr", "const"], "consulting": ["cons", "consult"],
-    "electronics": ["elec", "elect"], "engineering": ["eng", "engr", "engg"], "foods": ["food", "fds"], "institute": ["inst"], "insurance": ["ins", "insur"],
-    "international": ["intl", "int"], "laboratories": ["labs", "lab"], "logistics": ["log", "logist"], "manufacturing": ["mfg", "manuf"], "pharmaceuticals": ["pharma", "pharm"],
-    "properties": ["prop", "props"], "publishing": ["publ", "pub"], "services": ["svcs", "svc", "serv"], "technologies": ["tech", "techs"], "university": ["univ", "uni"],
-    "group": ["grp"], "holdings": ["hldgs"], "industries": ["ind", "inds"], "partners": ["ptnrs"], "solutions": ["soln", "solns"], "systems": ["sys"], "bank": ["bk"],
+    "academy": ["acad"], "advertising": ["advert", "adv"], "agency": ["agcy"], "airlines": ["airl"], "architects": ["archs", "arch"], "associates": ["assoc", "assocs"], "association": ["assn"], "automotive": ["auto"], "aviation": ["avn", "avi"], "bank": ["bk"], "bakery": [], "brothers": ["bros", "bro"], "capital": ["cap"], "chemicals": ["chem", "chems"], "college": ["coll"], "communications": ["comm", "comms"], "construction": ["constr", "const"],
+    "consulting": ["cons", "consult"], "contractors": ["contr"], "department": ["dept"], "design": ["des"], "development": ["dev"], "distribution": ["distr"], "education": ["edu", "educ"], "electronics": ["elec", "elect"], "energy": ["enrg"], "engineering": ["eng", "engr", "engg"], "enterprises": ["ent", "entpr"], "equipment": ["equip"], "finance": ["fin"], "foods": ["food", "fds"], "foundation": ["fdn", "found"], "group": ["grp"], "holdings": ["hldgs"],
+    "hospital": ["hosp"], "industries": ["ind", "inds"], "institute": ["inst"], "insurance": ["ins", "insur"], "international": ["intl", "int"], "investments": ["inv", "invest"], "laboratories": ["labs", "lab"], "logistics": ["log", "logist"], "machinery": ["mach"], "management": ["mgmt", "mgt"], "manufacturing": ["mfg", "manuf"], "marketing": ["mktg"], "media": [], "medical": ["med"], "ministry": ["min"], "motors": ["mtrs"], "packaging": ["pkg"],
+    "partners": ["ptnrs"], "pharmaceuticals": ["pharma", "pharm"], "printing": ["prtg"], "products": ["prods", "prod"], "properties": ["prop", "props"], "publishing": ["publ", "pub"], "railways": ["rlys", "rly"], "research": ["res", "rsch"], "restaurants": ["rest"], "retail": ["ret"], "school": ["sch"], "security": ["sec"], "services": ["svcs", "svc", "serv"], "shipping": ["shpg"], "society": ["soc"], "software": ["softw"], "solutions": ["soln", "solns"],
+    "studios": ["stud"], "supplies": ["supp"], "systems": ["sys"], "technologies": ["tech", "techs"], "telecommunications": ["telecom", "tel"], "trading": ["trdg"], "transport": ["transp", "trans"], "travel": ["trvl"], "university": ["univ", "uni"], "ventures": ["vent"], "works": ["wks"],
 }
 _SHORT = {s: full for full, shorts in BUSINESS.items() for s in (full, *shorts)}
 _TOKEN = re.compile(r"[^\W_]+")
@@ -50,8 +51,9 @@ def lcs(a: str, b: str) -> int:
     return len(a) - bin(row).count("1")
 
 
+@lru_cache(maxsize=200_000)
 def ratio(a: str, b: str) -> float:
-    return 2 * lcs(a, b) / (len(a) + len(b)) if a or b else 0.0
+    return 0.0 if not a or not b else 1.0 if a == b else 2 * lcs(a, b) / (len(a) + len(b))
 
 
 def _tokens(form: str) -> list[str]:
@@ -64,28 +66,30 @@ def is_role(form: str) -> bool:
     return not t or t[0] in DETERMINERS and len(t) <= 2
 
 
-def person(form: str, known: dict[str, set[str]]) -> tuple[str, str] | None:
-    """(given, surname) of a spelling; given '' if there is one token only."""
-    comma = "," in form
+def person(form: str, known: dict[str, set[str]]) -> set[tuple[str, str]]:
+    """Readings (given, surname) of a spelling; given '' if there is one token only.
+
+    A comma, an initial or a list of given names may tell which token is the surname; where nothing does, both
+    readings are kept and the comparison finds out which one fits.
+    """
     t = [w for w in _tokens(form) if w not in TITLES]
     if not t:
-        return None
+        return set()
     if len(t) == 1:
-        return ("", t[0])
-    if comma:
-        head = _tokens(form.split(",")[0])
+        return {("", t[0])}
+    if "," in form:
+        head = [w for w in _tokens(form.split(",")[0]) if w not in TITLES]
         rest = [w for w in t if w not in head]
         if head and rest:
-            return max(rest, key=len), head[-1]
+            return {(max(rest, key=len), head[-1])}
     first, last = t[0], t[-1]
-    long_first, long_last = len(first) > 1, len(last) > 1
-    if not long_last or last in known and first not in known and long_first:
-        return last, first
-    if long_first and first not in known and last not in known:  # misspelt: the one nearer to a given name
-        near = [max((ratio(w, k) for k in known if abs(len(k) - len(w)) < 3), default=0.0) for w in (first, last)]
-        if near[1] > max(near[0], 0.74):
-            return last, first
-    return first, last
+    if len(last) == 1:
+        return {(last, first)}
+    if len(first) == 1 or first in known and last not in known or re.match(r"\W*\w{2,5}\.", form):
+        return {(first, last)}
+    if last in known and first not in known:
+        return {(last, first)}
+    return {(first, last), (last, first)}
 
 
 def organisation(form: str) -> tuple[frozenset[str], str]:
@@ -108,20 +112,44 @@ class Comparer:
     def __init__(self, known: dict[str, set[str]], least: float):
         self.known, self.least = known, least
         self.cache: dict[str, tuple] = {}
+        self.full_of: dict[str, tuple[frozenset[str], str]] = {}
         self.longer = sorted(k for k in known if len(k) >= 4)
 
     def _fulls(self, given: str) -> tuple[frozenset[str], str]:
         """Full names a given name may stand for, and its letters if it is cut short."""
+        if given not in self.full_of:
+            if len(self.full_of) > 200_000:
+                self.full_of.clear()
+            self.full_of[given] = self._read_given(given)
+        return self.full_of[given]
+
+    def _read_given(self, given: str) -> tuple[frozenset[str], str]:
         if given in self.known:
             return frozenset(self.known[given]), ""
         if len(given) <= 5:
             begun = frozenset(f for fs in self.known.values() for f in fs if f.startswith(given))
             if begun or len(given) == 1:
                 return begun, given
-        best = max(self.longer, key=lambda k: ratio(given, k), default="")
+        best = max((k for k in self.longer if abs(len(k) - len(given)) < 3), key=lambda k: ratio(given, k), default="")
         if best and ratio(given, best) >= 0.78:
-            return frozenset(self.known[best]), ""
-        return frozenset([given]), ""
+            return frozenset(self.known[best]) | {given}, ""
+        return frozenset([given]), given if len(given) <= 4 else ""
+
+    def _may_equal(self, a: str, b: str) -> bool:
+        """Whether two given names may be one: the same full name, one cut short, or one misspelt."""
+        if a == b:
+            return True
+        fulls_a, cut_a = self._fulls(a)
+        fulls_b, cut_b = self._fulls(b)
+        if fulls_a & fulls_b:
+            return True
+        if cut_a and any(f.startswith(cut_a) for f in (b, *fulls_b)) or cut_b and any(f.startswith(cut_b) for f in (a, *fulls_a)):
+            return True
+        unlisted = not (a in self.known and b in self.known)
+        return unlisted and min(len(a), len(b)) > 3 and a[0] == b[0] and ratio(a, b) >= self.least + 0.02
+
+    def _sure(self, given: str) -> bool:
+        return not self._fulls(given)[1]
 
     def read(self, key: str, kind: str, forms: list[str]) -> tuple:
         if key not in self.cache:
@@ -129,14 +157,8 @@ class Comparer:
                 self.cache.clear()
             forms = [f for f in forms if f and not is_role(f)]
             if kind == "person":
-                parsed = {p for f in forms if (p := person(f, self.known))}
-                whole = {(g, s) for g, s in parsed if g}
-                alone = {s for g, s in parsed if not g and s not in self.known}
-                sure, cut_short = [], []
-                for g in {g for g, _ in whole}:
-                    fulls, stem = self._fulls(g)
-                    (cut_short if stem else sure).append(fulls if fulls else frozenset([stem]))
-                self.cache[key] = ({s for _, s in whole}, frozenset().union(*sure), frozenset().union(*cut_short), alone, whole)
+                parsed = set().union(*(person(f, self.known) for f in forms))
+                self.cache[key] = ({(g, s) for g, s in parsed if g}, {s for g, s in parsed if not g and s not in self.known})
             else:
                 self.cache[key] = ({organisation(f) for f in forms},)
         return self.cache[key]
@@ -145,17 +167,24 @@ class Comparer:
         return self._persons(a, b) if kind == "person" else self._organisations(a[0], b[0])
 
     def _persons(self, a: tuple, b: tuple) -> bool:
-        surnames_a, sure_a, cut_a, alone_a, whole_a = a
-        surnames_b, sure_b, cut_b, alone_b, whole_b = b
-        for alone, whole, own in ((alone_a, whole_b, sure_a), (alone_b, whole_a, sure_b)):  # 'zhedfivmad' and Zoltan Hedfivmad
-            if not own and any(len(t) > len(s) and ratio(t, g[:1] + s) >= 0.9 or ratio(t, g + s) >= 0.9 for t in alone for g, s in whole):
+        """One surname in common, and given names under it that may be one: whole ones decide, cut ones only where a side has no whole one."""
+        whole_a, alone_a = a
+        whole_b, alone_b = b
+        for alone, whole, own in ((alone_a, whole_b, whole_a), (alone_b, whole_a, whole_b)):  # 'zhedfivmad' and Zoltan Hedfivmad
+            if not any(self._sure(g) for g, _ in own) and any(len(t) > len(s) and ratio(t, g[:1] + s) >= 0.9 or ratio(t, g + s) >= 0.9 for t in alone for g, s in whole):
                 return True
-        if sure_a and sure_b:
-            if not sure_a & sure_b:
-                return False
-        elif not (sure_a or cut_a) & (sure_b or cut_b):
-            return False
-        return any(x == y for x in surnames_a for y in surnames_b) or any(ratio(x, y) >= self.least for x in surnames_a for y in surnames_b)
+        for surname, other in {(s, t) for _, s in whole_a for _, t in whole_b}:
+            if ratio(surname, other) < self.least or min(len(surname), len(other)) < 4 and surname != other:
+                continue
+            near = (surname, other)
+            given_a = {g for g, s in whole_a if max(ratio(s, n) for n in near) >= self.least}
+            given_b = {g for g, s in whole_b if max(ratio(s, n) for n in near) >= self.least}
+            sure_a, sure_b = {g for g in given_a if self._sure(g)}, {g for g in given_b if self._sure(g)}
+            if sure_a and sure_b:
+                given_a, given_b = sure_a, sure_b
+            if any(self._may_equal(x, y) for x in given_a for y in given_b):
+                return True
+        return False
 
     def _organisations(self, a: set, b: set) -> bool:
         for lines, own in a:
@@ -167,12 +196,14 @@ class Comparer:
         return False
 
 
-def _suffixes(shortest: int, known: dict[str, set[str]]):
+def _name_tokens(known: dict[str, set[str]]):
+    """Tokens of each entity to be indexed, with the first letters of the tokens beside them."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, keys, others, final = [], [], [], []
+            ids, tokens, beside = [], [], []
             for id_, forms in zip(batch["id"], batch["forms"], strict=True):
-                got: dict[tuple[str, str], bool] = {}
+                got: dict[str, set[str]] = {}
                 for form in forms:
                     if is_role(form):
                         continue
@@ -180,14 +211,11 @@ def _suffixes(shortest: int, known: dict[str, set[str]]):
                     more = ["".join(t)] if 2 <= len(t) <= 3 else []
                     more += [full for w in t if len(t) > 1 for full in known.get(w, ()) if full != w]  # short forms also stand under the full name
                     for i, w in enumerate(t + more):
-                        rest = [x[:1] for j, x in enumerate(t) if j != i] or [w[:1]]
-                        for n in range(min(shortest, len(w)), len(w) + 1):
-                            if n >= 3 or n == len(w) == 2:
-                                for o in set(rest):
-                                    got[w[-n:], o] = got.get((w[-n:], o), False) or n == len(w)
-                for (suffix, other), whole in got.items():
-                    ids.append(id_), keys.append(suffix), others.append(other), final.append(whole)
-            yield pd.DataFrame({"id": pd.Series(ids, dtype=object), "suffix": pd.Series(keys, dtype=object), "other": pd.Series(others, dtype=object), "whole": np.array(final, dtype=bool)})
+                        if len(w) > 1:
+                            got.setdefault(w, set()).update([x[:1] for j, x in enumerate(t) if j != i] or [w[:1]])
+                for token, others in got.items():
+                    ids.append(id_), tokens.append(token), beside.append(sorted(others))
+            yield pd.DataFrame({"id": pd.Series(ids, dtype=object), "token": pd.Series(tokens, dtype=object), "beside": pd.Series(beside, dtype=object)})
 
     return run
 
@@ -224,15 +252,20 @@ def linked(entities: DataFrame, mentions: DataFrame, names: dict[str, set[str]]
     """
     known = full_names() if names is None else names
     base = kept(spellings(entities, mentions).where(F.size("forms") > 0), "spellings")
-    index = base.select("id", "forms").mapInPandas(_suffixes(shortest, known), "id string, suffix string, other string, whole boolean")
-    index = index.join(base.select("id", "owner", "type"), "id").select("id", F.xxhash64("owner", "type", "suffix").alias("key"), "other", "whole")
-    index = kept(index, "suffixes")
-    sizes = index.groupBy("key").agg(F.count("*").alias("n"))
-    fine = index.groupBy("key", "other").agg(F.count("*").alias("m"))
-    sized = index.join(sizes.where(F.col("n") > 1), "key").join(fine, ["key", "other"])
-    plain_keys = sized.where(F.col("n") <= common).select("id", "key").distinct()
-    refined = sized.where((F.col("n") > common) & (F.col("m") > 1)).select("id", F.xxhash64("key", "other").alias("key")).distinct()
-    blocks = plain_keys.unionByName(refined)
+    tokens = base.select("id", "forms").mapInPandas(_name_tokens(known), "id string, token string, beside array<string>")
+    tokens = kept(tokens.join(base.select("id", "owner", "type"), "id").select("id", F.xxhash64("owner", "type").alias("group"), "token", "beside"), "tokens")
+    # whoever shares a longer suffix shares the shortest one, so longer ones are indexed only where the shortest is too common
+    index = tokens.select("id", "group", "token", "beside", F.xxhash64("group", F.substring("token", -shortest, shortest)).alias("key"))
+    sizes = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sized = kept(index.join(sizes, "key"), "sized")
+    plain_keys = sized.where(F.col("n") <= common).select("id", "key")
+    big = sized.where(F.col("n") > common)
+    ends = F.transform(F.sequence(F.lit(shortest), F.greatest(F.length("token"), F.lit(shortest))), lambda n: F.xxhash64("group", F.expr("token").substr(-n, n)))
+    longer = big.select("id", "beside", F.explode(ends).alias("key"))
+    fine = longer.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    longer = longer.join(fine, "key")
+    refined = longer.where(F.col("m") > common).select("id", F.explode("beside").alias("other"), "key").select("id", F.xxhash64("key", "other").alias("key"))
+    blocks = plain_keys.unionByName(longer.where(F.col("m") <= common).select("id", "key")).unionByName(refined).distinct()
     pairs = blocks.select(F.col("id").alias("a"), "key").join(blocks.select(F.col("id").alias("b"), "key"), "key").where("a < b").select("a", "b").distinct()
     left, right = base.select(F.col("id").alias("a"), "owner", "type", F.col("forms").alias("fa")), base.select(F.col("id").alias("b"), F.col("owner").alias("_owner"), F.col("type").alias("_type"), F.col("forms").alias("fb"))
     judged = pairs.join(left, "a").join(right, "b").where("owner = _owner and type = _type").select("type", "a", "b", "fa", "fb")
