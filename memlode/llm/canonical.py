@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -28,6 +29,19 @@ def composed(text: Column) -> Column:
     return F.coalesce(_nfc(F.when(unsure, text)), text)
 
 
+_RUN = re.compile(r"[^\W_]+")
+
+
+def folded_text(text: str) -> str:
+    """``folded(composed(...))`` of one text in a Python worker."""
+    return unicodedata.normalize("NFC", text).upper().lower().replace("ß", "ss").replace("ς", "σ")
+
+
+def words_of(text: str) -> list[str]:
+    """``words(folded(composed(...)))`` of one text in a Python worker."""
+    return _RUN.findall(folded_text(text))
+
+
 def folded(text: Column) -> Column:
     """Case ignored as in Unicode's full folding (sharp s equals ss, final sigma equals sigma)."""
     return F.translate(F.regexp_replace(F.lower(F.upper(text)), "ß", "ss"), "ς", "σ")

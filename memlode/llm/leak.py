@@ -1,8 +1,8 @@
 """Evaluation passages inside training text, found with an FM-index per shard of documents.
 
-Each task turns the whole texts of its documents into word numbers, sorts their suffixes, keeps the Burrows-Wheeler
-transform in a wavelet matrix and looks all phrases up at once by backward search; sampled suffix positions give
-the places, which are merged into spans to remove. Documents are never shuffled: only hits are.
+Each task turns the whole texts of its documents into word numbers of its own, sorts their suffixes, keeps the
+Burrows-Wheeler transform in a wavelet matrix and looks all phrases up by backward search; sampled suffix positions
+give the places, which are merged into spans to remove. Documents are never shuffled: only hits are.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlode.llm.canonical import composed, folded, words
+from memlode.llm.canonical import composed, folded, words, words_of
+from memlode.runtime import kept
 
 
 @dataclass
@@ -119,39 +120,52 @@ class FMIndex:
         return out
 
 
-def _shards(batches: Iterator[pd.DataFrame], vocabulary: dict[str, int], limit: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Ids and word numbers of about ``limit`` words at a time; a text is never divided."""
-    ids, texts, held = [], [], 0
+def _shards(batches: Iterator[pd.DataFrame], limit: int) -> Iterator[tuple[list, list[np.ndarray], dict[str, int]]]:
+    """Ids, word numbers and vocabulary of about ``limit`` words at a time; a text is never divided. Numbers start at 1."""
+    ids, texts, numbers, held = [], [], {}, 0
     for batch in batches:
-        for key, text in zip(batch["_id"], batch["_words"], strict=True):
-            numbers = np.array([vocabulary.get(w, 1) for w in text.split(" ")] if text else [], dtype=np.int64)
+        for key, text in zip(batch["_id"], batch["_text"], strict=True):
+            found = words_of(text)
             ids.append(key)
-            texts.append(numbers)
-            held += len(numbers) + 1
+            texts.append(np.array([numbers.setdefault(w, len(numbers) + 1) for w in found], dtype=np.int64))
+            held += len(found) + 1
             if held >= limit:
-                yield ids, texts
-                ids, texts, held = [], [], 0
+                yield ids, texts, numbers
+                ids, texts, numbers, held = [], [], {}, 0
     if ids:
-        yield ids, texts
+        yield ids, texts, numbers
 
 
-def _scan(shared, run: int, limit: int):
+def _patterns(passages: list[tuple[int, list[str], list[int]]], numbers: dict[str, int], run: int) -> tuple[np.ndarray, np.ndarray]:
+    """The phrases of ``passages`` (item, words, starts of its own phrases) of which the shard has every word, and their items."""
+    rows, owners = [np.zeros((0, run), np.int64)], [np.zeros(0, np.int64)]
+    for item, said, starts in passages:
+        known = np.array([numbers.get(w, -1) for w in said], dtype=np.int64)
+        windows = np.lib.stride_tricks.sliding_window_view(known, run)[starts]
+        windows = windows[(windows > 0).all(axis=1)]
+        rows.append(windows)
+        owners.append(np.full(len(windows), item, dtype=np.int64))
+    return np.concatenate(rows), np.concatenate(owners)
+
+
+def _scan(passes: list, run: int, limit: int):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, patterns, owners = shared.value
-        for ids, texts in _shards(batches, vocabulary, limit):
-            index = FMIndex(texts, len(vocabulary) + 2)
-            low, high = index.search(patterns)
-            counts = high - low
-            hit = np.repeat(np.arange(len(patterns)), counts)
-            rows = np.arange(len(hit)) - np.repeat(np.cumsum(counts) - counts, counts) + low[hit]
-            place = index.locate(rows)
-            doc = np.searchsorted(index.starts, place, side="right") - 1
-            found = pd.DataFrame({"doc": doc, "_item": owners[hit], "start_word": place - index.starts[doc] if len(doc) else doc})
-            found = found.sort_values(["doc", "_item", "start_word"]).drop_duplicates()
-            # runs that overlap or touch within a text and item become one span
-            apart = (found["start_word"] > found.groupby(["doc", "_item"])["start_word"].shift(fill_value=-(10**9)) + run).cumsum()
-            spans = found.groupby(["doc", "_item", apart.rename("_span")], as_index=False)["start_word"].agg(["min", "max"])
-            yield pd.DataFrame({"_id": pd.Series([ids[i] for i in spans["doc"]], dtype=object), "_item": spans["_item"].astype(np.int64), "start_word": spans["min"].astype(np.int64), "end_word": (spans["max"] + run).astype(np.int64)})
+        for ids, texts, numbers in _shards(batches, limit):
+            index = FMIndex(texts, len(numbers) + 1)
+            for shared in passes:
+                patterns, owners = _patterns(shared.value, numbers, run)
+                low, high = index.search(patterns)
+                counts = high - low
+                hit = np.repeat(np.arange(len(patterns)), counts)
+                rows = np.arange(len(hit)) - np.repeat(np.cumsum(counts) - counts, counts) + low[hit]
+                place = index.locate(rows)
+                doc = np.searchsorted(index.starts, place, side="right") - 1
+                found = pd.DataFrame({"doc": doc, "_item": owners[hit], "start_word": place - index.starts[doc] if len(doc) else doc})
+                found = found.sort_values(["doc", "_item", "start_word"]).drop_duplicates()
+                # runs that overlap or touch within a text and item become one span
+                apart = (found["start_word"] > found.groupby(["doc", "_item"])["start_word"].shift(fill_value=-(10**9)) + run).cumsum()
+                spans = found.groupby(["doc", "_item", apart.rename("_span")], as_index=False)["start_word"].agg(["min", "max"])
+                yield pd.DataFrame({"_id": pd.Series([ids[i] for i in spans["doc"]], dtype=object), "_item": spans["_item"].astype(np.int64), "start_word": spans["min"].astype(np.int64), "end_word": (spans["max"] + run).astype(np.int64)})
 
     return scan
 
@@ -161,26 +175,23 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = 12, shard_words: in
 
     A run counts only if it occurs in the passage of no other item. Words are maximal runs of letters and digits,
     composed and without case; places count words from 0, the end is exclusive. Every text is searched whole and
-    by every phrase. ``items`` (item_id, passage) is the small side: its phrases are broadcast, at most
-    ``phrases_per_pass`` at a time (about 100 bytes each); more phrases take more passes over the documents.
+    by every phrase. ``items`` (item_id, passage) is the small side: the words of its passages are broadcast, in
+    parts of about ``phrases_per_pass`` phrases; all phrases of an item are in one part and every part is searched
+    in the one index of a shard, so the parts have no influence on the result.
     Defined cases: null texts or passages, passages shorter than ``run`` words and empty tables find nothing;
     repeated documents or items are found once per id; other columns are ignored.
     """
     spark = documents.sparkSession
-    plain = lambda c: words(folded(composed(F.col(c))))
-    passages = items.select(F.col("item_id").cast("bigint").alias("item"), plain("passage").alias("w")).where(F.size("w") >= run)
-    runs = passages.select("item", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - run), lambda i: F.concat_ws(" ", F.slice("w", i + 1, run)))).alias("phrase"))
-    own = runs.groupBy("phrase").agg(F.min("item").alias("item"), F.max("item").alias("_last")).where("item = _last").select("phrase", "item")
-    passes = max(1, -(-own.count() // phrases_per_pass))
-    texts = documents.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("_id"), F.concat_ws(" ", plain(text_column)).alias("_words"))
-    out = None
-    for k in range(passes):
-        some = own.where(F.pmod(F.xxhash64("phrase"), F.lit(passes)) == k).orderBy("phrase").toPandas()
-        split = [p.split(" ") for p in some["phrase"]]
-        vocabulary = {w: i + 2 for i, w in enumerate(sorted({w for p in split for w in p}))}
-        patterns = np.array([[vocabulary[w] for w in p] for p in split], dtype=np.int64).reshape(len(split), run)
-        shared = spark.sparkContext.broadcast((vocabulary, patterns, some["item"].to_numpy(np.int64)))
-        schema = f"_id {dict(texts.dtypes)['_id']}, _item bigint, start_word bigint, end_word bigint"
-        found = texts.mapInPandas(_scan(shared, run, shard_words), schema)
-        out = found if out is None else out.unionByName(found)
-    return out.select(F.col("_id").alias("doc_id"), F.col("_item").alias("item_id"), "start_word", "end_word")
+    passages = items.select(F.col("item_id").cast("bigint").alias("item"), words(folded(composed(F.col("passage")))).alias("w")).where((F.size("w") >= run) & F.col("item").isNotNull()).distinct()
+    runs = passages.select("item", "w", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("w") - run), lambda i: F.concat_ws(" ", F.slice("w", i + 1, run)))).alias("start", "phrase"))
+    own = runs.groupBy("phrase").agg(F.min("item").alias("_first"), F.max("item").alias("_last")).where("_first = _last").select("phrase")
+    starts = kept(runs.join(own, "phrase", "left_semi").groupBy("item", "w").agg(F.collect_list("start").alias("starts")), "phrases")  # at most one entry per word of a passage
+    total = starts.agg(F.sum(F.size("starts"))).first()[0] or 0
+    parts = max(1, -(-total // phrases_per_pass))
+    passes = []
+    for k in range(parts):
+        some = starts.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == k).orderBy("item").collect()
+        passes.append(spark.sparkContext.broadcast([(r["item"], r["w"], sorted(r["starts"])) for r in some]))
+    texts = documents.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
+    found = texts.mapInPandas(_scan(passes, run, shard_words), f"_id {dict(texts.dtypes)['_id']}, _item bigint, start_word bigint, end_word bigint")
+    return found.distinct().select(F.col("_id").alias("doc_id"), F.col("_item").alias("item_id"), "start_word", "end_word")
