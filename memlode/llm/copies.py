@@ -29,16 +29,27 @@ def record_keys(rows: DataFrame, id_column: str, text_column: str, order: list[s
     empty text and texts without any letter or digit are one record.
     """
     base = rows.select(F.col(id_column).cast("string").alias("id"), folded(composed(F.col(text_column))).alias("_text"), *[F.col(c).alias(f"_order{i}") for i, c in enumerate(order)])
-    keyed = base.select("id", *[f"_order{i}" for i in range(len(order))], _hash(letters_and_digits(F.col("_text"))).alias("plain"), _hash(field_list(F.col("_text"))).alias("fields"))
+    keyed = base.select("id", *[f"_order{i}" for i in range(len(order))], *text_keys(F.col("_text")))
     slim = kept(newest(keyed, "id", ["plain", "fields"], [f"_order{i}" for i in range(len(order))]).where("plain is not null"), "records")
-    # plain key -> the field list it stands for; texts with fields are few and their keys are combined before the shuffle
-    lists = slim.where("fields is not null").groupBy("plain").agg(F.min("fields").alias("record"), F.max("fields").alias("_other"))
-    links = slim.where("fields is not null").select("plain", "fields").distinct()
-    if not lists.where("record <> _other").isEmpty():  # one letter sequence, several lists: settle which lists are one record
-        lists = _settled(links)
-    first = lists.select("plain", "record")
     # a third of all rows may share one plain key: the map's side has one row per key, so AQE can split the other
-    return slim.select("id", "plain").join(first, "plain", "left").select("id", F.coalesce("record", "plain").alias("record"))
+    return slim.select("id", "plain").join(listed_records(slim), "plain", "left").select("id", F.coalesce("record", "plain").alias("record"))
+
+
+def text_keys(text: Column) -> list[Column]:
+    """Keys of a composed and folded text: ``plain`` of its letters and digits, ``fields`` of its field list (null if it is none)."""
+    return [_hash(letters_and_digits(text)).alias("plain"), _hash(field_list(text)).alias("fields")]
+
+
+def listed_records(keyed: DataFrame) -> DataFrame:
+    """(plain, record): the record of every plain key that some field list has. ``keyed``: (plain, fields) as made by ``text_keys``.
+
+    Texts with fields are few, and their keys are combined before the shuffle.
+    """
+    links = keyed.where("fields is not null").select("plain", "fields").distinct()
+    lists = links.groupBy("plain").agg(F.min("fields").alias("record"), F.max("fields").alias("_other"))
+    if lists.where("record <> _other").isEmpty():
+        return lists.select("plain", "record")
+    return _settled(links)  # one letter sequence, several lists: settle which lists are one record
 
 
 def _settled(links: DataFrame) -> DataFrame:
@@ -53,8 +64,12 @@ def _settled(links: DataFrame) -> DataFrame:
             return state.groupBy("plain").agg(F.min("record").alias("record"))
 
 
-def _split(keys: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of keys with at least ``hot_rows`` rows, and all other rows. There are at most rows / hot_rows hot keys, so they fit a broadcast."""
+def _split(keys: DataFrame, hot_rows: int, most_hot: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """Rows of keys with at least ``hot_rows`` rows, and all other rows.
+
+    ``hot_rows`` grows with the table so that there are at most ``most_hot`` hot keys: what is broadcast is bounded.
+    """
+    hot_rows = max(hot_rows, -(-keys.count() // most_hot))
     hot = F.broadcast(keys.groupBy("record").agg(F.count("*").alias("_n")).where(F.col("_n") >= hot_rows).select("record"))
     return keys.join(hot, "record", "left_semi"), keys.join(hot, "record", "left_anti")
 
