@@ -20,7 +20,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memlode.llm.canonical import composed, field_list, folded, letters_and_digits, words
+from memlode.llm.canonical import composed, folded, words
+from memlode.llm.copies import listed_records, text_keys
+from memlode.operators.graph import components
 from memlode.runtime import kept
 from memlode.sources.parquet import newest
 
@@ -32,21 +34,19 @@ def shingles(tokens: Column, size: int) -> Column:
     return F.when(last < 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(runs))
 
 
-def sketches(rows: DataFrame, id_column: str, group_column: str, text_column: str, order: list[str], size: int = 3) -> DataFrame:
-    """The newest row of each id: (id, owner, kind, record, grams), kept in the shared folder.
+def sketches(rows: DataFrame, id_column: str, group_column: str, text_column: str, order: list[str], size: int = 3) -> tuple[DataFrame, DataFrame]:
+    """All rows as (id, owner, kind, plain, fields, grams), kept in the shared folder, and (id, kind) of the newest row of each id.
 
-    ``kind`` is equal for rows of one group with equal record and equal shingles, which therefore have the same
-    partners; ``record`` is as in ``copies.record_keys`` without its rare second step (a text that isn't a field
-    list joining one that is).
+    ``kind`` is equal for rows of one group with equal keys (as in ``copies.text_keys``) and equal shingles, which
+    therefore have the same partners.
     """
     base = rows.select(F.col(id_column).cast("string").alias("id"), F.col(group_column).cast("string").alias("owner"), folded(composed(F.col(text_column))).alias("_text"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
     orders = [f"_o{i}" for i in range(len(order))]
-    record = F.coalesce(F.unhex(F.md5(field_list(F.col("_text")))), F.unhex(F.md5(letters_and_digits(F.col("_text")))))
     # columns that several expressions need are selected first: an expression repeated inside a lambda runs once per element
-    made = base.where("id is not null and owner is not null and _text is not null").select("id", "owner", record.alias("record"), words(F.col("_text")).alias("_words"), *orders)
-    made = made.select("id", "owner", "record", shingles(F.col("_words"), size).alias("grams"), *orders).withColumn("_sorted", F.sort_array("grams"))
+    made = base.where("id is not null and owner is not null and _text is not null").select("id", "owner", *text_keys(F.col("_text")), words(F.col("_text")).alias("_words"), *orders)
+    made = made.select("id", "owner", "plain", "fields", shingles(F.col("_words"), size).alias("grams"), *orders).withColumn("_sorted", F.sort_array("grams"))
     same = [F.xxhash64(F.lit(seed), "_sorted").cast("string") for seed in (1, 2)]
-    made = made.withColumn("kind", F.unhex(F.md5(F.concat("record", F.encode(F.concat_ws("|", "owner", *same), "UTF-8"))))).drop("_sorted")
+    made = made.withColumn("kind", F.unhex(F.md5(F.concat("plain", F.coalesce("fields", F.lit(b"")), F.encode(F.concat_ws("|", "owner", *same), "UTF-8"))))).drop("_sorted")
     table = kept(made, "sketches")
     # several rows of one id: only ids and what decides travel, and only of rows that hold
     latest = newest(table.select("id", "kind", *orders), "id", ["kind"], orders)
@@ -62,9 +62,20 @@ def _local_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def frequent_grams(table: DataFrame, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """The ``most`` shingles that repeat most within batches over all rows, and their counts. ``most`` bounds what reaches the driver (16 bytes each)."""
-    counts = table.select("grams").mapInPandas(_local_counts, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "gram").limit(most).toPandas().sort_values("gram")
+    """Up to ``most`` shingles that repeat most within batches over all rows, and their counts (16 bytes each on the driver).
+
+    The least count that leaves no more than ``most`` shingles is found from a histogram of counts, so no task sends
+    more than it has above it.
+    """
+    counts = kept(table.select("grams").mapInPandas(_local_counts, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")), "counts")
+    steps = counts.groupBy(F.floor(8 * F.log2("n")).alias("step")).count().orderBy(F.desc("step")).collect()  # some hundred rows
+    taken, least = 0, 0
+    for row in steps:
+        taken += row["count"]
+        if taken > most:
+            least = row["step"] + 1
+            break
+    top = counts.where(F.floor(8 * F.log2("n")) >= least).toPandas().sort_values("gram")
     return top["gram"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
 
 
@@ -98,23 +109,42 @@ def _prefixes(known, similarity: float):
     return run
 
 
+def _met(rows: DataFrame, columns: list[str], block: int = 1000) -> DataFrame:
+    """Pairs of rows of one ``key``: (key, a, b and the other columns of each side with the suffixes _a, _b).
+
+    Keys of more than ``block`` rows are divided into blocks that meet pair by pair in separate tasks, so no
+    task holds a key whole; all other keys are joined where they are. Both joins spill.
+    """
+    sizes = rows.groupBy("key").agg(F.count("*").alias("_n"))
+    sized = rows.join(sizes.where("_n > 1"), "key")
+    side = lambda df, x: df.select(*[c for c in df.columns if c not in ("kind", *columns)], F.col("kind").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+    few = sized.where(F.col("_n") <= block).drop("_n")
+    out = side(few, "a").join(side(few, "b").hint("merge"), "key").where("a < b").drop("key")
+    count = F.ceil(F.col("_n") / block).cast("int")
+    many = sized.where(F.col("_n") > block).withColumn("_k", F.pmod(F.xxhash64("kind"), count).cast("int")).withColumn("_blocks", count).drop("_n")
+    left = side(many.withColumns({"_i": F.col("_k"), "_j": F.explode(F.sequence(F.col("_k"), F.col("_blocks") - 1))}).drop("_k", "_blocks"), "a")
+    right = side(many.withColumns({"_j": F.col("_k"), "_i": F.explode(F.sequence(F.lit(0), F.col("_k")))}).drop("_k", "_blocks"), "b")
+    met = left.join(right.hint("merge"), ["key", "_i", "_j"]).where((F.col("_i") < F.col("_j")) | (F.col("a") < F.col("b"))).drop("key", "_i", "_j")
+    turned = met.select(*[F.when(F.col("a") < F.col("b"), F.col(p)).otherwise(F.col(q)).alias(p) for c in ("", *columns) for p, q in ((f"{c}_a", f"{c}_b") if c else ("a", "b"), (f"{c}_b", f"{c}_a") if c else ("b", "a"))])
+    return out.unionByName(turned)
+
+
 def prefix_pairs(table: DataFrame, similarity: float) -> DataFrame:
     """Candidate pairs of kinds (a, b), a < b: those that share enough of their prefixes to reach ``similarity``.
 
     Lengths must fit, and the number of shared prefix shingles plus all that lies beyond the longer remainder
     must reach the needed overlap; both tests drop no true pair. Copies were combined into kinds before, so a
     text held by a third of all rows emits its prefix once per task. A key shared by many *different* records of
-    one group is joined by sort-merge, which spills and which AQE splits, never gathered in memory.
+    one group is divided into blocks (``_met``).
     """
     spark = table.sparkSession
     known = spark.sparkContext.broadcast(frequent_grams(table))
     rows = table.select("kind", F.xxhash64("owner").alias("owner_hash"), "grams").mapInPandas(_prefixes(known, similarity), "key bigint, kind binary, n int")
-    rows = rows.repartition("key").dropDuplicates(["key", "kind"])
-    a, b = rows.select("key", F.col("kind").alias("a"), F.col("n").alias("na")), rows.select("key", F.col("kind").alias("b"), F.col("n").alias("nb"))
-    fits = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-9
-    shared = a.join(b, "key").where((F.col("a") < F.col("b")) & fits).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"))
-    needed = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-9)
-    beyond = F.greatest(F.ceil(F.lit(similarity) * F.col("na") - 1e-9), F.ceil(F.lit(similarity) * F.col("nb") - 1e-9)) - 1
+    rows = rows.dropDuplicates(["key", "kind"])
+    fits = F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b") - 1e-9
+    shared = _met(rows, ["n"]).where(fits).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("common"))
+    needed = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-9)
+    beyond = F.greatest(F.ceil(F.lit(similarity) * F.col("n_a") - 1e-9), F.ceil(F.lit(similarity) * F.col("n_b") - 1e-9)) - 1
     return shared.where(F.col("common") + beyond >= needed).select("a", "b")
 
 
@@ -146,21 +176,28 @@ def ball_pairs(table: DataFrame, radius: int = 2, bits: int = 64) -> DataFrame:
     prints = table.select("kind", F.xxhash64("owner").alias("owner_hash"), "grams").where("size(grams) > 0").mapInPandas(_fingerprints(bits), "kind binary, owner_hash bigint, print bigint")
     prints = kept(prints.dropDuplicates(["kind"]), "prints")
     variants = prints.select("kind", "print", F.explode(F.transform(F.array(*[F.lit(m).cast("bigint") for m in masks]), lambda m: F.xxhash64(F.col("owner_hash"), F.col("print").bitwiseXOR(m)))).alias("key"))
-    a, b = variants.select("key", F.col("kind").alias("a"), F.col("print").alias("pa")), variants.select("key", F.col("kind").alias("b"), F.col("print").alias("pb"))
-    near = F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= radius
-    return a.join(b, "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    near = F.bit_count(F.col("print_a").bitwiseXOR(F.col("print_b"))) <= radius
+    return _met(variants, ["print"]).where(near).select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, table: DataFrame, similarity: float) -> DataFrame:
     """Pairs of kinds (a, b) of one group and different records whose distinct shingles overlap in ``similarity`` of the union or more."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("kind")).distinct()
-    texts = table.join(ends, "kind", "left_semi").select("kind", "owner", "record", "grams").dropDuplicates(["kind"])
+    texts = table.join(ends, "kind", "left_semi").select("kind", "owner", "plain", "grams").dropDuplicates(["kind"])
+    texts = texts.join(listed_records(table), "plain", "left").select("kind", "owner", F.coalesce("record", "plain").alias("record"), "grams")
     left, right = [texts.select(F.col("kind").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("owner", "record", "grams")]) for x in "ab"]
     both = F.size(F.array_intersect("grams_a", "grams_b"))
     joined = pairs.join(left, "a").join(right, "b").where("owner_a = owner_b and record_a <> record_b")
     return joined.where(both >= F.lit(similarity) * (F.size("grams_a") + F.size("grams_b") - both) - 1e-9).select("a", "b")
 
 
+def _links(rows: DataFrame, id_column: str, group_column: str, text_column: str, order: list[str] | None, size: int, similarity: float, method: str, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Verified links between kinds (a, b), and (id, kind) of the rows that hold."""
+    table, latest = sketches(rows, id_column, group_column, text_column, order or ["updated_at", "version"], size)
+    pairs = prefix_pairs(table, similarity) if method == "prefix" else ball_pairs(table, radius)
+    return kept(verified(pairs, table, similarity), "links"), latest
+
+
 def near_duplicates(rows: DataFrame, id_column: str = "id", group_column: str = "entity_id", text_column: str = "content", order: list[str] | None = None, size: int = 3, similarity: float = 0.5, method: str = "prefix", radius: int = 2) -> DataFrame:
     """(id_a, id_b), id_a < id_b: rows of one group, different records, that share at least ``similarity`` of their word sequences.
 
@@ -169,8 +206,24 @@ def near_duplicates(rows: DataFrame, id_column: str = "id", group_column: str =
     an empty table gives no pairs; repeated rows of an id count once, the newest by ``order``; texts are read
     whole; other columns are ignored. Members of equal texts are listed with each of their partners.
     """
-    table, latest = sketches(rows, id_column, group_column, text_column, order or ["updated_at", "version"], size)
-    pairs = prefix_pairs(table, similarity) if method == "prefix" else ball_pairs(table, radius)
-    links = kept(verified(pairs, table, similarity), "links")
+    links, latest = _links(rows, id_column, group_column, text_column, order, size, similarity, method, radius)
     a, b = latest.select(F.col("kind").alias("a"), F.col("id").alias("_x")), latest.select(F.col("kind").alias("b"), F.col("id").alias("_y"))
     return links.join(a, "a").join(b, "b").select(F.least("_x", "_y").alias("id_a"), F.greatest("_x", "_y").alias("id_b"))
+
+
+def near_groups(rows: DataFrame, id_column: str = "id", group_column: str = "entity_id", text_column: str = "content", order: list[str] | None = None, size: int = 3, similarity: float = 0.5, method: str = "prefix", radius: int = 2) -> DataFrame:
+    """(id, class_id, group_id, links): every row with a partner, once, with the smallest id of its group.
+
+    Groups are what pairs of ``near_duplicates`` connect. ``class_id`` is the smallest id among rows that have the
+    same partners (copies in one group), ``links`` the number of classes such a row is linked with. The cases of
+    ``near_duplicates`` hold here too; rows without a partner don't come out.
+    """
+    links, latest = _links(rows, id_column, group_column, text_column, order, size, similarity, method, radius)
+    classes = latest.groupBy("kind").agg(F.min("id").alias("class_id"))
+    named = links.join(classes.select(F.col("kind").alias("a"), F.col("class_id").alias("_a")), "a").join(classes.select(F.col("kind").alias("b"), F.col("class_id").alias("_b")), "b")
+    named = kept(named.select(F.col("_a").alias("a"), F.col("_b").alias("b")), "named")
+    counts = named.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
+    groups = components(named).select(F.col("id").alias("class_id"), "root")
+    # a group's id is the smallest id of its members: classes are named by theirs, so the smallest class is it
+    members = latest.join(classes, "kind").select("id", "class_id")
+    return members.join(groups, "class_id").join(counts, "class_id").select("id", "class_id", F.col("root").alias("group_id"), "links")

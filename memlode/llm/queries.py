@@ -63,6 +63,11 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_duplicates(table(spark, folder, "memories")).select(F.col("id_a").alias("memory_id_a"), F.col("id_b").alias("memory_id_b"))
 
 
+def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every memory with a near-duplicate, with the group it belongs to and the number of texts it is linked with."""
+    return near.near_groups(table(spark, folder, "memories")).select(F.col("id").alias("memory_id"), "group_id", "links")
+
+
 def p6_ball(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_duplicates(table(spark, folder, "memories"), method="ball").select(F.col("id_a").alias("memory_id_a"), F.col("id_b").alias("memory_id_b"))
 
@@ -103,4 +108,4 @@ def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("subject").agg(F.count_if(F.col("posterior") >= 0.5).alias("documents"), F.round(F.sum("posterior"), 3).alias("expected"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_nearest": p2_nearest, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_ball": p6_ball, "p7_found": p7_found, "p7_items": p7_items, "p8_plan": p8_plan, "p8_shares": p8_shares, "p9_found": p9_found, "p9_composition": p9_composition}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_nearest": p2_nearest, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_groups": p6_groups, "p6_ball": p6_ball, "p7_found": p7_found, "p7_items": p7_items, "p8_plan": p8_plan, "p8_shares": p8_shares, "p9_found": p9_found, "p9_composition": p9_composition}

@@ -38,6 +38,18 @@ where shared >= 0.5 * (x.n + y.n - shared) and r.record <> s.record
 """
 )
 SQL["p6_found"] = _NEAR
+SQL["p6_groups"] = (
+    _NEAR.replace("with texts", "with recursive texts", 1).replace("select a memory_id_a", ", p as (select a memory_id_a", 1).rstrip()
+    + """),
+both_ways as (select memory_id_a a, memory_id_b b from p union select memory_id_b, memory_id_a from p),
+reach as (select distinct a, a b from both_ways union select r.a, e.b from reach r join both_ways e on e.a = r.b),
+roots as (select a id, min(b) root from reach group by 1),
+sets as (select g.id, list_sort(list(gram)) grams from g group by 1),
+classes as (select r.id, min(r.id) over (partition by w.owner, k.plain, k.fields, s.grams) class_id from roots r join w using (id) join keyed k using (id) join sets s using (id)),
+linked as (select c.class_id, count(distinct d.class_id) links from both_ways e join classes c on c.id = e.a join classes d on d.id = e.b group by 1)
+select r.id memory_id, root group_id, links from roots r join classes c using (id) join linked l using (class_id)
+"""
+)
 _LEAKS = r"""
 with d as (select distinct doc_id, list_filter(regexp_split_to_array(replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), 'ς', 'σ'), '[^\p{L}\p{N}]+'), lambda x: x <> '') w from documents where text is not null),
 i as (select distinct item_id, list_filter(regexp_split_to_array(replace(replace(lower(nfc_normalize(passage)), 'ß', 'ss'), 'ς', 'σ'), '[^\p{L}\p{N}]+'), lambda x: x <> '') w from eval_items where passage is not null),

@@ -109,3 +109,25 @@ def test_balls_find_every_pair_within_the_radius(spark):
     want = {(a, b) for a, b in combinations(sorted(prints), 2) if (prints[a] != prints[b]).sum() <= 2}
     got = {(bytes(r.a), bytes(r.b)) for r in near.ball_pairs(df, radius=2).collect()}
     assert got == want and want
+
+
+def test_field_lists_and_their_letters_are_one_record(spark):
+    items = [("m1", "a", "name: bob ross painter; city: rome the old"), ("m2", "a", "name bob ross painter city rome the old"), ("m3", "a", "name bob ross painter city rome the old town")]
+    assert {tuple(r) for r in near.near_duplicates(rows(spark, items)).collect()} == {("m1", "m3"), ("m2", "m3")}
+
+
+def test_groups(spark):
+    base = "one two three four five six seven eight nine ten"
+    items = [("m1", "a", base), ("m2", "a", base.upper()), ("m3", "a", base + " eleven"), ("m4", "a", "zero " + base), ("m5", "a", "else altogether nothing shared"), ("m6", "b", base)]
+    got = {(r.id, r.class_id, r.group_id, r.links) for r in near.near_groups(rows(spark, items)).collect()}
+    assert got == {("m1", "m1", "m1", 2), ("m2", "m1", "m1", 2), ("m3", "m3", "m1", 2), ("m4", "m4", "m1", 2)}
+    assert near.near_groups(rows(spark, [])).collect() == []
+
+
+def test_keys_of_many_records_meet_in_blocks(spark):
+    rng = np.random.default_rng(1)
+    data = [(int(k), bytes([i])) for i in range(60) for k in set(rng.integers(0, 3, 2))]
+    df = spark.createDataFrame(data, "key bigint, kind binary").selectExpr("key", "kind", "length(kind) n")
+    want = sorted((a, b) for k, a in data for j, b in data if j == k and a < b)
+    for block in (7, 1000):
+        assert sorted((bytes(r.a), bytes(r.b)) for r in near._met(df, ["n"], block).collect()) == want

@@ -35,6 +35,14 @@ def test_leaks(spark):
     assert leak.leaks(spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, passage string, x string")).collect() == []
 
 
+def test_parts_of_phrases_change_nothing(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    items = spark.createDataFrame([(1, long), (2, " ".join(f"v{i}" for i in range(30))), (3, "short")], "item_id bigint, passage string")
+    docs = spark.createDataFrame([(1, f"x {long} y"), (2, " ".join(f"v{i}" for i in range(5, 25))), (3, long + " and " + " ".join(f"v{i}" for i in range(14)))], "doc_id bigint, text string")
+    results = [sorted(tuple(r) for r in leak.leaks(docs, items, phrases_per_pass=n).collect()) for n in (1, 5, 500_000)]
+    assert results[0] == results[1] == results[2] == [(1, 1, 1, 41), (2, 2, 0, 20), (3, 1, 0, 40), (3, 2, 41, 55)]
+
+
 # ---- personal information
 TEXT = "Call back on +44 (0)20 7946 0355. Met with Dr. Søren Telrefrot, see order 68669154. Mail jo+x@example.org. SSN 947-50-7831. Moved to Flat 6, 32 Tuxvup St last month. Pinned release 680.338.322 and logo@2x.png."
 
