@@ -1,11 +1,14 @@
 """Most similar vectors for every vector: cells, score-aware anisotropic quantisation, four-bit tables, exact reranking.
 
-1. A bounded sample (parameter ``sample``) trains coarse cells (spherical k-means) and product-quantisation
-   codebooks of 16 entries per two dimensions. The quantisation error along the vector costs more than the error
-   across it, since only the former changes high inner products.
+1. A bounded sample (parameter ``sample``) trains cells in two levels (spherical k-means, and k-means of what is left
+   around the nearest centre, shared by all of them) and product-quantisation codebooks of 16 entries per two
+   dimensions. The quantisation error along the vector costs more than the error across it, since only the former
+   changes high inner products. The number of cells grows with the square root of the rows.
 2. Every vector of the table gets its codes (four bits per two dimensions) and its nearest cells. Its codes go
    to ``spread`` cells; the vector itself, as a query, goes to its nearest cell only.
-3. A task per block of a cell adds up the tables of its codes for all its queries and keeps the best ``keep``.
+3. A task per block of a cell scans its codes by tables: each query has a table of its inner products with the 16
+   entries of every block, in eight bits, whose entries are looked up by the packed codes and added up; the best
+   ``keep`` stay.
 4. The candidates are scored exactly from the full vectors and cut to k.
 
 Equal vectors travel as one (their ids come back at the end), so a vector shared by a third of all rows costs one
@@ -15,7 +18,7 @@ row per task; cells with more than ``block_rows`` rows are divided into blocks,
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -29,11 +32,36 @@ from memlode.sources.parquet import newest
 
 @dataclass
 class Quantiser:
-    """Cells (unit vectors) and codebooks (blocks, 16, width). ``parallel``: cost of the error along the vector, 1 across it."""
+    """Cells: each of ``cells`` (unit vectors) plus each of ``rests``; codebooks (blocks, 16, width). ``parallel``: cost of the error along the vector, 1 across it."""
 
     cells: np.ndarray
     books: np.ndarray
     parallel: float
+    rests: np.ndarray = field(default_factory=lambda: np.zeros((1, 1), np.float32))
+
+    def places(self, x: np.ndarray, many: int) -> np.ndarray:
+        """The nearest ``many`` cells of each vector, nearest first."""
+        near = x @ self.cells.T
+        if len(self.rests) == 1:
+            return _best(near, many)
+        heads = _best(near, 4 * many)
+        level = 2 * (self.cells @ self.rests.T) + (self.rests**2).sum(1)  # what the rest changes of the squared length
+        fine = 2 * (np.take_along_axis(near, heads, 1)[:, :, None] + (x @ self.rests.T)[:, None, :]) - level[heads]
+        pick = _best(fine.reshape(len(x), -1), many)
+        return np.take_along_axis(heads, pick // len(self.rests), 1) * len(self.rests) + pick % len(self.rests)
+
+    def tables(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(tables (queries, bytes, 256) of eight-bit entries, step of each query, offset of each query).
+
+        A byte of packed codes stands for two blocks, so its 256 entries are the sums of theirs. The sum of a
+        code's entries times the step plus the offset is its inner product with the query, to half a step per byte.
+        """
+        blocks, _, width = self.books.shape
+        plain = np.einsum("nbw,bkw->nbk", queries.reshape(len(queries), blocks, width), self.books, optimize=True)
+        pairs = (plain[:, ::2, :, None] + plain[:, 1::2, None, :]).reshape(len(queries), blocks // 2, 256)
+        low = pairs.min(2, keepdims=True)
+        step = np.maximum((pairs.max(2) - low[:, :, 0]).max(1), 1e-12) / 255
+        return np.rint((pairs - low) / step[:, None, None]).astype(np.uint8), step, low.sum((1, 2))
 
     def encode(self, x: np.ndarray, rounds: int = 2) -> np.ndarray:
         """Codes (n, blocks) by coordinate descent on the anisotropic loss, from the plain nearest entries."""
@@ -60,6 +88,13 @@ class Quantiser:
         return self.books[np.arange(blocks), codes].reshape(len(codes), blocks * width)
 
 
+def _best(scores: np.ndarray, many: int) -> np.ndarray:
+    """Places of the ``many`` highest scores of each row, highest first."""
+    many = min(many, scores.shape[1])
+    top = np.argpartition(-scores, many - 1, axis=1)[:, :many]
+    return np.take_along_axis(top, np.argsort(-np.take_along_axis(scores, top, 1), axis=1, kind="stable"), 1)
+
+
 def _spherical_kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) -> np.ndarray:
     centres = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
@@ -71,14 +106,28 @@ def _spherical_kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: i
     return centres.astype(np.float32)
 
 
-def train(x: np.ndarray, cells: int, block_width: int = 2, threshold: float = 0.2, rounds: int = 3, seed: int = 7) -> Quantiser:
-    """Fits cells and codebooks to unit vectors. ``threshold``: inner products above it are those that matter."""
+def _rests(x: np.ndarray, centres: np.ndarray, many: int, rng: np.random.Generator) -> np.ndarray:
+    """``many`` centres of what is left of the vectors around their nearest cells (plain k-means)."""
+    if many < 2:
+        return np.zeros((1, x.shape[1]), np.float32)
+    left = x - centres[np.concatenate([(part @ centres.T).argmax(1) for part in np.array_split(x, max(1, len(x) // 8192))])]
+    made = left[rng.choice(len(left), many, replace=len(left) < many)].copy()
+    for _ in range(10):
+        nearest = (2 * left @ made.T - (made**2).sum(1)).argmax(1)
+        sums, counts = np.zeros_like(made), np.bincount(nearest, minlength=many)
+        np.add.at(sums, nearest, left)
+        made = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], made)
+    return made.astype(np.float32)
+
+
+def train(x: np.ndarray, cells: int, block_width: int = 2, threshold: float = 0.2, rounds: int = 3, seed: int = 7, rests: int = 1, part_rows: int = 8000) -> Quantiser:
+    """Fits ``cells`` x ``rests`` cells and codebooks to unit vectors. ``threshold``: inner products above it are those that matter; ``part_rows``: vectors that the codebooks are fitted to."""
     rng = np.random.default_rng(seed)
     dims = x.shape[1]
     blocks = dims // block_width
     parallel = max(1.0, (dims - 1) * threshold**2 / (1 - threshold**2))
     books = np.empty((blocks, 16, block_width), np.float32)
-    part = x[rng.choice(len(x), min(len(x), 8000), replace=False)]
+    part = x[rng.choice(len(x), min(len(x), part_rows), replace=False)]
     for b in range(blocks):
         p = part[:, b * block_width : (b + 1) * block_width]
         c = p[rng.choice(len(p), 16, replace=len(p) < 16)].copy()
@@ -89,7 +138,8 @@ def train(x: np.ndarray, cells: int, block_width: int = 2, threshold: float = 0.
                 total = np.bincount(nearest, p[:, w], minlength=16)
                 c[:, w] = np.where(counts > 0, total / np.maximum(counts, 1), c[:, w])
         books[b] = c
-    made = Quantiser(_spherical_kmeans(x, min(cells, len(x)), rng), books, parallel)
+    centres = _spherical_kmeans(x, min(cells, len(x)), rng)
+    made = Quantiser(centres, books, parallel, _rests(x, centres, rests, rng))
     for _ in range(rounds):  # codebooks that minimise the anisotropic loss for the current codes: one linear system over all entries
         codes = made.encode(part).astype(np.int64)
         column = ((np.arange(blocks) * 16 + codes)[:, :, None] * block_width + np.arange(block_width)).reshape(len(part), dims)
@@ -102,7 +152,7 @@ def train(x: np.ndarray, cells: int, block_width: int = 2, threshold: float = 0.
             left += np.bincount((c[:, :, None] * size + c[:, None, :]).ravel(), cross.ravel(), minlength=size * size).reshape(size, size)
             right += np.bincount(c.ravel(), (parallel * v).ravel(), minlength=size)
         left[np.arange(size), np.arange(size)] += 1e-6
-        made = Quantiser(made.cells, np.linalg.solve(left, right).astype(np.float32).reshape(blocks, 16, block_width), parallel)
+        made = Quantiser(made.cells, np.linalg.solve(left, right).astype(np.float32).reshape(blocks, 16, block_width), parallel, made.rests)
     return made
 
 
@@ -119,17 +169,14 @@ def _place(shared, spread: int):
             for s in range(0, len(batch), 4096):
                 part = batch.iloc[s : s + 4096]
                 x = _matrix(part["unit"], dims)
-                codes, scores = quantiser.encode(x), x @ quantiser.cells.T
-                m = min(spread, scores.shape[1])
-                top = np.argpartition(-scores, m - 1, axis=1)[:, :m]
-                top = np.take_along_axis(top, np.argsort(-np.take_along_axis(scores, top, 1), axis=1, kind="stable"), 1)
+                codes, top = quantiser.encode(x), quantiser.places(x, spread)
                 yield pd.DataFrame({"vec": part["vec"].to_numpy(), "unit": part["unit"].to_numpy(), "code": [c.tobytes() for c in (codes[:, ::2] << 4 | codes[:, 1::2])], "cells": list(top.astype(np.int32))})
 
     return run
 
 
 def _scan(shared, keep: int, floor: float, error: float, k: int):
-    """Best ``keep`` by codes. Where more than ``keep`` could be wanted, the query comes back without ``other``: its block is to be scored exactly."""
+    """Best ``keep`` by the tables. Where more than ``keep`` could be wanted, the query comes back without ``other``: its block is to be scored exactly."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         quantiser = shared.value
@@ -138,15 +185,16 @@ def _scan(shared, keep: int, floor: float, error: float, k: int):
         queries, base = pdf[pdf["is_query"]], pdf[~pdf["is_query"]]
         out = []
         if len(queries) and len(base):
-            packed = np.frombuffer(b"".join(base["data"]), np.uint8).reshape(len(base), -1)
-            codes = np.empty((len(base), packed.shape[1] * 2), np.uint8)
-            codes[:, ::2], codes[:, 1::2] = packed >> 4, packed & 15
-            # the sum over blocks of a query's table entries is its product with the decoded vector
-            entries, ids = quantiser.decode(codes), base["vec"].to_numpy(np.int64)
+            packed = np.frombuffer(b"".join(base["data"]), np.uint8).reshape(len(base), -1).astype(np.intp)
+            ids = base["vec"].to_numpy(np.int64)
             asked, own = _matrix(queries["data"], dims), queries["vec"].to_numpy(np.int64)
-            step = max(1, 4_000_000 // len(base))
+            step = max(1, min(512, 4_000_000 // len(base)))
             for s in range(0, len(asked), step):
-                scores = asked[s : s + step] @ entries.T
+                tables, size, offset = quantiser.tables(asked[s : s + step])
+                sums = np.zeros((len(tables), len(base)), np.uint16 if packed.shape[1] <= 257 else np.uint32)
+                for column in range(packed.shape[1]):
+                    sums += np.take(tables[:, column], packed[:, column], axis=1)
+                scores = sums * size[:, None].astype(np.float32) + offset[:, None].astype(np.float32)
                 scores[own[s : s + step][:, None] == ids] = -9
                 if len(ids) > keep:
                     top = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
@@ -210,13 +258,15 @@ def _units(dims: int):
     return run
 
 
-def nearest(rows: DataFrame, id_column: str, vector_column: str, order: list[str], k: int = 5, dims: int = 64, least: float | None = None, spread: int = 4, keep: int = 40, slack: float = 0.2, sample: int = 24_000, cells: int | None = None, most_cells: int = 4096, block_rows: int = 20_000, queries: DataFrame | None = None) -> DataFrame:
+def nearest(rows: DataFrame, id_column: str, vector_column: str, order: list[str], k: int = 5, dims: int = 64, least: float | None = None, spread: int = 4, keep: int = 40, slack: float = 0.2, sample: int = 24_000, cells: int | None = None, block_rows: int = 20_000, queries: DataFrame | None = None) -> DataFrame:
     """(id, other_id, cosine, place): the k rows of highest cosine to each row, by the index described above.
 
     ``least``: only pairs of at least this cosine are wanted; the table scan then drops what lies more than
     ``slack`` below. ``queries``: a DataFrame with a column id, to ask for those rows only; otherwise all ask.
     ``spread``, ``keep``: accuracy; see README.md for the recall measured against brute force. ``cells``: number
-    of cells, else twice the square root of the rows, at most ``most_cells`` (which bounds the broadcast).
+    of cells, else twice the square root of the rows; the sample trains one cell of the first level for eight of
+    its vectors at most, whatever more is needed comes from the second level. What is broadcast is the codebooks
+    and both levels, which the sample bounds.
     Ties are ordered by id. Defined cases: vectors that are null, of another length, zero or not finite take no
     part; repeated rows of an id count once, the newest; an empty table gives no rows; other columns are ignored.
     """
@@ -228,26 +278,29 @@ def nearest(rows: DataFrame, id_column: str, vector_column: str, order: list[str
     total = units.count()
     if total < 2:
         return spark.createDataFrame([], "id string, other_id string, cosine double, place int")
-    drawn = units.select("vec", "unit").orderBy(F.xxhash64("id")).limit(sample).toPandas()  # the sample is a hash order's head: the same on every run
-    drawn = drawn.drop_duplicates("vec")
-    quantiser = train(_matrix(drawn["unit"], dims), cells or min(most_cells, max(1, int(2 * total**0.5)), max(1, len(drawn) // 8)))
+    # the same sample on every run: hashes below a bound that leaves about ``sample`` rows
+    bound = min(1 << 30, int(sample / total * (1 << 30)) + 1)
+    drawn = units.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < bound).select("vec", "unit").toPandas().sort_values("vec").drop_duplicates("vec")
+    wanted = cells or max(1, int(2 * total**0.5))
+    first = max(1, min(wanted, len(drawn) // 8))
+    quantiser = train(_matrix(drawn["unit"], dims), first, rests=-(-wanted // first))
     shared = spark.sparkContext.broadcast(quantiser)
     placed = kept(units.select("vec", "unit").mapInPandas(_place(shared, spread), "vec bigint, unit binary, code binary, cells array<int>"), "placed")
     asking = placed
     if queries is not None:
         asking = placed.join(units.join(queries.select(F.col("id").cast("string").alias("id")), "id", "left_semi").select("vec").distinct(), "vec", "left_semi")
-    sizes = placed.select(F.explode("cells").alias("cell")).groupBy("cell").count().toPandas()  # one row per cell, at most most_cells
-    blocks = np.ones(len(quantiser.cells), np.int64)
-    blocks[sizes["cell"]] = np.maximum(1, -(-sizes["count"] // block_rows))
-    count = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell") + 1) if blocks.max() > 1 else F.lit(1)
-    mine = F.pmod(F.xxhash64("vec"), count).cast("int")
-    every = F.explode(F.sequence(F.lit(0), count.cast("int") - 1))
-    base = placed.select("vec", F.col("code").alias("data"), F.explode("cells").alias("cell")).select("vec", "data", "cell", mine.alias("db"), every.alias("qb"), F.lit(False).alias("is_query"))
+    spreads = placed.select("vec", "code", F.explode("cells").alias("cell"))
+    # cells of more than a block: at most spread x rows / block_rows of them, a bounded broadcast
+    large = kept(spreads.groupBy("cell").count().where(F.col("count") > block_rows).select("cell", F.ceil(F.col("count") / block_rows).cast("int").alias("_blocks")), "cells")
+    divided = lambda df: df.join(F.broadcast(large), "cell", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    mine = F.pmod(F.xxhash64("vec"), F.col("_blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    base = divided(spreads).select("vec", F.col("code").alias("data"), "cell", mine.alias("db"), every.alias("qb"), F.lit(False).alias("is_query"))
     # data rows spread over several cells, so a query visits its nearest cell only; single rows that ask visit all their cells
     visits = F.explode("cells").alias("cell") if queries is not None else F.element_at("cells", 1).alias("cell")
-    ask = asking.select("vec", F.col("unit").alias("data"), visits).select("vec", "data", "cell", every.alias("db"), mine.alias("qb"), F.lit(True).alias("is_query"))
+    ask = divided(asking.select("vec", F.col("unit").alias("data"), visits)).select("vec", "data", "cell", every.alias("db"), mine.alias("qb"), F.lit(True).alias("is_query"))
     floor = -2.0 if least is None else least - slack
-    # the error of a score by codes: exact for thresholds (everything above the floor counts), else the largest of a part of the sample
+    # the error of a score by codes: for thresholds everything above the floor counts, else the largest of a part of the sample
     part = _matrix(drawn["unit"], dims)[:2000]
     error = 2.0 if least is not None else float(np.abs((part - quantiser.decode(quantiser.encode(part))) @ part.T).max())
     by_codes = kept(base.unionByName(ask).groupBy("cell", "db", "qb").applyInPandas(_scan(shared, keep, floor, error, k), "query bigint, other bigint, cell int, db int, qb int"), "scanned")

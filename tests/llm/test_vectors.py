@@ -73,3 +73,21 @@ def test_dense_cluster_beyond_the_candidates_kept(spark):
     got = {tuple(r) for r in vectors.similar_pairs(rows, "id", "v", ["version"], least=0.93, k=5, dims=64, cells=1).collect()}
     want = {(min(p), max(p)) for p in exact(x, 5, 0.93)}
     assert len(got & want) >= 0.99 * len(want) and len(want) > 400
+
+
+def test_tables_add_up_to_inner_products(clustered):
+    x = clustered.astype(np.float32)
+    made = vectors.train(x, 8)
+    codes, asked = made.encode(x), x[:20]
+    packed = (codes[:, ::2] << 4 | codes[:, 1::2]).astype(np.intp)
+    tables, step, offset = made.tables(asked)
+    sums = sum(tables[:, c][:, packed[:, c]].astype(int) for c in range(packed.shape[1]))
+    error = np.abs(sums * step[:, None] + offset[:, None] - asked @ made.decode(codes).T)
+    assert tables.dtype == np.uint8 and tables.max() == 255 and (error <= step[:, None] * packed.shape[1] / 2 + 1e-6).all()
+
+
+def test_cells_of_two_levels(spark, clustered, monkeypatch):
+    rows = frame(spark, [(f"m{i:03}", [float(c) for c in v]) for i, v in enumerate(clustered)])
+    got = {(r.id, r.other_id) for r in vectors.nearest(rows, "id", "v", ["version"], k=3, dims=16, spread=12, keep=60, sample=80, cells=40).collect()}
+    want = exact(clustered, 3, -1)
+    assert len(got & want) >= 0.9 * len(want)
