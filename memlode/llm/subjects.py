@@ -1,6 +1,6 @@
 """Subject areas of documents: complement naive Bayes over sentences, expectation-maximisation, calibrated posteriors.
 
-Documents become numbers once: hashed words and word pairs of each sentence. A model is a table of ``buckets`` by
+Documents become numbers once, in one pass over their text: hashed words and word pairs of each sentence. A model is a table of ``buckets`` by
 subjects (plus 'none') and languages, of fixed size whatever the corpus; each pass adds up expected counts over
 all documents, combined per task and then per bucket. Sentences of labelled documents are held to their labels,
 all others take part with their posteriors. Per subject, the share of a document's sentences is then calibrated
@@ -9,50 +9,83 @@ into a posterior of its own, so a document may have several subjects or none.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlode.llm.canonical import composed, folded
+from memlode.llm.canonical import folded_text
 from memlode.runtime import kept
 
 NONE = "none"
 
 
-def sentences(text: Column, longest: int = 40, piece: int = 12) -> Column:
-    """Word lists of the sentences of a text, whole texts in.
+_LINES, _ENDS, _LETTERS = re.compile(r"[\n\r\x85\u2028\u2029]+"), re.compile(r"(?<=[.!?…])\s+"), re.compile(r"[^\W\d_]+")
+_HEADING, _LABEL = re.compile(r"\s*(?:#|$)"), re.compile(r"\s*(?:[-*•]\s+|[^\W\d_]+:\s+)")
+
+
+def sentences(text: str, longest: int = 40, piece: int = 12) -> list[list[str]]:
+    """Word lists of the sentences of a text (folded already), whole texts in.
 
     Lines are split after full stops, question and exclamation marks; heading lines, bullets and speaker names are
     left out. A stretch of more than ``longest`` words without any such mark (transcripts) is cut into pieces of
     ``piece`` words.
     """
-    lines = F.filter(F.split(text, r"[\n\r\x{85}\x{2028}\x{2029}]+"), lambda s: ~s.rlike(r"^\s*(#|$)"))
-    bare = F.transform(lines, lambda s: F.regexp_replace(s, r"(?U)^\s*(?:[-*•]\s+|\p{L}+:\s+)", ""))
-    split = F.flatten(F.transform(bare, lambda s: F.split(s, r"(?U)(?<=[.!?…])\s+")))
-    tokens = F.transform(split, lambda s: F.filter(F.split(s, r"[^\p{L}]+"), lambda w: w != ""))
-    pieces = lambda w: F.transform(F.sequence(F.lit(1), F.size(w), F.lit(piece)), lambda i: F.slice(w, i, piece))
-    return F.flatten(F.transform(F.filter(tokens, lambda w: F.size(w) > 0), lambda w: F.when(F.size(w) > longest, pieces(w)).otherwise(F.array(w))))
+    out = []
+    for line in _LINES.split(text):
+        if _HEADING.match(line):
+            continue
+        label = _LABEL.match(line)
+        for part in _ENDS.split(line[label.end() :] if label else line):
+            said = _LETTERS.findall(part)
+            if len(said) > longest:
+                out += [said[i : i + piece] for i in range(0, len(said), piece)]
+            elif said:
+                out.append(said)
+    return out
 
 
-def features(found: Column, buckets: int) -> Column:
-    """Hashed words and word pairs of each sentence, each once, sentences ended by -1: one flat integer array."""
-    number = lambda h: F.pmod(h, F.lit(buckets)).cast("int")
+def _features(buckets: int):
+    """Hashed words and word pairs of each sentence, each once, sentences ended by -1: one flat integer array per text."""
 
-    def of(w: Column) -> Column:
-        single = F.transform(w, lambda x: number(F.xxhash64(x)))
-        pairs = F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w)), lambda a, b: number(F.xxhash64(a, b)))).otherwise(F.array().cast("array<int>"))
-        return F.concat(F.array_distinct(F.concat(single, pairs)), F.array(F.lit(-1)))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
 
-    return F.flatten(F.transform(found, of))
+        seen: dict[str, int] = {}
+        for batch in batches:
+            made = []
+            for text in batch["text"]:
+                found = sentences(folded_text(text))
+                if len(seen) > 500_000:
+                    seen.clear()
+                flat = [seen[w] if w in seen else seen.setdefault(w, xxhash.xxh64_intdigest(w)) for s in found for w in s]
+                word = np.array(flat, dtype=np.uint64)
+                row = np.repeat(np.arange(len(found)), [len(s) for s in found])
+                together = row[1:] == row[:-1]
+                pair = ((word[:-1] * _MIX_A) ^ (word[1:] * _MIX_B))[together]
+                pair ^= pair >> np.uint64(29)
+                number = np.concatenate([word, pair]) % np.uint64(buckets)
+                key = np.unique(np.concatenate([row, row[:-1][together]]) * (buckets + 1) + number.astype(np.int64))
+                ends = np.arange(1, len(found) + 1) * (buckets + 1) - 1  # after all features of its sentence
+                key = np.sort(np.concatenate([key, ends]))
+                number = (key % (buckets + 1)).astype(np.int32)
+                number[number == buckets] = -1
+                made.append(number)
+            yield batch.drop(columns="text").assign(feats=made)
+
+    return run
+
+
+_MIX_A, _MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)  # odd multipliers, any would do
 
 
 @dataclass
 class Model:
-    """``weights`` (buckets, classes): log ratio of a class to its complement; ``language`` (buckets, languages): log frequencies; ``prior`` of the classes."""
+    """``weights`` (buckets, classes): how rare a feature is in the complement of a class, as a negative logarithm; ``language`` (buckets, languages): log frequencies; ``prior`` of the classes."""
 
     weights: np.ndarray | None
     language: np.ndarray
@@ -82,14 +115,16 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True) if len(x) else e
 
 
-def posteriors(model: Model, feats: np.ndarray, sentence: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
-    """Class posteriors of each sentence; a document's sentences share a mixture that is fitted with them."""
+def posteriors(model: Model, feats: np.ndarray, sentence: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, float]:
+    """Class posteriors of each sentence, and the logarithm of how likely the sentences are; a document's sentences share a mixture that is fitted with them."""
     scores = _by_row(model.weights[feats], sentence, len(doc))
     out = _softmax(scores + np.log(model.prior))
     for _ in range(3):
         mix = _by_row(out, doc, docs) + model.prior
-        out = _softmax(scores + np.log(mix / mix.sum(1, keepdims=True))[doc])
-    return out
+        joint = scores + np.log(mix / mix.sum(1, keepdims=True))[doc]
+        out = _softmax(joint)
+    top = joint.max(axis=1, initial=-np.inf)
+    return out, float((top + np.log(np.exp(joint - top[:, None]).sum(1))).sum()) if len(joint) else 0.0
 
 
 def _languages(model: Model, feats: np.ndarray, sentence: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
@@ -130,11 +165,11 @@ def _language_counts(buckets: int, languages: int):
 
 
 def _expected_counts(shared, buckets: int, classes: int, languages: int, first: bool):
-    """Expected (bucket, class) counts of a task's sentences; rows from ``buckets`` on count sentences per language."""
+    """Expected (bucket, class) counts of a task's sentences; rows from ``buckets`` on count sentences per language, the last holds the log likelihood and the sentences."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        total = np.zeros((buckets + languages, classes))
+        total = np.zeros((buckets + languages + 1, classes))
         for batch in batches:
             feats, sentence, doc = _flat(batch)
             if not len(doc):
@@ -147,7 +182,10 @@ def _expected_counts(shared, buckets: int, classes: int, languages: int, first:
                 bound = np.ones((len(batch), classes))
                 bound[known] = np.maximum(0.02, share[known])
                 bound[:, -1] = 1
-                held = posteriors(model, feats, sentence, doc, len(batch)) * bound[doc]
+                held, likely = posteriors(model, feats, sentence, doc, len(batch))
+                held = held * bound[doc]
+                total[-1, 0] += likely
+                total[-1, 1] += len(doc)
             held /= held.sum(1, keepdims=True)
             spoken = _languages(model, feats, sentence, doc, len(batch))[doc]
             total[:buckets] += _counted(buckets, feats, sentence, None, held, classes)
@@ -173,7 +211,8 @@ def _maximised(counts: np.ndarray, buckets: int, language: np.ndarray, strength:
     home = language.argmax(1)
     total, own, every = words.sum(1, keepdims=True), spoken[home], spoken.sum(1)[home][:, None]
     average = (total + 0.5) / (every + 1)
-    weights = np.log((words + strength * average) / (own + strength)) - np.log((total - words + strength * average) / (every - own + strength))
+    weights = -np.log((total - words + strength * average) / (every - own + strength))
+    weights -= weights.mean(1, keepdims=True)  # the same for all classes, so without influence; keeps rare features small
     weights[total[:, 0] <= 0] = 0
     prior = spoken.sum(0) + 1
     return weights.astype(np.float32), prior / prior.sum()
@@ -185,7 +224,7 @@ def _shares(shared, subjects: int):
             feats, sentence, doc = _flat(batch)
             hard = np.zeros((len(doc), subjects + 1))
             if len(doc):
-                hard[np.arange(len(doc)), posteriors(shared.value, feats, sentence, doc, len(batch)).argmax(1)] = 1
+                hard[np.arange(len(doc)), posteriors(shared.value, feats, sentence, doc, len(batch))[0].argmax(1)] = 1
             share = _by_row(hard, doc, len(batch)) / np.maximum(np.bincount(doc, minlength=len(batch)), 1)[:, None]
             yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "share": list(share[:, :subjects]), "labels": batch["labels"].to_numpy()})
 
@@ -209,14 +248,17 @@ def _calibrated(share: np.ndarray, said: np.ndarray, threshold: float, steps: in
     return float(max(beta[0], 0.5)), beta[1:]
 
 
-def subject_posteriors(documents: DataFrame, labels: DataFrame, names: Sequence[str], rounds: int = 2, buckets: int = 1 << 17, strength: float = 50.0, threshold: float = 0.25, most_languages: int = 16, calibration_rows: int = 50_000) -> DataFrame:
+def subject_posteriors(documents: DataFrame, labels: DataFrame, names: Sequence[str], rounds: int = 6, gain: float = 0.01, buckets: int = 1 << 17, strength: float = 50.0, threshold: float = 0.25, least_language: float = 0.001, calibration_rows: int = 50_000) -> DataFrame:
     """(doc_id, subject, share, posterior) for every document and subject that any sentence was taken to deal with.
 
     share: part of the document's sentences; posterior: calibrated probability that it is ``threshold`` or more.
     ``labels`` (doc_id, subject) may be wrong, repeated or written in other case; unknown subjects are left out,
-    'none' is one. Annotators who disagree count by their share. ``calibration_rows`` bounds the labelled
-    documents whose shares the driver sees; counts cover all documents. Defined cases: null or empty texts, and
-    texts without letters, get no row; repeated documents of an id are each judged and give equal rows once;
+    'none' is one. Annotators who disagree count by their share. Maximisation ends when the mean log likelihood of a
+    sentence gains less than ``gain``, at the latest after ``rounds``. Languages are told apart by what stands in
+    ``lang`` before a hyphen or underscore; spellings that less than ``least_language`` of the documents have are
+    treated as unknown, and such documents join the language their words fit best. ``calibration_rows`` bounds the
+    labelled documents whose shares the driver sees; counts cover all documents. Defined cases: null or empty texts,
+    and texts without letters, get no row; repeated documents of an id are each judged and give equal rows once;
     without any label nothing can be learnt and no row comes out; other columns are ignored.
     """
     spark = documents.sparkSession
@@ -226,26 +268,36 @@ def subject_posteriors(documents: DataFrame, labels: DataFrame, names: Sequence[
     said = clean.where(F.col("doc_id").isNotNull() & F.col("s").isin([*names, NONE])).distinct().groupBy("doc_id")
     heads = F.greatest(F.countDistinct("annotator"), F.lit(1))
     shares = said.agg(F.array(*[F.count(F.when(F.col("s") == n, 1)) / heads for n in [*names, NONE]]).alias("labels"))
-    tongue = F.lower(F.substring(F.trim("lang"), 1, 2))
+    tongue = F.nullif(F.regexp_replace(F.lower(F.trim("lang")), r"[-_].*$", ""), F.lit(""))
     base = documents.where("doc_id is not null and text is not null").select("doc_id", "text", tongue.alias("tongue"))
-    tongues = [r[0] for r in base.groupBy("tongue").count().where("tongue is not null").orderBy(F.desc("count"), "tongue").limit(most_languages).collect()] or [""]
+    spoken = base.groupBy("tongue").agg(F.count("*").alias("n"))
+    enough = spoken.join(F.broadcast(spoken.agg((F.sum("n") * least_language).alias("least")))).where("tongue is not null and n >= least")
+    tongues = sorted(r[0] for r in enough.select("tongue").collect()) or [""]  # at most 1 / least_language
     number = F.array_position(F.array(*[F.lit(t) for t in tongues]), F.col("tongue")) - 1
-    made = base.join(shares, "doc_id", "left").select("doc_id", "labels", F.coalesce(number, F.lit(-1)).cast("int").alias("language"), features(sentences(folded(composed(F.col("text")))), buckets).alias("feats"))
+    kind = dict(base.dtypes)["doc_id"]
+    made = base.join(shares, "doc_id", "left").select("doc_id", "labels", F.coalesce(number, F.lit(-1)).cast("int").alias("language"), "text")
+    made = made.mapInPandas(_features(buckets), f"doc_id {kind}, labels array<double>, language int, feats array<int>")
     table = kept(made.where(F.size("feats") > 0), "features")
     language = _summed(table.select("language", "feats"), _language_counts(buckets, len(tongues)), len(tongues), buckets)
     language = np.log((language + 0.01) / (language.sum(0) + 1)).astype(np.float32)
-    model = Model(None, language, None)
+    model, last = Model(None, language, None), -np.inf
     for step in range(rounds + 1):
         source = table.where("labels is not null") if step == 0 else table
         shared = spark.sparkContext.broadcast(model)
-        counts = _summed(source.select("labels", "feats"), _expected_counts(shared, buckets, classes, len(tongues), step == 0), classes, buckets + len(tongues))
+        counts = _summed(source.select("labels", "feats"), _expected_counts(shared, buckets, classes, len(tongues), step == 0), classes, buckets + len(tongues) + 1)
         if not counts.any():
-            return spark.createDataFrame([], f"doc_id {dict(documents.dtypes)['doc_id']}, subject string, share double, posterior double")
-        weights, prior = _maximised(counts, buckets, language, strength)
+            return spark.createDataFrame([], f"doc_id {kind}, subject string, share double, posterior double")
+        likely = counts[-1, 0] / max(counts[-1, 1], 1)
+        weights, prior = _maximised(counts[:-1], buckets, language, strength)
         model = Model(weights, language, prior)
+        if step > 0 and likely - last < gain:
+            break
+        last = likely if step > 0 else -np.inf
     shared = spark.sparkContext.broadcast(model)
-    judged = table.select("doc_id", "labels", "feats").mapInPandas(_shares(shared, len(names)), f"doc_id {dict(table.dtypes)['doc_id']}, share array<double>, labels array<double>")
-    known = judged.where("labels is not null").orderBy(F.xxhash64("doc_id")).limit(calibration_rows).toPandas()
+    judged = kept(table.select("doc_id", "labels", "feats").mapInPandas(_shares(shared, len(names)), f"doc_id {kind}, share array<double>, labels array<double>"), "judged")
+    labelled = judged.where("labels is not null")
+    bound = min(1 << 30, int(calibration_rows / max(labelled.count(), 1) * (1 << 30)) + 1)  # hashes below it are about ``calibration_rows`` documents
+    known = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < bound).toPandas()
     matrix = lambda column: np.array([np.asarray(v)[: len(names)] for v in column]).reshape(len(known), len(names))
     slope, offsets = _calibrated(matrix(known["share"]), matrix(known["labels"]), threshold)
     rows = F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("subject"), F.col("share").alias("share"), F.array(*[F.lit(float(o)) for o in offsets]).alias("offset"))

@@ -116,11 +116,8 @@ def test_comparer_keeps_given_names_apart():
 
 
 # ---- subjects
-def test_sentences(spark):
-    from pyspark.sql import functions as F
-
-    df = spark.createDataFrame([("# Head\n- One two. Three four?\nuser: five 6 six\n\n" + " ".join(["long"] * 50),)], "t string")
-    got = df.select(subjects.sentences(F.lower("t")).alias("s")).first()["s"]
+def test_sentences():
+    got = subjects.sentences(("# Head\n- One two. Three four?\nuser: five 6 six\n\n" + " ".join(["long"] * 50)).lower())
     assert got[:3] == [["one", "two"], ["three", "four"], ["five", "six"]]
     assert [len(s) for s in got[3:]] == [12, 12, 12, 12, 2]
 
@@ -267,3 +264,29 @@ def test_unseen_given_names_cost_little():
         found = pii.find(texts, pii_examples.trained(), pii_examples.statistics(texts), pii.NameForms())
         recall.append(sum(any(k == 4 and s == at for k, s, _ in own) for (_, at), own in zip(cases, found)) / len(cases))
     assert recall[1] >= recall[0] - 0.05
+
+
+def test_rates_reach_the_goals_or_the_nearest_point():
+    rng = np.random.default_rng(0)
+    member = np.concatenate([np.eye(4), rng.dirichlet(np.ones(4), 60)])
+    tokens, caps = rng.integers(1, 10**6, 64).astype(float), np.array([1.0, 2.0, 3.0, 4.0])
+    reach = member.T @ (tokens * rng.uniform(0, 1, 64) * (member @ caps))
+    rate, residual, _ = mix.fitted_rates(member, tokens, caps, reach)
+    assert residual < 1e-3 and (rate >= 0).all() and (rate <= member @ caps + 1e-9).all()
+    rate, residual, _ = mix.fitted_rates(np.eye(2), np.array([10.0, 10.0]), np.array([1.0, 1.0]), np.array([5.0, 50.0]))
+    assert rate == pytest.approx([0.5, 1.0], abs=1e-3) and residual == pytest.approx(40 / 55, abs=1e-3)
+
+
+def test_counts_agree_with_the_tokenizers_file():
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    made.encode_special_tokens = True
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(mix.TOKENIZER, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=mix.PIECES, mergeable_ranks=ranks, special_tokens={})
+    for text in ("", "It's 12:30 — naïve café's\n\n  next", "<|endoftext|> x", "日本語 テスト 🙂", "a" * 3000, " \t\n "):
+        assert len(own.encode_ordinary(text)) == len(made.encode(text, add_special_tokens=False).ids)
