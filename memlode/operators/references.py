@@ -59,6 +59,10 @@ REPORTED_KEYS: tuple[ForeignKey, ...] = (
 ALL_KEYS: tuple[ForeignKey, ...] = (*REPORTED_KEYS, ForeignKey("entity_mentions", "entity_id", "entities"), ForeignKey("memories", "derived_from", "memories", is_list=True))
 
 
+#: Why a reference is a direct orphan, the first that fits.
+REASONS = ("missing", "deleted", "late")
+
+
 def _parents(tables: Mapping[str, DataFrame], specs: Mapping[str, TableSpec], names: Sequence[str]) -> DataFrame:
     """One row per referable record: (parent, key, parent_time, gone)."""
     parts = []
@@ -104,47 +108,51 @@ def _judged(references: DataFrame, parents: DataFrame) -> DataFrame:
     return joined.select("table_name", "record_id", "field_name", "parent", "key", "row_time", reason.alias("reason"))
 
 
-def orphans(tables: Mapping[str, DataFrame], keys: Sequence[ForeignKey] = REPORTED_KEYS, specs: Mapping[str, TableSpec] = MEMORY_TABLES) -> DataFrame:
-    """Direct orphans: (table_name, record_id, field_name, reason, month), one row per record and field.
-
-    reason is the first that fits of 'missing' (no such id), 'deleted' (the newest row of the target has state
-    'deleted'), 'late' (the target was created after the row). Defined cases: a null or blank reference is no
-    case; ids are compared without white space around them and without case; a null row time gives a null month
-    and is never 'late'; rows with a null id are dropped; repeated rows of an id count once, the newest; an empty
-    parent table makes every reference 'missing'; other columns, whatever their names, are ignored.
+def orphan_cascade(tables: Mapping[str, DataFrame], keys: Sequence[ForeignKey] = ALL_KEYS, specs: Mapping[str, TableSpec] = MEMORY_TABLES) -> DataFrame:
+    """Direct and inherited orphans: (table_name, record_id, field_name, reason, month, kind, depth), one row per orphaned record and field that makes it one.
+
+    kind is 'direct' (depth 0) if one of the record's own references is an orphan; reason is then the first that fits
+    of 'missing' (no such id), 'deleted' (the newest row of the target has state 'deleted'), 'late' (the target was
+    created after the row). All other orphans are 'inherited', with the reason 'inherited' and as depth the number of
+    steps to the nearest direct orphan. Each round semi-joins the references with the records orphaned in the round
+    before and drops those known already; the rounds end when one adds nothing, which every graph reaches, cycles
+    included. Frontier and result are written to the shared checkpoint folder, so lineage stays short and a lost
+    executor loses no round. Defined cases: a null or blank reference is no case; ids are compared without white
+    space around them and without case; a null row time gives a null month and is never 'late'; rows with a null id
+    are dropped; repeated rows of an id count once, the newest; several references in one field that are orphans
+    give one row with the first reason; an empty parent table makes every reference 'missing'; other columns,
+    whatever their names, are ignored.
     """
-    judged = _judged(_references(tables, specs, keys), _parents(tables, specs, list(dict.fromkeys(k.parent for k in keys))))
-    return judged.where("reason is not null").select("table_name", "record_id", "field_name", "reason", F.date_format("row_time", "yyyy-MM").alias("month"))
-
-
-def orphan_cascade(tables: Mapping[str, DataFrame], keys: Sequence[ForeignKey] = ALL_KEYS, specs: Mapping[str, TableSpec] = MEMORY_TABLES, max_rounds: int = 50) -> DataFrame:
-    """Direct and inherited orphans: (table_name, record_id, month, kind, depth), one row per orphaned record.
-
-    kind is 'direct' (depth 0) if one of the record's own references is an orphan, else 'inherited' with the
-    number of steps to the nearest direct orphan. Each round semi-joins the references with the records orphaned
-    in the round before and drops those known already; the rounds end when one adds nothing. Frontier and result
-    are written to the shared checkpoint folder, so lineage stays short and a lost executor loses no round. The
-    cases of ``orphans`` hold here too; a chain longer than ``max_rounds`` raises an error instead of being cut.
-    """
-    judged = cut(_judged(_references(tables, specs, keys), _parents(tables, specs, list(dict.fromkeys(k.parent for k in keys)))))
-    month = F.date_format("row_time", "yyyy-MM").alias("month")
     names = list(dict.fromkeys(k.parent for k in keys))
-    found = cut(judged.where("reason is not null").groupBy("table_name", "record_id").agg(F.min("row_time").alias("row_time")).withColumn("depth", F.lit(0)))
-    sound = judged.where("reason is null").select("table_name", "record_id", "row_time", "parent", "key")
+    judged = _judged(_references(tables, specs, keys), _parents(tables, specs, names))
+    children = {k.child for k in keys}
+    spread = [n for n in names if n in children]  # only orphans that are parents themselves have heirs
+    if spread:
+        judged = cut(judged)
+    order = F.array_position(F.array(*[F.lit(r) for r in REASONS]), F.col("reason"))
+    direct = judged.where("reason is not null").groupBy("table_name", "record_id", "field_name").agg(F.min(order).alias("_first"), F.min("row_time").alias("row_time"))
+    found = cut(direct.select("table_name", "record_id", "field_name", F.element_at(F.array(*[F.lit(r) for r in REASONS]), F.col("_first").cast("int")).alias("reason"), "row_time", F.lit(0).alias("depth")))
+    sound = judged.where("reason is null").select("table_name", "record_id", "field_name", "row_time", "parent", "key")
     frontier, depth = found, 0
-    while True:
-        heads = frontier.where(F.col("table_name").isin(names)).select(F.col("table_name").alias("parent"), clean_key(F.col("record_id")).alias("key")).distinct()
+    while spread:
+        heads = frontier.where(F.col("table_name").isin(spread)).select(F.col("table_name").alias("parent"), clean_key(F.col("record_id")).alias("key")).distinct()
         if heads.isEmpty():
             break
         depth += 1
-        if depth > max_rounds:
-            raise ValueError(f"the cascade didn't end within {max_rounds} rounds")
-        fresh = sound.join(heads, ["parent", "key"], "left_semi").groupBy("table_name", "record_id").agg(F.min("row_time").alias("row_time"))
-        frontier = cut(fresh.join(found.select("table_name", "record_id"), ["table_name", "record_id"], "left_anti").withColumn("depth", F.lit(depth)))
+        fresh = sound.join(heads, ["parent", "key"], "left_semi").groupBy("table_name", "record_id", "field_name").agg(F.min("row_time").alias("row_time"))
+        fresh = fresh.join(found.select("table_name", "record_id"), ["table_name", "record_id"], "left_anti")
+        frontier = cut(fresh.select("table_name", "record_id", "field_name", F.lit("inherited").alias("reason"), "row_time", F.lit(depth).alias("depth")))
         found = found.unionByName(frontier)
-    return found.select("table_name", "record_id", month, F.when(F.col("depth") == 0, "direct").otherwise("inherited").alias("kind"), "depth")
+        if depth % 8 == 0:
+            found = cut(found)
+    return found.select("table_name", "record_id", "field_name", "reason", F.date_format("row_time", "yyyy-MM").alias("month"), F.when(F.col("depth") == 0, "direct").otherwise("inherited").alias("kind"), "depth")
+
+
+def orphans(tables: Mapping[str, DataFrame], keys: Sequence[ForeignKey] = REPORTED_KEYS, specs: Mapping[str, TableSpec] = MEMORY_TABLES) -> DataFrame:
+    """Direct orphans: (table_name, record_id, field_name, reason, month), one row per record and field; the cascade's first round."""
+    return orphan_cascade(tables, keys, specs).where("depth = 0").select("table_name", "record_id", "field_name", "reason", "month")
 
 
 def orphan_report(cascade: DataFrame) -> DataFrame:
-    """Counts of the cascade per table and month: (table_name, month, direct_orphans, inherited_orphans)."""
-    return cascade.groupBy("table_name", "month").agg(F.count_if(F.col("kind") == "direct").alias("direct_orphans"), F.count_if(F.col("kind") == "inherited").alias("inherited_orphans"))
+    """Counts of the cascade per table, month and reason: (table_name, month, reason, orphans), every record once per reason."""
+    return cascade.groupBy("table_name", "month", "reason").agg(F.countDistinct("record_id").alias("orphans"))

@@ -57,13 +57,19 @@ reach as (
   select table_name, record_id, 0 depth from judged where reason is not null
   union
   select j.table_name, j.record_id, c.depth + 1 from reach c join judged j on j.parent = c.table_name and j.k = {_KEY.format('c.record_id')} where j.reason is null and c.depth < 20),
-result as (
-  select r.table_name, r.record_id, strftime(any_value(j.t), '%Y-%m') "month", case when min(depth) = 0 then 'direct' else 'inherited' end kind, min(depth) depth
-  from reach r join (select table_name, record_id, min(row_time) t from judged group by all) j using (table_name, record_id) group by 1, 2)
+depths as (select table_name, record_id, min(depth) depth from reach group by 1, 2),
+rows_ as (
+  select j.table_name, j.record_id, j.field_name, case min(case j.reason when 'missing' then 1 when 'deleted' then 2 else 3 end) when 1 then 'missing' when 2 then 'deleted' else 'late' end reason, min(j.row_time) t, 0 depth
+  from judged j where j.reason is not null group by 1, 2, 3
+  union all
+  select j.table_name, j.record_id, j.field_name, 'inherited', min(j.row_time), d.depth
+  from judged j join depths d on d.table_name = j.table_name and d.record_id = j.record_id join depths p on p.table_name = j.parent and {_KEY.format('p.record_id')} = j.k
+  where j.reason is null and d.depth > 0 and p.depth = d.depth - 1 group by 1, 2, 3, d.depth),
+result as (select table_name, record_id, field_name, reason, strftime(t, '%Y-%m') "month", case when depth = 0 then 'direct' else 'inherited' end kind, depth from rows_)
 """
 )
 SQL = {
     "p3_found": _BASE.replace("EXTRA", "") + "select table_name, record_id, field_name, reason, strftime(row_time, '%Y-%m') \"month\" from judged where reason is not null",
     "p3_cascade": _CASCADE + "select * from result",
-    "p3_report": _CASCADE + "select table_name, \"month\", count(*) filter (kind = 'direct') direct_orphans, count(*) filter (kind = 'inherited') inherited_orphans from result group by 1, 2",
+    "p3_report": _CASCADE + "select table_name, \"month\", reason, count(distinct record_id) orphans from result group by 1, 2, 3",
 }
