@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlode.functions.columns import at
+from memlode.sources.parquet import clean_key
 
 SORTABLE = ("created_at", "updated_at", "last_accessed_at", "importance", "confidence", "access_count", "stability", "sentiment")
 STATES = ("active", "stale", "resolved", "archived", "deleted")
@@ -140,13 +141,13 @@ def confident(memories: DataFrame, least: float) -> DataFrame:
 
 def not_surfaced(memories: DataFrame, surfaced: DataFrame, now: datetime, window: timedelta) -> DataFrame:
     """Without memories surfaced within the window (strict: may leave none)."""
-    shown = surfaced.where(F.col("surfaced_at") > at(now - window)).select(F.trim("memory_id").alias("id")).distinct()
+    shown = surfaced.where(F.col("surfaced_at") > at(now - window)).select(clean_key(F.col("memory_id")).alias("id")).distinct()
     return memories.join(shown, "id", "left_anti")
 
 
 def prefer_not_surfaced(memories: DataFrame, surfaced: DataFrame, now: datetime, window: timedelta, group: str = "entity_id") -> DataFrame:
     """As ``not_surfaced``, but a group of which everything was shown keeps all its rows."""
-    shown = surfaced.where(F.col("surfaced_at") > at(now - window)).select(F.trim("memory_id").alias("id")).distinct().withColumn("_shown", F.lit(True))
+    shown = surfaced.where(F.col("surfaced_at") > at(now - window)).select(clean_key(F.col("memory_id")).alias("id")).distinct().withColumn("_shown", F.lit(True))
     marked = memories.join(shown, "id", "left")
     fresh = marked.groupBy(group).agg(F.bool_or(F.col("_shown").isNull()).alias("_fresh"))
     return marked.join(fresh, group).where(F.col("_shown").isNull() | ~F.col("_fresh")).drop("_shown", "_fresh")

@@ -40,8 +40,15 @@ def strength(evidence: Column, recency: Column, confidence: Column) -> Column:
     return 0.4 * (1 - 1 / (1 + evidence)) + 0.3 * recency + 0.3 * confidence
 
 
-def edges(relationships: DataFrame, entities: DataFrame, least: float = 0.3, types: Sequence[str] = ()) -> DataFrame:
-    """(id, a, b, kind, strength): sound edges in both directions; references are compared cleaned, kinds in one writing."""
+def edges(relationships: DataFrame, entities: DataFrame, least: float = 0.3, types: Sequence[str] = (), entity_types: Sequence[str] = (), team: str | None = None) -> DataFrame:
+    """(id, a, b, kind, strength): sound edges in both directions; references are compared cleaned, kinds in one writing.
+
+    ``types`` of relations, ``entity_types`` of both ends and the ``team`` (of the relation) may be given.
+    """
+    if team is not None:
+        relationships = relationships.where(F.col("team_id") == team)
+    if entity_types:
+        entities = entities.where(F.col("type").isin(*entity_types))
     rows = relationships.select("id", clean_key(F.col("source_entity_id")).alias("s"), clean_key(F.col("target_entity_id")).alias("t"), F.regexp_replace(F.lower(F.trim("relationship_type")), r"[\s-]+", "_").alias("kind"), "strength")
     rows = rows.where(F.col("strength") >= least)
     if types:
@@ -74,6 +81,99 @@ def reached(graph: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def paths(graph: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """(root, node, depth, path): shortest path from each root to everything within ``depth`` steps; the first in the order of ids where several are shortest.
+
+    Works in rounds like ``reached``. A path of a round extends the first path of the round before, so one row per
+    root and node is carried.
+    """
+    frontier = roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("depth"), F.array("id").alias("path"))
+    seen = cut(frontier)
+    frontier, steps = seen, graph.select("a", "b").distinct()
+    for step in range(1, depth + 1):
+        nearer = frontier.join(steps, frontier["node"] == steps["a"]).select("root", F.col("b").alias("node"), F.array_append("path", F.col("b")).alias("path"))
+        fresh = nearer.join(seen.select("root", "node"), ["root", "node"], "left_anti").groupBy("root", "node").agg(F.min("path").alias("path"))
+        frontier = cut(fresh.select("root", "node", F.lit(step).alias("depth"), "path"))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def path_steps(found: DataFrame, graph: DataFrame) -> DataFrame:
+    """(root, node, step, a, b, kind): the relation of each step of each path, the strongest where there are several (the first kind on ties)."""
+    best = graph.groupBy("a", "b").agg(F.min(F.struct((-F.col("strength")).alias("s"), "kind")).alias("k")).select("a", "b", "k.kind")
+    ahead = F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("a"), F.slice("path", 2, F.size("path") - 1).alias("b"))
+    flat = found.where("depth > 0").select("root", "node", F.posexplode(ahead).alias("step", "_e")).select("root", "node", (F.col("step") + 1).alias("step"), "_e.a", "_e.b")
+    return flat.join(best, ["a", "b"])
+
+
+def explained(steps: DataFrame, entities: DataFrame) -> DataFrame:
+    """(root, node, text): each path in words, 'A -[kind]-> B -[kind]-> C'. A path is short, so its steps are gathered."""
+    names = entities.select(F.col("id").alias("b"), F.col("canonical_name").alias("_to"))
+    said = steps.join(names, "b").groupBy("root", "node").agg(F.array_sort(F.collect_list(F.struct("step", "kind", "_to"))).alias("s"))
+    start = entities.select(F.col("id").alias("root"), F.col("canonical_name").alias("_from"))
+    return said.join(start, "root").select("root", "node", F.concat("_from", F.array_join(F.transform("s", lambda x: F.concat(F.lit(" -["), x["kind"], F.lit("]-> "), x["_to"])), "")).alias("text"))
+
+
+def context_lines(ids: DataFrame, mentions: DataFrame, entities: DataFrame, graph: DataFrame) -> DataFrame:
+    """(owner, line): relations one step around the entities that some memories (id) mention, each line once per owner."""
+    named = entities.select("id", "owner_entity_id", "canonical_name", "type")
+    touched = mentions.join(ids.select(F.col("id").alias("memory_id")).distinct(), "memory_id", "left_semi").select(F.col("entity_id").alias("a")).distinct()
+    near = graph.join(touched, "a", "left_semi").select("a", "b", "kind").distinct()
+    both = near.join(named.select(F.col("id").alias("a"), F.col("owner_entity_id").alias("owner"), F.col("canonical_name").alias("_x"), F.col("type").alias("_tx")), "a").join(named.select(F.col("id").alias("b"), F.col("canonical_name").alias("_y"), F.col("type").alias("_ty")), "b")
+    return both.select("owner", F.concat("_x", F.lit(" ("), "_tx", F.lit(") -["), "kind", F.lit("]-> "), "_y", F.lit(" ("), "_ty", F.lit(")")).alias("line")).distinct()
+
+
+# What introduces an entity of a type in a text.
+_SEVERAL = r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)"
+TYPED_PATTERNS = (
+    (rf"(?:my|the)\s+(?:friend|colleague|coworker|boss|manager)\s+{_SEVERAL}", "person"),
+    (rf"(?:works?\s+(?:at|for))\s+{_SEVERAL}", "organization"),
+    (rf"(?:lives?\s+in|from)\s+{_SEVERAL}", "location"),
+    (rf"(?:married\s+to|dating)\s+{_SEVERAL}", "person"),
+)
+# Words around an entity that tell its type, in the order in which they are tried.
+TYPE_WORDS = (
+    ("person", ("friend", "colleague", "coworker", "boss", "manager", "wife", "husband", "brother", "sister", "mother", "father", "son", "daughter", "partner", "he ", "she ", "his ", "her ", "they ")),
+    ("organization", ("company", "corporation", "inc", "llc", "ltd", "works at", "works for", "employed by", "organization", "team", "department")),
+    ("location", ("city", "country", "state", "lives in", "from", "located", "moved to", "visiting", "trip to", "travel to")),
+    ("product", ("bought", "purchased", "using", "uses", "product", "app", "software", "device", "phone", "computer", "car")),
+)
+
+
+def around(text: Column, part: Column, width: int = 50) -> Column:
+    """``width`` characters on both sides of the first occurrence of a part, without case; empty if there is none."""
+    place = F.instr(F.lower(text), F.lower(part))
+    start = F.greatest(place - width, F.lit(1))
+    return F.when(place == 0, "").otherwise(F.substring(text, start, place + F.length(part) + width - start))
+
+
+def inferred_type(context: Column) -> Column:
+    """The type that the words of a context tell, the first list that fits; else 'other'."""
+    low, out = F.lower(context), F.lit("other")
+    for kind, parts in reversed(TYPE_WORDS):
+        hit = F.lit(False)
+        for part in parts:
+            hit = hit | low.contains(part)
+        out = F.when(hit, kind).otherwise(out)
+    return out
+
+
+def typed_entities(texts: DataFrame) -> DataFrame:
+    """(id, name, type, context, inferred): entities that patterns find in texts (id, content), each name and type once per text, in one pass over each text."""
+    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all("content", F.lit(p), F.lit(1)), lambda n, kind=kind: F.struct(n.alias("name"), F.lit(kind).alias("type"))) for p, kind in TYPED_PATTERNS]))
+    flat = texts.where("content is not null").select("id", "content", F.explode(F.array_distinct(found)).alias("e")).select("id", "content", "e.name", "e.type")
+    made = flat.select("id", "name", "type", around(F.col("content"), F.col("name")).alias("context"))
+    return made.withColumn("inferred", inferred_type(F.col("context")))
+
+
+def between_kind(between: Column) -> Column:
+    """The relation that the text between two names tells, null if none."""
+    low = F.lower(F.trim(between))
+    return F.when(low.contains("and") & low.contains("work"), "works_with").when(low.contains("and") | low.contains("with"), "associated_with").when(low.contains("at"), "located_at").when(low.contains("from"), "from")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, root): smallest id of each connected component of undirected links (a, b); labels spread by min until none changes.
 
@@ -123,16 +223,13 @@ def relations(memories: DataFrame) -> DataFrame:
 
     Patterns are a bounded list, so they run as expressions over each text, without a join.
     """
-    found = []
+    parts = []
     for pattern, kind, both, source, target, confidence in (*RELATION_PATTERNS, *((rf"{_NAME}\s+{verb}\s+{_NAME}", kind, both, 1, 2, 0.75) for verb, kind, both in VERBS)):
         group = lambda g: F.regexp_extract_all("content", F.lit(pattern), F.lit(g))  # noqa: B023, E731
-        part = lambda g: F.lit("user") if g == 0 else F.col("m")[str(g)]
-        matches = F.arrays_zip(group(0).alias("0"), *[group(g).alias(str(g)) for g in sorted({source, target} - {0})])
-        has = memories.where(F.col("content").rlike(pattern)).select(F.explode(matches).alias("m"))
-        found.append(has.select(part(source).alias("source"), part(target).alias("target"), F.lit(kind).alias("kind"), F.lit(both).alias("both_ways"), F.lit(confidence).alias("confidence"), F.col("m")["0"].alias("evidence")))
-    out = found[0]
-    for part_ in found[1:]:
-        out = out.unionByName(part_)
+        zipped = F.arrays_zip(group(0).alias("e"), (group(source) if source else group(0)).alias("s"), (group(target) if target else group(0)).alias("t"))
+        struct = lambda m: F.struct((m["s"] if source else F.lit("user")).alias("source"), (m["t"] if target else F.lit("user")).alias("target"), F.lit(kind).alias("kind"), F.lit(both).alias("both_ways"), F.lit(confidence).alias("confidence"), m["e"].alias("evidence"))  # noqa: B023, E731
+        parts.append(F.when(F.col("content").rlike(pattern), F.transform(zipped, struct)))
+    out = memories.where("content is not null").select(F.explode(F.flatten(F.array_compact(F.array(*parts)))).alias("r")).select("r.*")
     low, high = F.least("source", "target"), F.greatest("source", "target")
     swapped = out.withColumns({"source": F.when(F.col("both_ways"), low).otherwise(F.col("source")), "target": F.when(F.col("both_ways"), high).otherwise(F.col("target"))})
     return swapped.where("source <> target").groupBy("source", "target", "kind", "both_ways").agg(F.max(F.struct("confidence", "evidence")).alias("m")).select("source", "target", "kind", "both_ways", F.col("m.confidence").alias("confidence"), F.col("m.evidence").alias("evidence"))

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from memlode.functions.columns import cosine
+from memlode.functions.columns import at, cosine
 from memlode.operators import scoring
+from memlode.operators.filters import has_any_tag
 
 # Words that carry no meaning in a query.
 STOP_WORDS = frozenset("what is the a an user's user their do does where how who when which and or of to in for with they are was about from at has have did can will my me tell know".split())
@@ -41,8 +42,16 @@ def search(memories: DataFrame, query: Column, now: datetime, mode: str = "balan
     return first_of_equal_texts(scored, order).orderBy(*order).limit(limit)
 
 
-def retrieve(memories: DataFrame, query: Column, now: datetime, limit: int, states: Sequence[str] = ("active", "resolved")) -> DataFrame:
-    rows = memories.where(F.col("state").isin(*states)).withColumn("similarity", cosine(F.col("embedding"), query))
+def retrieve(memories: DataFrame, query: Column, now: datetime, limit: int, states: Sequence[str] = ("active", "resolved"), since: datetime | None = None, until: datetime | None = None, any_tags: Sequence[str] = ()) -> DataFrame:
+    """The best by retrieval score, of some states, created from ``since`` to ``until`` inclusive and with any of some tags."""
+    rows = memories.where(F.col("state").isin(*states))
+    if since is not None:
+        rows = rows.where(F.col("created_at") >= at(since))
+    if until is not None:
+        rows = rows.where(F.col("created_at") <= at(until))
+    if any_tags:
+        rows = rows.where(has_any_tag(any_tags))
+    rows = rows.withColumn("similarity", cosine(F.col("embedding"), query))
     return rows.withColumn("score", F.round(scoring.retrieval_score(F.col("similarity"), now), 6)).orderBy(F.desc("score"), "id").limit(limit)
 
 
@@ -108,37 +117,77 @@ def ranked_text(memories: DataFrame, terms: Sequence[str], limit: int, k1: float
     return scored.select("id", F.round("s", 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
-def _pairs(threshold: float):
+def _pairs(threshold: float, top: int | None, one_side: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf["_side"] == 0], pdf[pdf["_side"] == 1]
         if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "similarity": []}).astype({"a": str, "b": str, "similarity": float})
+            return pd.DataFrame({"group": [], "a": [], "b": [], "similarity": []}).astype({"group": str, "a": str, "b": str, "similarity": float})
         x, y = np.stack(left["_unit"].to_list()), np.stack(right["_unit"].to_list())
-        scores = x @ y.T
-        i, j = np.nonzero(scores >= threshold - 1e-9)
-        a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        keep = a < b
-        return pd.DataFrame({"a": a[keep], "b": b[keep], "similarity": scores[i, j][keep]})
+        ids_x, ids_y, out = left["id"].to_numpy(), right["id"].to_numpy(), []
+        twice = one_side and pdf["_i"].iloc[0] == pdf["_j"].iloc[0]
+        for s in range(0, len(x), 512):
+            scores = x[s : s + 512] @ y.T
+            if one_side:
+                scores[ids_x[s : s + 512][:, None] == ids_y] = -9
+            if top is not None and scores.shape[1] > top:  # what can't be among the best of its row leaves no task
+                edge = -np.partition(-scores, top - 1, axis=1)[:, top - 1 : top]
+                i, j = np.nonzero((scores >= edge - 1e-12) & (scores >= threshold - 1e-9))
+            else:
+                i, j = np.nonzero(scores >= threshold - 1e-9)
+            a, b = ids_x[s : s + 512][i], ids_y[j]
+            found = pd.DataFrame({"a": a, "b": b, "similarity": scores[i, j]})
+            out.append(found[found["a"] < found["b"]] if twice else found)
+        pairs = pd.concat(out)
+        if one_side:
+            swap = (pairs["a"] > pairs["b"]).to_numpy()
+            pairs.loc[swap, ["a", "b"]] = pairs.loc[swap, ["b", "a"]].to_numpy()
+        return pairs.assign(group=pdf["_g"].iloc[0])[["group", "a", "b", "similarity"]]
 
     return run
 
 
+def _units(rows: DataFrame, group: str) -> DataFrame:
+    size = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    sound = rows.where(F.col("embedding").isNotNull() & F.col(group).isNotNull()).select("id", F.col(group).alias("_g"), "embedding", size.alias("_size"), F.size("embedding").alias("_dims")).where((F.col("_size") > 0) & (F.col("_size") < float("inf")))
+    return sound.select("id", "_g", "_dims", F.transform("embedding", lambda x: x.cast("double") / F.col("_size")).alias("_unit"))
+
+
+def _placed(units: DataFrame, block: int) -> DataFrame:
+    """Every row with its block, and how many blocks its group has."""
+    blocks = units.groupBy("_g", "_dims").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    return units.join(blocks, ["_g", "_dims"]).withColumn("_k", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+
+
+_PAIR_COLUMNS = "group string, a string, b string, similarity double"
+
+
 def similarity_pairs(memories: DataFrame, group: str, threshold: float, block: int = 2000) -> DataFrame:
     """(a, b, similarity), a < b: rows of a group with a cosine of ``threshold`` or more, exact.
 
-    Groups are compared block against block, each pair of blocks a task of at most 2 x ``block`` rows, so a large
-    group spreads over many tasks and only pairs over the threshold leave them. For groups too large for that,
-    the vector index of the training-data operators finds neighbours without comparing all blocks.
+    Groups are compared block against block, each pair of blocks once and a task of at most 2 x ``block`` rows, so a
+    large group spreads over many tasks and only pairs over the threshold leave them. For groups too large for
+    that, the vector index of the training-data operators finds neighbours without comparing all blocks.
     """
-    size = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    rows = memories.where(F.col("embedding").isNotNull()).select("id", F.col(group).alias("_g"), "embedding", size.alias("_size"), F.size("embedding").alias("_dims")).where((F.col("_size") > 0) & (F.col("_size") < float("inf")))
-    units = rows.select("id", "_g", "_dims", F.transform("embedding", lambda x: x.cast("double") / F.col("_size")).alias("_unit"))
-    blocks = units.groupBy("_g", "_dims").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
-    placed = units.join(blocks, ["_g", "_dims"]).withColumn("_k", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    left = placed.select("id", "_g", "_dims", "_unit", F.col("_k").alias("_i"), every.alias("_j"), F.lit(0).alias("_side"))
-    right = placed.select("id", "_g", "_dims", "_unit", every.alias("_i"), F.col("_k").alias("_j"), F.lit(1).alias("_side"))
-    return left.unionByName(right).groupBy("_g", "_dims", "_i", "_j").applyInPandas(_pairs(threshold), "a string, b string, similarity double")
+    placed = _placed(_units(memories, group), block)
+    left = placed.select("id", "_g", "_dims", "_unit", F.col("_k").alias("_i"), F.explode(F.sequence(F.col("_k"), F.col("_blocks") - 1)).alias("_j"), F.lit(0).alias("_side"))
+    right = placed.select("id", "_g", "_dims", "_unit", F.explode(F.sequence(F.lit(0), F.col("_k"))).alias("_i"), F.col("_k").alias("_j"), F.lit(1).alias("_side"))
+    return left.unionByName(right).groupBy("_g", "_dims", "_i", "_j").applyInPandas(_pairs(threshold, None, True), _PAIR_COLUMNS).select("a", "b", "similarity")
+
+
+def similarity_between(left: DataFrame, right: DataFrame, group: str, threshold: float, top: int | None = None, block: int = 2000) -> DataFrame:
+    """(group, a, b, similarity): rows a of ``left`` with rows b of ``right`` of the same group, of a cosine of ``threshold`` or more; the ``top`` of each a if given, ties by id.
+
+    Only groups that both sides have are compared, block against block; a task sends no more than the best of each row.
+    """
+    first, second = _placed(_units(left, group), block), _placed(_units(right, group), block)
+    sides = first.select("_g", "_dims", F.col("_blocks").alias("_bi")).distinct().join(second.select("_g", "_dims", F.col("_blocks").alias("_bj")).distinct(), ["_g", "_dims"])
+    a = first.join(sides, ["_g", "_dims"]).select("id", "_g", "_dims", "_unit", F.col("_k").alias("_i"), F.explode(F.sequence(F.lit(0), F.col("_bj") - 1)).alias("_j"), F.lit(0).alias("_side"))
+    b = second.join(sides, ["_g", "_dims"]).select("id", "_g", "_dims", "_unit", F.explode(F.sequence(F.lit(0), F.col("_bi") - 1)).alias("_i"), F.col("_k").alias("_j"), F.lit(1).alias("_side"))
+    found = a.unionByName(b).groupBy("_g", "_dims", "_i", "_j").applyInPandas(_pairs(threshold, top, False), _PAIR_COLUMNS)
+    if top is None:
+        return found
+    order = Window.partitionBy("group", "a").orderBy(F.round("similarity", 9).desc(), "b")
+    return found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= top).drop("_n")
 
 
 def recall_at(found: DataFrame, exact: DataFrame, k: int) -> DataFrame:

@@ -95,6 +95,13 @@ def is_redundant(first: Column, second: Column) -> Column:
     return x.contains(y) | y.contains(x) | (covered(second, first) >= 0.8)
 
 
+def unique_words(first: Column, second: Column) -> Column:
+    """The words of the second text that the first doesn't have, in order; empty if there are fewer than three."""
+    known = words(F.lower(first))
+    rest = F.filter(words(second), lambda w: ~F.array_contains(known, F.lower(w)))
+    return F.when(F.size(rest) < 3, "").otherwise(F.array_join(rest, " "))
+
+
 def merged(old: Column, new: Column) -> Column:
     """The longer text if it holds the other; what is new after a common beginning of more than half the old words; else both."""
     a, b = F.trim(old), F.trim(new)
@@ -113,8 +120,8 @@ def same_subject(first: Column, second: Column) -> Column:
     return F.when(small == 0, False).otherwise(F.size(F.array_intersect(a, b)) / small >= 0.3)
 
 
-def conflict(new: Column, old: Column) -> Column:
-    """A struct (kind, confidence) of the first conflict that fits, null if the texts agree."""
+def conflict(new: Column, old: Column, new_type: Column | None = None, old_type: Column | None = None) -> Column:
+    """A struct (kind, confidence) of the first conflict that fits, null if the texts agree. With the types of both, two preferences about one subject are a change of preference."""
     x, y = F.lower(new), F.lower(old)
     negated = _any(x, ENDINGS)
     for yes, no in OPPOSITES:
@@ -128,8 +135,9 @@ def conflict(new: Column, old: Column) -> Column:
     contrary = F.lit(False)
     for up, down in CONTRARY:
         contrary = contrary | (_any(x, up) & _any(y, down)) | (_any(x, down) & _any(y, up))
+    preference = F.lit(False) if new_type is None or old_type is None else (new_type == "PREFERENCE") & (old_type == "PREFERENCE")
     of = lambda kind, confidence: F.struct(F.lit(kind).alias("kind"), F.lit(confidence).alias("confidence"))
-    return F.when(negated, of("negation", 0.8)).when(same & _any(x, CHANGES), of("temporal", 0.7)).when(life, of("life", 0.75)).when(numeric, of("numeric", 0.6)).when(same & contrary, of("boolean", 0.7))
+    return F.when(negated, of("negation", 0.8)).when(same & _any(x, CHANGES), of("temporal", 0.7)).when(life, of("life", 0.75)).when(same & preference, of("preference", 0.75)).when(numeric, of("numeric", 0.6)).when(same & contrary, of("boolean", 0.7))
 
 
 def within_budget(rows: DataFrame, text: str, order: Sequence[Column], budget: int, group: str, each: int = 240) -> DataFrame:

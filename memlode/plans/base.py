@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlode.functions.columns import NOW
-from memlode.sources.parquet import newest, table
+from memlode.sources.parquet import clean_key, newest, newest_of_wide, table
 
 __all__ = ["NOW", "Catalog", "actions", "entities", "memories", "messages", "mentions", "relationships", "surfaced", "timedelta"]
 
@@ -31,9 +31,20 @@ class Catalog:
         return keep
 
 
-def memories(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """Newest row of each memory, with the columns asked for only."""
-    return newest(table(spark, folder, "memories"), "id", list(columns), ["updated_at", "version"])
+WIDE = ("content", "embedding")
+
+
+def memories(spark: SparkSession, folder: str, *columns: str, where: Column | None = None) -> DataFrame:
+    """Newest row of each memory, with the columns asked for only.
+
+    ``where``: a condition on columns that all versions of a memory share (entity_id, created_at, content, embedding);
+    it is applied below the choice of versions and reaches the Parquet scan.
+    """
+    rows = table(spark, folder, "memories")
+    if where is not None:
+        rows = rows.where(where)
+    pick = newest_of_wide if set(columns) & set(WIDE) else newest
+    return pick(rows, "id", list(columns), ["updated_at", "version"])
 
 
 def entities(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -46,11 +57,17 @@ def relationships(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 def mentions(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """Resent mentions are equal copies."""
-    return table(spark, folder, "entity_mentions").select("id", *columns).dropDuplicates(["id"])
+    rows = table(spark, folder, "entity_mentions").select("id", *columns).dropDuplicates(["id"])
+    return _cleaned(rows, "memory_id")
+
+
+def _cleaned(rows: DataFrame, *references: str) -> DataFrame:
+    """References as they are compared everywhere: without blanks around them and without case."""
+    return rows.withColumns({r: clean_key(F.col(r)) for r in references if r in rows.columns})
 
 
 def surfaced(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "surfaced_memories").dropDuplicates(["id"])
+    return _cleaned(table(spark, folder, "surfaced_memories").dropDuplicates(["id"]), "memory_id")
 
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,12 +88,13 @@ def actions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_KEY = r"nullif(lower(regexp_replace({}, '^[\s\x{{200B}}\x{{FEFF}}]+|[\s\x{{200B}}\x{{FEFF}}]+$', '', 'g')), '')"
 _LATEST = "qualify row_number() over (partition by id order by updated_at desc{}) = 1"
 WITH = f"""with mem as (select * from memories where id is not null {_LATEST.format(', version desc')}),
 ent as (select * from entities where id is not null {_LATEST.format('')}),
 rel as (select * from relationships where id is not null {_LATEST.format('')}),
-men as (select distinct on (id) * from entity_mentions),
-sur as (select distinct on (id) * from surfaced_memories),
+men as (select distinct on (id) * replace ({_KEY.format('memory_id')} as memory_id) from entity_mentions),
+sur as (select distinct on (id) * replace ({_KEY.format('memory_id')} as memory_id) from surfaced_memories),
 msg as (select distinct on (request_id) request_id id, entity_id, agent_id, session_id, content, received_at created_at from remember_requests),
 act as (select event_id id, 'u' || user_id entity_id, ts acted_at,
   case when event_type in ('purchase', 'signup') then 'act' when event_type = 'click' then 'suppress_cooldown' when event_type = 'view' then 'suppress_stale' else 'suppress_topic_repeat' end decision,

@@ -21,7 +21,8 @@ HOT = "u0004711"  # the owner of most rows in the test tables
 
 @C.add(WITH + f"select id, importance, state from mem where entity_id = '{HOT}' and memory_type in ('PLAN', 'ACTIVITY') and state in ('active', 'stale') and created_at <= timestamp '2024-01-15' and list_contains(tags, 'work')")
 def memory_filter(spark, folder):
-    rows = memories(spark, folder, "entity_id", "memory_type", "state", "created_at", "tags", "importance")
+    fixed = (F.col("entity_id") == HOT) & (F.col("created_at") <= at(datetime(2024, 1, 15)))
+    rows = memories(spark, folder, "entity_id", "memory_type", "state", "created_at", "tags", "importance", where=fixed)
     return filters.select_memories(rows, entity_id=HOT, types=("PLAN", "ACTIVITY"), states=("active", "stale"), tags=("work",), created_before=datetime(2024, 1, 15)).select("id", "importance", "state")
 
 
@@ -57,13 +58,13 @@ def tag_text(spark, folder):
 
 @C.add(WITH + "select count(*) n, count(distinct entity_id) owners from mem where created_at <= timestamp '2023-12-01'")
 def asof_created(spark, folder):
-    rows = filters.select_memories(memories(spark, folder, "entity_id", "created_at"), created_before=datetime(2023, 12, 1))
+    rows = filters.select_memories(memories(spark, folder, "entity_id", "created_at", where=F.col("created_at") <= at(datetime(2023, 12, 1))), created_before=datetime(2023, 12, 1))
     return rows.agg(F.count("*").alias("n"), F.countDistinct("entity_id").alias("owners"))
 
 
 @C.add(WITH + "select id, created_at from mem where state = 'active' and created_at > timestamp '2024-01-25'")
 def recent_hours(spark, folder):
-    return filters.recent(memories(spark, folder, "state", "created_at"), NOW, 168).select("id", "created_at")
+    return filters.recent(memories(spark, folder, "state", "created_at", where=F.col("created_at") > at(NOW - timedelta(hours=168))), NOW, 168).select("id", "created_at")
 
 
 @C.add(WITH + "select entity_id, count(*) n from mem where state = 'stale' group by 1")
@@ -93,14 +94,14 @@ def confidence_gate(spark, folder):
     return filters.confident(memories(spark, folder, "confidence"), 0.5).select("id")
 
 
-@C.add(WITH + "select id from mem where id not in (select trim(memory_id) from sur where surfaced_at > timestamp '2024-01-30' and memory_id is not null)")
+@C.add(WITH + "select id from mem where id not in (select memory_id from sur where surfaced_at > timestamp '2024-01-30' and memory_id is not null)")
 def surfaced_antijoin(spark, folder):
     return filters.not_surfaced(memories(spark, folder, "state"), surfaced(spark, folder), NOW, timedelta(hours=48)).select("id")
 
 
 @C.add(
     WITH
-    + """, marked as (select m.id, m.entity_id, s.k is not null shown from mem m left join (select distinct trim(memory_id) k from sur where surfaced_at > timestamp '2023-11-03') s on s.k = m.id)
+    + """, marked as (select m.id, m.entity_id, s.k is not null shown from mem m left join (select distinct memory_id k from sur where surfaced_at > timestamp '2023-11-03') s on s.k = m.id)
 select id from marked join (select entity_id, bool_or(not shown) fresh from marked group by 1) f using (entity_id) where not shown or not fresh"""
 )
 def surfaced_soft(spark, folder):
@@ -349,9 +350,9 @@ def delete_owner(spark, folder):
     return memories(spark, folder, "entity_id").where(~F.col("entity_id").eqNullSafe(HOT)).select("id")
 
 
-@C.add(WITH + "select m.id, m.access_count + h.n access_count, timestamp '2024-02-01' last_accessed_at from mem m join (select trim(memory_id) k, count(*)::int n from sur where memory_id is not null group by 1) h on h.k = m.id")
+@C.add(WITH + "select m.id, m.access_count + h.n access_count, timestamp '2024-02-01' last_accessed_at from mem m join (select memory_id k, count(*)::int n from sur where memory_id is not null group by 1) h on h.k = m.id")
 def reinforce(spark, folder):
-    hits = surfaced(spark, folder).where("memory_id is not null").groupBy(F.trim("memory_id").alias("id")).agg(F.count("*").cast("int").alias("hits"))
+    hits = surfaced(spark, folder).where("memory_id is not null").groupBy(F.col("memory_id").alias("id")).agg(F.count("*").cast("int").alias("hits"))
     return lifecycle.reinforced(memories(spark, folder, "access_count", "last_accessed_at", "stability"), hits, NOW).select("id", "access_count", "last_accessed_at")
 
 

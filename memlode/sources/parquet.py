@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlode.runtime import ship
+from memlode.runtime import kept, ship
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,6 +28,17 @@ def newest(df: DataFrame, key: str, values: Sequence[str], order: Sequence[str])
     return rows.select(key, *[F.col(f"_picked._v{i}").alias(c) for i, c in enumerate(values)])
 
 
+def newest_of_wide(df: DataFrame, key: str, values: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """As ``newest``, for rows with long texts or vectors: only rows of ids that occur several times are shuffled.
+
+    Those ids are found from the key column alone and written to the shared folder. As their table's size is known,
+    Spark broadcasts it if it is below its threshold and shuffles otherwise; all other rows stay where they are read.
+    """
+    repeated = kept(df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key), "repeated")
+    once = df.where(F.col(key).isNotNull()).join(repeated, key, "left_anti").select(key, *values)
+    return once.unionByName(newest(df.join(repeated, key, "left_semi"), key, values, order))
+
+
 def clean_key(column: Column) -> Column:
     """A reference as it is compared: no white space around it (of any Unicode kind), lower case, null if nothing is left."""
     return F.nullif(F.lower(F.regexp_replace(column, r"(?U)^[\s\x{200B}\x{FEFF}]+|[\s\x{200B}\x{FEFF}]+$", "")), F.lit(""))
