@@ -53,3 +53,14 @@ def cosine(a: Column, b: Column) -> Column:
 
 def round_half_up(column: Column) -> Column:
     return F.floor(column + 0.5).cast("bigint")
+
+
+def distance(a: Column, b: Column) -> Column:
+    """1 minus the cosine."""
+    return 1 - cosine(a, b)
+
+
+def normalised(a: Column) -> Column:
+    """The vector with length 1; null for a zero vector or numbers that aren't finite."""
+    size = F.sqrt(dot(a, a))
+    return F.when((size > 0) & (size < float("inf")), F.transform(a, lambda x: x.cast("double") / size))

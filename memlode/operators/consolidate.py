@@ -49,3 +49,11 @@ def vote(votes: DataFrame, sure: float = 0.8) -> DataFrame:
     best = counted.groupBy("id").agg(F.max(F.struct("c", "resolution")).alias("s"), F.max(F.struct("n", "resolution")).alias("m"), F.sum("n").alias("all"))
     said = F.when(F.col("s.c") >= sure, F.col("s.resolution")).when(2 * F.col("m.n") > F.col("all"), F.col("m.resolution")).otherwise("ask")
     return best.select("id", said.alias("resolution"))
+
+
+def context(members: DataFrame, mentions: DataFrame, graph: DataFrame) -> DataFrame:
+    """(root, entities, inner_edges): what the memories of a group (id, root) have in common in the graph: entities mentioned, and relations between two of them."""
+    said = mentions.select(F.col("memory_id").alias("id"), F.col("entity_id").alias("e")).join(members, "id").select("root", "e").distinct()
+    ends = graph.select(F.col("id").alias("_edge"), "a", "b")
+    inner = said.withColumnRenamed("e", "a").join(ends, "a").join(said.withColumnRenamed("e", "b"), ["root", "b"]).groupBy("root").agg(F.countDistinct("_edge").alias("inner_edges"))
+    return said.groupBy("root").agg(F.count("*").alias("entities")).join(inner, "root", "left").select("root", "entities", F.coalesce("inner_edges", F.lit(0)).alias("inner_edges"))

@@ -166,3 +166,10 @@ def valid_extraction(memory_type: Column, importance: Column, confidence: Column
 def harmless(text: Column) -> Column:
     """Angle brackets become square ones, so text can't open or close tags of a prompt."""
     return F.translate(text, "<>", "[]")
+
+
+def with_reasons(extracted: DataFrame) -> DataFrame:
+    """Extractions with ``reasons``: what each fails of 'type', 'importance', 'confidence', 'content'; none if it may be stored. Null counts as failing."""
+    fails = lambda ok, name: F.when(~F.coalesce(ok, F.lit(False)), name)
+    tests = (fails(F.upper("memory_type").isin(*TYPES), "type"), fails(F.col("importance").between(0, 1), "importance"), fails(F.col("confidence").between(0, 1), "confidence"), fails(F.length(F.trim("content")).between(1, 5000), "content"))
+    return extracted.withColumn("reasons", F.array_compact(F.array(*tests)))

@@ -162,7 +162,8 @@ def inferred_type(context: Column) -> Column:
 
 def typed_entities(texts: DataFrame) -> DataFrame:
     """(id, name, type, context, inferred): entities that patterns find in texts (id, content), each name and type once per text, in one pass over each text."""
-    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all("content", F.lit(p), F.lit(1)), lambda n, kind=kind: F.struct(n.alias("name"), F.lit(kind).alias("type"))) for p, kind in TYPED_PATTERNS]))
+    of = lambda kind: lambda n: F.struct(n.alias("name"), F.lit(kind).alias("type"))
+    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all("content", F.lit(p), F.lit(1)), of(kind)) for p, kind in TYPED_PATTERNS]))
     flat = texts.where("content is not null").select("id", "content", F.explode(F.array_distinct(found)).alias("e")).select("id", "content", "e.name", "e.type")
     made = flat.select("id", "name", "type", around(F.col("content"), F.col("name")).alias("context"))
     return made.withColumn("inferred", inferred_type(F.col("context")))

@@ -76,3 +76,9 @@ def reinforced(rows: DataFrame, hits: DataFrame, now: datetime) -> DataFrame:
     """After a search: counters up, last access now, stability grown where that is more. ``hits`` (id, hits)."""
     grown = rows.join(hits, "id").withColumn("stability", F.greatest(F.col("stability"), scoring.grown_stability(now)))
     return grown.withColumn("access_count", F.col("access_count") + F.col("hits")).withColumn("last_accessed_at", at(now)).drop("hits")
+
+
+def over_bytes(rows: DataFrame, cap: int, order: list[Column], key: str = "entity_id", overhead: int = 256) -> DataFrame:
+    """Rows of a key beyond its first ``cap`` bytes in an order: text and ``overhead`` of each row added up."""
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_used", F.sum(F.octet_length("content") + overhead).over(w)).where(F.col("_used") > cap).drop("_used")

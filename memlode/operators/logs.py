@@ -106,3 +106,38 @@ def weekday_topics(memories: DataFrame, now: datetime, days: int = 90, newest: i
     topics = F.array_distinct(F.concat(F.array(F.lower("memory_type")), F.transform(F.filter("tags", lambda t: ~t.startswith("cron:")), lambda t: F.lower(t))))
     exploded = counted.where(F.dayofweek("created_at") == F.dayofweek(at(now))).select("entity_id", F.explode(topics).alias("topic"))
     return exploded.groupBy("entity_id", "topic").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("entity_id", "topic", "n", F.round(F.least(F.lit(1.0), F.col("n") / 10), 6).alias("confidence"))
+
+
+def snapshot_deltas(snapshots: DataFrame) -> DataFrame:
+    """(entity_id, id, delta): what got better from one snapshot of an entity to the next.
+
+    ``snapshots`` (entity_id, id, acted_at, goals map of plan -> status, silences map of entity -> days, mood). A goal
+    that rose, an entity silent for more than 7 days that now is for less than half of that, a declining mood that
+    no longer declines. What only one of the two snapshots knows is no change.
+    """
+    w = Window.partitionBy("entity_id").orderBy("acted_at", "id")
+    rows = snapshots.withColumns({f"_{c}": F.lag(c).over(w) for c in ("goals", "silences", "mood")})
+    rank = lambda s: F.array_position(F.array(*[F.lit(x) for x in ("no_activity", "stalled", "at_risk", "on_track")]), s)
+    both = lambda now, before: F.map_zip_with(now, before, lambda k, a, b: F.struct(a.alias("a"), b.alias("b")))
+    rose = F.exists(F.map_values(both(F.col("goals"), F.col("_goals"))), lambda x: F.coalesce(rank(x["a"]) > rank(x["b"]), F.lit(False)))
+    back = F.exists(F.map_values(both(F.col("silences"), F.col("_silences"))), lambda x: F.coalesce((x["b"] > 7) & (x["a"] < F.floor(x["b"] / 2)), F.lit(False)))
+    mood = (F.col("_mood") == "declining") & F.col("mood").isin("stable", "improving")
+    said = F.array_compact(F.array(F.when(rose, "goal_improved"), F.when(back, "entity_reengaged"), F.when(mood, "sentiment_improved")))
+    return rows.select("entity_id", "id", F.explode(said).alias("delta"))
+
+
+def repeated_topics(current: DataFrame, log: DataFrame, window: timedelta, overlap: float = 0.85) -> DataFrame:
+    """(entity_id, verdict) of each entity's current row: 'overlap' if an act within the window had the same fingerprint and more than ``overlap`` of the current topics, 'suppressed' if a decision not to act within twice the window had it, else 'fresh'.
+
+    Both frames: entity_id, acted_at, decision, fingerprint, topics. The fingerprint is part of the join key, so an
+    entity's log is never joined whole.
+    """
+    now = current.select("entity_id", F.col("acted_at").alias("_now"), "fingerprint", F.col("topics").alias("_topics"))
+    met = now.join(log.select("entity_id", "fingerprint", "acted_at", "decision", "topics"), ["entity_id", "fingerprint"])
+    age, span = micros("_now") - micros("acted_at"), int(window.total_seconds() * 1e6)
+    share = F.size(F.array_intersect("_topics", "topics")) / F.greatest(F.size("_topics"), F.lit(1))
+    judged = met.groupBy("entity_id").agg(
+        F.bool_or((F.col("decision") == "act") & (age <= span) & (share > overlap)).alias("_same"), F.bool_or((F.col("decision") != "act") & (age <= 2 * span)).alias("_shut"),
+    )
+    verdict = F.when(F.col("_same"), "overlap").when(F.col("_shut"), "suppressed").otherwise("fresh")
+    return current.select("entity_id").join(judged, "entity_id", "left").select("entity_id", verdict.alias("verdict"))

@@ -16,7 +16,7 @@ from memlode.operators import scoring
 from memlode.operators.filters import has_any_tag
 
 # Words that carry no meaning in a query.
-STOP_WORDS = frozenset("what is the a an user's user their do does where how who when which and or of to in for with they are was about from at has have did can will my me tell know".split())
+STOP_WORDS = frozenset(("what", "is", "the", "a", "an", "user's", "user", "their", "do", "does", "where", "how", "who", "when", "which", "and", "or", "of", "to", "in", "for", "with", "they", "are", "was", "about", "from", "at", "has", "have", "did", "can", "will", "my", "me", "tell", "know"))
 
 
 def vector(values: Sequence[float]) -> Column:

@@ -109,3 +109,42 @@ def fingerprint(signals: DataFrame) -> DataFrame:
 
 def close_pairs(memories: DataFrame, least: float) -> DataFrame:
     return search.similarity_pairs(memories, "entity_id", least)
+
+
+def relationships(entities: DataFrame, mentions: DataFrame, vectors: DataFrame, plans: DataFrame, now: datetime, least: int = 7, near: float = 0.4, top: int = 10, soon: timedelta = timedelta(days=14)) -> DataFrame:
+    """(id, owner, days_silent, plans, urgency) of silent entities that matter: 'urgent' if a close plan ends soon, 'attention' if there is one, else 'info' (after more than 14 days only).
+
+    ``vectors`` (id, owner_entity_id, embedding) of entities; ``plans`` (id, entity_id, embedding, expires_at). Only
+    entities are compared with plans, block by block, and each entity keeps its ``top`` plans.
+    """
+    close = search.similarity_between(vectors.select("id", F.col("owner_entity_id").alias("entity_id"), "embedding"), plans.select("id", "entity_id", "embedding"), "entity_id", near, top=top)
+    ends = close.join(plans.select(F.col("id").alias("b"), "expires_at"), "b").groupBy(F.col("a").alias("id")).agg(F.count("*").alias("plans"), F.bool_or(F.coalesce(F.col("expires_at") < at(now + soon), F.lit(False))).alias("_soon"))
+    quiet = silence(entities, mentions, now, least).join(ends, "id", "left")
+    urgency = F.when(F.col("plans").isNull(), "info").when(F.col("_soon"), "urgent").otherwise("attention")
+    return quiet.where(F.col("plans").isNotNull() | (F.col("days_silent") > 14)).select("id", "owner", "days_silent", F.coalesce("plans", F.lit(0)).alias("plans"), urgency.alias("urgency"))
+
+
+def _named(signals: dict[str, DataFrame], *columns: str) -> DataFrame:
+    parts = [df.select(F.lit(name).alias("_signal"), *columns) for name, df in signals.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def by_agent(signals: dict[str, DataFrame]) -> DataFrame:
+    """(agent_id, one count per signal)."""
+    return _named(signals, "agent_id").groupBy("agent_id").agg(*[F.count_if(F.col("_signal") == name).alias(name) for name in signals])
+
+
+def summary(signals: dict[str, DataFrame]) -> DataFrame:
+    """(entity_id, total, one count per signal)."""
+    return _named(signals, "entity_id").groupBy("entity_id").agg(F.count("*").alias("total"), *[F.count_if(F.col("_signal") == name).alias(name) for name in signals])
+
+
+def summary_text(signals: dict[str, DataFrame], each: int = 3, width: int = 60) -> DataFrame:
+    """(entity_id, text): per owner one line for each of the first ``each`` memories of a signal, 'signal: beginning of the text', lines in order."""
+    rows = _named(signals, "entity_id", "id", "content")
+    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy("entity_id", "_signal").orderBy("id"))).where(F.col("_n") <= each)
+    lines = ranked.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.concat("_signal", F.lit(": "), F.substring("content", 1, width)))).alias("_l"))
+    return lines.select("entity_id", F.array_join("_l", "\n").alias("text"))

@@ -12,9 +12,9 @@ from memlode.functions.columns import words
 
 # Messages that mean nothing; statements about oneself; hints at time.
 TRIVIAL = (
-    "ok okay k thanks thx ty hello hi hey howdy bye goodbye later sure yeah yes no nah lol haha hehe lmao np understood cool nice great awesome hmm hm uh um yep yup nope right exactly correct what why how when where".split()
-    + ["thank you", "see you", "no problem", "no worries", "got it", "i see", "sounds good", "makes sense", "good morning", "good night", "good evening"]
-)
+    "ok", "okay", "k", "thanks", "thank you", "thx", "ty", "hello", "hi", "hey", "howdy", "bye", "goodbye", "see you", "later", "sure", "yeah", "yes", "no", "nah", "lol", "haha", "hehe", "lmao", "np", "no problem", "no worries", "got it", "understood", "i see", "cool", "nice", "great", "awesome",
+    "hmm", "hm", "uh", "um", "yep", "yup", "nope", "right", "exactly", "correct", "sounds good", "makes sense", "good morning", "good night", "good evening", "what", "why", "how", "when", "where",
+)
 FIRST_PERSON = (
     "i am", "i'm", "i work", "i live", "i like", "i love", "i hate", "i prefer", "i want", "i need", "i have", "i've", "i was", "my name", "my job", "my wife", "my husband", "my friend", "my favorite", "my hobby",
     "i enjoy", "i started", "i moved", "i changed", "i quit", "i joined", "i bought", "i'm learning", "i just", "i recently", "i used to",
@@ -39,8 +39,8 @@ CONTRARY = (
     (("more", "increase", "higher"), ("less", "decrease", "lower")),
 )
 SUBJECTLESS = (
-    "the a an is are was were be been being have has had do does did will would could should may might must shall i me my mine we you your yours he she it they them their this that these those and or but if then to of in on at by for with about from"
-).split()
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "must", "shall", "i", "me", "my", "mine", "we", "you", "your", "yours", "he", "she", "it", "they", "them", "their", "this", "that", "these", "those", "and", "or", "but", "if", "then", "to", "of", "in", "on", "at", "by", "for", "with", "about", "from",
+)
 
 
 def _any(text: Column, parts: Sequence[str]) -> Column:
