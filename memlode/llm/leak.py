@@ -58,20 +58,28 @@ class WaveletMatrix:
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Places of ``text`` in the order of their suffixes (prefix doubling). No suffix may be a prefix of another."""
-    _, rank = np.unique(text, return_inverse=True)
-    rank, step, n = rank.astype(np.int64), 1, len(text)
-    while True:
-        ahead = np.full(n, -1, np.int64)
-        ahead[: max(n - step, 0)] = rank[step:]
-        key = rank * (n + 1) + ahead + 1
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        fresh = np.empty(n, np.int64)
-        fresh[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])]) if n else []
-        rank, step = fresh, step * 2
-        if n == 0 or rank.max() == n - 1:
-            return order
+    """Places of ``text`` in the order of their suffixes (prefix doubling). No suffix may be a prefix of another.
+
+    A rank is the place in the order where the group of suffixes that aren't told apart yet begins; each round sorts
+    only what is in groups of several.
+    """
+    n = len(text)
+    _, rank, counts = np.unique(text, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(counts) - counts)[rank].astype(np.int64)
+    order, step = np.argsort(rank, kind="stable"), 1
+    slots = np.flatnonzero(counts[np.searchsorted(np.cumsum(counts), np.arange(n), side="right")] > 1)
+    while len(slots):
+        at = order[slots]
+        ahead = np.where(at + step < n, rank[np.minimum(at + step, n - 1)] + 1, 0)
+        key = rank[at] * (n + 1) + ahead
+        sort = np.argsort(key, kind="stable")
+        at, key = at[sort], key[sort]
+        order[slots] = at
+        first = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[at] = np.maximum.accumulate(np.where(first, slots, 0))
+        slots = slots[~(first & np.concatenate([first[1:], [True]]))]
+        step *= 2
+    return order
 
 
 class FMIndex:
