@@ -79,6 +79,9 @@ _ADDRESSES = tuple(
         rf"(?:\b(?:flat|apt\.?|apartment|unit|suite)\s+\w{{1,4}},?\s+)?(?<![\w.,:€$£-])\d{{1,6}}[a-z]?,?\s+(?:(?:(?:st|dr|mt|gen|[a-z])\.|[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*|\d{{1,3}}(?:st|nd|rd|th))\s+){{1,5}}?(?:{STREETS})\b",
     )
 )
+# Words without which an address pattern finds nothing, and ends of words for the fourth.
+_STREET_WORDS = (set(STREETS.split("|")), {"rue", "avenue", "boulevard", "place", "chemin", "allée"}, {"calle", "avenida", "plaza", "paseo", "c", "via", "viale"}, set(), set(STREETS.split("|")))
+_STREET_ENDS = ("straße", "strasse", "str", "weg", "gasse", "allee", "platz", "ring", "damm")
 _TITLE_GAP = re.compile(r"[\s.]*$")
 
 
@@ -95,6 +98,16 @@ class Words:
     lower: dict[str, float]
     follow: dict[str, tuple[float, float, float]] = field(default_factory=dict)
     texts: float = 1.0
+    seen: dict[str, tuple] = field(default_factory=dict)
+
+    def facts(self, word: str) -> tuple[float, float, tuple[float, float, float], bool]:
+        """``of``, ``of_lower``, ``followed`` and ``rare`` of a word, remembered."""
+        known = self.seen.get(word)
+        if known is None:
+            if len(self.seen) > 200_000:
+                self.seen.clear()
+            known = self.seen[word] = (self.of(word), self.of_lower(word), self.followed(word), self.rare(word))
+        return known
 
     def rare(self, word: str) -> bool:
         """Whether one text in 200 at most has the word in lower case; too few texts can't tell (three over their number bounds the rate of an unseen word)."""
@@ -218,13 +231,18 @@ def candidates(text: str, words: Words, forms: NameForms) -> list[tuple[int, int
             values = _number_features(text, s, end)
             out.append((1, s, end, values))
             out.append((2, s, end, values))
-    for m in _SPELLED.finditer(text):  # digits as words are judged as the digits they are
+    tokens = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(text)]
+    low = [t[0].lower() for t in tokens]
+    held = set(low)
+    for m in _SPELLED.finditer(text) if sum(w in _DIGIT_WORDS for w in low) >= 6 else ():  # digits as words are judged as the digits they are
         digits = "".join(_DIGIT_WORDS[w] for w in re.findall(r"[^\W\d_]+", m.group().lower()))
         values = _number_features(text[: m.start()] + digits + text[m.end() :], m.start(), m.start() + len(digits))
         out.append((1, *m.span(), values))
         out.append((2, *m.span(), values))
     starts = set()
     for pattern, regex in enumerate(_ADDRESSES):
+        if not (any(w.endswith(_STREET_ENDS) for w in held) if pattern == 3 else held & _STREET_WORDS[pattern]):
+            continue
         for m in regex.finditer(text):
             if pattern == 4 and m.start() in starts:  # the last pattern is the first one with longer numbers and more words
                 continue
@@ -237,21 +255,20 @@ def candidates(text: str, words: Words, forms: NameForms) -> list[tuple[int, int
             if pattern == 4:
                 values += [len(re.search(r"\d+", m.group())[0]), sum(w[0].isupper() for w in inner) / max(len(inner), 1), max((words.of_lower(w) for w in inner[:-1]), default=-2.7)]
             out.append((LONG if pattern == 4 else 3, m.start(), m.end(), values))
-    _names(text, words, forms, out)
+    _names(text, tokens, low, words, forms, out)
     return out
 
 
 _GAPS = {" ", "  ", ".", ". ", ".  ", "\xa0", "\t"}
 
 
-def _names(text: str, words: Words, forms: NameForms, out: list) -> None:
+def _names(text: str, tokens: list[tuple[str, int, int]], low: list[str], words: Words, forms: NameForms, out: list) -> None:
     """Proposes pairs of words by their form alone; what lists and statistics say of them are features.
 
     A pair is two words side by side (an initial or particles may stand between) that are both capitalised, or of
     which one is an initial or a cut or listed given name, or that are both rare as words in lower case; also
     'surname, given'.
     """
-    tokens = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(text)]
     if len(tokens) < 2:
         return
     said = [t[0] for t in tokens]
@@ -259,7 +276,6 @@ def _names(text: str, words: Words, forms: NameForms, out: list) -> None:
     kinds = [forms.kind(w, d) for w, d in zip(said, dots, strict=True)]
     gaps = [text[a[2] : b[1]] for a, b in zip(tokens, tokens[1:])]
     caps = [w[0].isupper() for w in said]
-    low = [w.lower() for w in said]
 
     def add(given: int, surname: int, first: int, last: int, middle: int, comma: bool) -> None:
         word, own = said[surname], said[given]
@@ -270,13 +286,14 @@ def _names(text: str, words: Words, forms: NameForms, out: list) -> None:
         before = 1 if prev in TITLES else 2 if prev in THING_CUES else 3 if near and caps[first - 1] and gaps[first - 1] == " " else 0
         close = last + 1 < len(tokens) and gaps[last] in (" ", ".", ". ", " & ", "-")
         after = 0 if not close else 1 if low[last + 1] in ORG_WORDS else 2 if caps[last + 1] and gaps[last][0] != "." else 0
-        next_ = (words.of_lower(said[last + 1]), words.of(said[last + 1])) if after == 2 else (-9.0, -9.0)
+        next_ = words.facts(low[last + 1])[1::-1] if after == 2 else (-9.0, -9.0)
+        of_word, of_own = words.facts(low[surname]), words.facts(low[given])
         end = tokens[last][2] + (1 if dots[last] and last == given and kinds[given] in (3, 4) else 0)
         acts = close and gaps[last] == " " and low[last + 1] in PERSON_VERBS
         thing = (low[given] in PLACE_WORDS or low[given] in THING_CUES) + 2 * (low[surname] in PLACE_WORDS or low[surname] in THING_CUES)
         values = [
-            kinds[given], given > surname, comma, words.of(word), min(len(word), 9), _caps(word), _caps(own), before, after, words.of_lower(own), min(len(own), 9), dots[given], middle, low[surname] in ORG_WORDS,
-            words.of_lower(word), words.of(own), low[given] in ORG_WORDS, thing, cue(first), acts, first > 0 and low[first - 1] in ORG_WORDS, kinds[surname], listed(first, last), *words.followed(own), *words.followed(word), *next_, low[given] in PERSON_CUES or low[given] in PERSON_VERBS,
+            kinds[given], given > surname, comma, of_word[0], min(len(word), 9), _caps(word), _caps(own), before, after, of_own[1], min(len(own), 9), dots[given], middle, low[surname] in ORG_WORDS,
+            of_word[1], of_own[0], low[given] in ORG_WORDS, thing, cue(first), acts, first > 0 and low[first - 1] in ORG_WORDS, kinds[surname], listed(first, last), *of_own[2], *of_word[2], *next_, low[given] in PERSON_CUES or low[given] in PERSON_VERBS,
         ]
         out.append((4, tokens[first][1], end, values))
 
@@ -306,7 +323,7 @@ def _names(text: str, words: Words, forms: NameForms, out: list) -> None:
             return False
         if caps[i] and caps[j]:
             return not (a.isupper() and b.isupper() and min(len(a), len(b)) < 4)
-        return not caps[i] and not caps[j] and words.rare(a) and words.rare(b)
+        return not caps[i] and not caps[j] and words.facts(low[i])[3] and words.facts(low[j])[3]
 
     for i, kind in enumerate(kinds):
         if i + 1 < len(tokens) and not kind and low[i] not in PERSON_CUES and low[i] not in TITLES:
@@ -383,10 +400,14 @@ def word_statistics(texts: DataFrame, column: str = "text", rarest: float = 1e-3
     exploded = texts.select(F.explode(F.split(column, r"[^\p{L}\p{M}]+")).alias("w")).where(F.length("w") > 1)
     counts = exploded.groupBy(F.lower("w").alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col("w") == F.lower("w")).alias("low"))
     top = counts.where(F.col("n") >= least).toPandas()
-    pair = F.lit(r"([\p{Ll},] )?(\p{Lu}[\p{L}\p{M}]+)(?= (\p{Lu}[\p{L}\p{M}]*))")
-    parts = F.arrays_zip(*[F.regexp_extract_all(column, pair, F.lit(k)).alias(c) for k, c in ((1, "inner"), (2, "head"), (3, "tail"))])
-    followed = texts.select(F.explode(parts).alias("p")).groupBy(F.lower("p.head").alias("w"))
-    sets = followed.agg(F.approx_count_distinct("p.tail").alias("kinds"), F.count("*").alias("times"), F.count_if(F.col("p.inner") != "").alias("inner")).where(F.col("times") >= least).toPandas()
+    # runs of capitalised words, with the end of a small word or a comma before them; a word's pairs are it and the next
+    runs = F.regexp_extract_all(column, F.lit(r"(?:[\p{Ll},] )?\p{Lu}[\p{L}\p{M}]+(?: \p{Lu}[\p{L}\p{M}]*)+"), F.lit(0))
+    inner = F.col("r").rlike(r"^[\p{Ll},] ")
+    said = texts.select(F.explode(runs).alias("r")).select(inner.alias("inner"), F.split(F.when(inner, F.substring("r", 3, 1 << 30)).otherwise(F.col("r")), " ").alias("w"))
+    pairs = F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("head"), F.slice("w", 2, F.size("w") - 1).alias("tail"))
+    flat = said.select("inner", F.posexplode(pairs).alias("at", "p")).where(F.length("p.head") > 1)
+    followed = flat.select((F.col("inner") & (F.col("at") == 0)).alias("inner"), "p").groupBy(F.lower("p.head").alias("w"))
+    sets = followed.agg(F.approx_count_distinct("p.tail").alias("kinds"), F.count("*").alias("times"), F.count_if("inner").alias("inner")).where(F.col("times") >= least).toPandas()
     return Words(dict(zip(top["w"], top["n"] / total)), dict(zip(top["w"], top["low"] / top["n"])), dict(zip(sets["w"], zip(sets["kinds"].astype(float), sets["times"].astype(float), sets["inner"].astype(float)))), total)
 
 
