@@ -35,9 +35,10 @@ def record_keys(rows: DataFrame, id_column: str, text_column: str, order: list[s
     return slim.select("id", "plain").join(listed_records(slim), "plain", "left").select("id", F.coalesce("record", "plain").alias("record"))
 
 
-def text_keys(text: Column) -> list[Column]:
-    """Keys of a composed and folded text: ``plain`` of its letters and digits, ``fields`` of its field list (null if it is none)."""
-    return [_hash(letters_and_digits(text)).alias("plain"), _hash(field_list(text)).alias("fields")]
+def text_keys(text: Column, letters: Column | None = None, bits: int = 256) -> list[Column]:
+    """Keys of a composed and folded text: ``plain`` of its letters and digits (``letters`` if they are known), ``fields`` of its field list (null if it is none)."""
+    key = _hash if bits == 256 else lambda c: F.unhex(F.md5(c))
+    return [key(letters_and_digits(text) if letters is None else letters).alias("plain"), key(field_list(text)).alias("fields")]
 
 
 def listed_records(keyed: DataFrame) -> DataFrame:

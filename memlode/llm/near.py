@@ -40,11 +40,13 @@ def sketches(rows: DataFrame, id_column: str, group_column: str, text_column: st
     ``kind`` is equal for rows of one group with equal keys (as in ``copies.text_keys``) and equal shingles, which
     therefore have the same partners.
     """
-    base = rows.select(F.col(id_column).cast("string").alias("id"), F.col(group_column).cast("string").alias("owner"), folded(composed(F.col(text_column))).alias("_text"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
     orders = [f"_o{i}" for i in range(len(order))]
+    sound = rows.where(F.col(id_column).isNotNull() & F.col(group_column).isNotNull() & F.col(text_column).isNotNull())
+    base = sound.select(F.col(id_column).cast("string").alias("id"), F.col(group_column).cast("string").alias("owner"), folded(composed(F.col(text_column))).alias("_text"), *[F.col(c).alias(o) for c, o in zip(order, orders, strict=True)])
     # columns that several expressions need are selected first: an expression repeated inside a lambda runs once per element
-    made = base.where("id is not null and owner is not null and _text is not null").select("id", "owner", *text_keys(F.col("_text")), words(F.col("_text")).alias("_words"), *orders)
-    made = made.select("id", "owner", "plain", "fields", shingles(F.col("_words"), size).alias("grams"), *orders).withColumn("_sorted", F.sort_array("grams"))
+    made = base.select("id", "owner", "_text", words(F.col("_text")).alias("_words"), *orders)
+    plain, fields = text_keys(F.col("_text"), F.array_join("_words", ""), bits=128)
+    made = made.select("id", "owner", plain, fields, shingles(F.col("_words"), size).alias("grams"), *orders).withColumn("_sorted", F.sort_array("grams"))
     same = [F.xxhash64(F.lit(seed), "_sorted").cast("string") for seed in (1, 2)]
     made = made.withColumn("kind", F.unhex(F.md5(F.concat("plain", F.coalesce("fields", F.lit(b"")), F.encode(F.concat_ws("|", "owner", *same), "UTF-8"))))).drop("_sorted")
     table = kept(made, "sketches")
@@ -82,11 +84,11 @@ def frequent_grams(table: DataFrame, most: int = 200_000) -> tuple[np.ndarray, n
 _MIX_A, _MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)  # odd multipliers, any would do
 
 
-def _prefixes(known, similarity: float):
+def _prefixes(known, similarity: float, block: int):
     grams_known, counts_known = known.value
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[bytes] = set()  # kinds this task has emitted: copies are combined before the shuffle
+        seen: set[int] = set()  # kinds this task has emitted: copies are combined before the shuffle
         for batch in batches:
             fresh = [k not in seen and not seen.add(k) for k in batch["kind"]]
             batch = batch[fresh]
@@ -104,24 +106,32 @@ def _prefixes(known, similarity: float):
             chosen = order[place < np.repeat(short, sizes)]
             owners = batch["owner_hash"].to_numpy(np.int64).astype(np.uint64)[doc[chosen]]
             keys = (grams[chosen].astype(np.uint64) * _MIX_A) ^ (owners * _MIX_B)
-            yield pd.DataFrame({"key": keys.astype(np.int64), "kind": batch["kind"].to_numpy()[doc[chosen]], "n": sizes[doc[chosen]].astype(np.int32)})
+            yield pd.DataFrame({"key": keys.astype(np.int64), "kind": batch["kind"].to_numpy()[doc[chosen]], "n": sizes[doc[chosen]].astype(np.int32), "often": freq[chosen] >= block})
 
     return run
 
 
-def _met(rows: DataFrame, columns: list[str], block: int = 1000) -> DataFrame:
-    """Pairs of rows of one ``key``: (key, a, b and the other columns of each side with the suffixes _a, _b).
+def _hot_keys(rows: DataFrame, block: int) -> DataFrame:
+    """(key, _n) of keys with more than ``block`` rows, from counts combined before the shuffle; kept, so that Spark knows the table's size."""
+    return kept(rows.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > block), "hot")
 
-    Keys of more than ``block`` rows are divided into blocks that meet pair by pair in separate tasks, so no
-    task holds a key whole; all other keys are joined where they are. Both joins spill.
+
+def _met(rows: DataFrame, columns: list[str], block: int = 10_000, hot: DataFrame | None = None) -> DataFrame:
+    """Pairs of kinds that share a ``key``: (a, b and the other columns of each side with the suffixes _a, _b), a < b.
+
+    Rows are shuffled by key once and duplicates of (key, kind) dropped where they are. Keys of more than ``block``
+    rows (``hot``, else counted here) are divided into blocks that meet pair by pair in separate tasks, so no task
+    joins such a key whole but up to 10^8 pairs of rows. All joins spill.
     """
-    sizes = rows.groupBy("key").agg(F.count("*").alias("_n"))
-    sized = rows.join(sizes.where("_n > 1"), "key")
+    hot = _hot_keys(rows, block) if hot is None else hot
     side = lambda df, x: df.select(*[c for c in df.columns if c not in ("kind", *columns)], F.col("kind").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
-    few = sized.where(F.col("_n") <= block).drop("_n")
+    some = not hot.isEmpty()
+    few = (rows.join(hot, "key", "left_anti") if some else rows).repartition("key").dropDuplicates(["key", "kind"])
     out = side(few, "a").join(side(few, "b").hint("merge"), "key").where("a < b").drop("key")
+    if not some:
+        return out
     count = F.ceil(F.col("_n") / block).cast("int")
-    many = sized.where(F.col("_n") > block).withColumn("_k", F.pmod(F.xxhash64("kind"), count).cast("int")).withColumn("_blocks", count).drop("_n")
+    many = rows.join(hot, "key").dropDuplicates(["key", "kind"]).withColumn("_k", F.pmod(F.xxhash64("kind"), count).cast("int")).withColumn("_blocks", count).drop("_n")
     left = side(many.withColumns({"_i": F.col("_k"), "_j": F.explode(F.sequence(F.col("_k"), F.col("_blocks") - 1))}).drop("_k", "_blocks"), "a")
     right = side(many.withColumns({"_j": F.col("_k"), "_i": F.explode(F.sequence(F.lit(0), F.col("_k")))}).drop("_k", "_blocks"), "b")
     met = left.join(right.hint("merge"), ["key", "_i", "_j"]).where((F.col("_i") < F.col("_j")) | (F.col("a") < F.col("b"))).drop("key", "_i", "_j")
@@ -129,8 +139,10 @@ def _met(rows: DataFrame, columns: list[str], block: int = 1000) -> DataFrame:
     return out.unionByName(turned)
 
 
-def prefix_pairs(table: DataFrame, similarity: float) -> DataFrame:
-    """Candidate pairs of kinds (a, b), a < b: those that share enough of their prefixes to reach ``similarity``.
+def prefix_pairs(table: DataFrame, similarity: float, block: int = 10_000) -> DataFrame:
+    """Candidate pairs (a, b), a < b, of 64-bit hashes of kinds: those that share enough of their prefixes to reach ``similarity``.
+
+    Two kinds of one hash would only add a candidate, since ``verified`` looks at the kinds themselves.
 
     Lengths must fit, and the number of shared prefix shingles plus all that lies beyond the longer remainder
     must reach the needed overlap; both tests drop no true pair. Copies were combined into kinds before, so a
@@ -139,10 +151,12 @@ def prefix_pairs(table: DataFrame, similarity: float) -> DataFrame:
     """
     spark = table.sparkSession
     known = spark.sparkContext.broadcast(frequent_grams(table))
-    rows = table.select("kind", F.xxhash64("owner").alias("owner_hash"), "grams").mapInPandas(_prefixes(known, similarity), "key bigint, kind binary, n int")
-    rows = rows.dropDuplicates(["key", "kind"])
+    rows = table.select(F.xxhash64("kind").alias("kind"), F.xxhash64("owner").alias("owner_hash"), "grams").mapInPandas(_prefixes(known, similarity, block), "key bigint, kind bigint, n int, often boolean")
+    # only a shingle that is frequent over all rows can be hot in one group; one that no batch holds twice is held by as many rows as there are batches at most
+    hot = _hot_keys(rows.where("often"), block)
+    rows = rows.drop("often")
     fits = F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b") - 1e-9
-    shared = _met(rows, ["n"]).where(fits).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("common"))
+    shared = _met(rows, ["n"], block, hot).where(fits).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("common"))
     needed = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-9)
     beyond = F.greatest(F.ceil(F.lit(similarity) * F.col("n_a") - 1e-9), F.ceil(F.lit(similarity) * F.col("n_b") - 1e-9)) - 1
     return shared.where(F.col("common") + beyond >= needed).select("a", "b")
@@ -181,20 +195,26 @@ def ball_pairs(table: DataFrame, radius: int = 2, bits: int = 64) -> DataFrame:
 
 
 def verified(pairs: DataFrame, table: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of kinds (a, b) of one group and different records whose distinct shingles overlap in ``similarity`` of the union or more."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("kind")).distinct()
-    texts = table.join(ends, "kind", "left_semi").select("kind", "owner", "plain", "grams").dropDuplicates(["kind"])
-    texts = texts.join(listed_records(table), "plain", "left").select("kind", "owner", F.coalesce("record", "plain").alias("record"), "grams")
-    left, right = [texts.select(F.col("kind").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("owner", "record", "grams")]) for x in "ab"]
+    """Pairs of kinds (a, b) of one group and different records whose distinct shingles overlap in ``similarity`` of the union or more; ``pairs`` of their 64-bit hashes."""
+    pairs = kept(pairs, "pairs")  # narrow; as its size is known, the texts it needs are picked without a shuffle as long as it is small
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("_h")).distinct()
+    # texts are shuffled once: the same partitions serve to drop copies and for both sides of the join
+    texts = table.select(F.xxhash64("kind").alias("_h"), "kind", "owner", "plain", "grams").join(ends, "_h", "left_semi").repartition("_h").dropDuplicates(["_h", "kind"])
+    left, right = [texts.select(F.col("_h").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("kind", "owner", "plain", "grams")]) for x in "ab"]
     both = F.size(F.array_intersect("grams_a", "grams_b"))
-    joined = pairs.join(left, "a").join(right, "b").where("owner_a = owner_b and record_a <> record_b")
-    return joined.where(both >= F.lit(similarity) * (F.size("grams_a") + F.size("grams_b") - both) - 1e-9).select("a", "b")
+    joined = pairs.join(left, "a").join(right, "b").where("owner_a = owner_b and plain_a <> plain_b")
+    close = joined.where(both >= F.lit(similarity) * (F.size("grams_a") + F.size("grams_b") - both) - 1e-9).select("kind_a", "kind_b", "plain_a", "plain_b")
+    records = listed_records(table)
+    for x in "ab":
+        close = close.join(records.select(F.col("plain").alias(f"plain_{x}"), F.col("record").alias(f"record_{x}")), f"plain_{x}", "left")
+    differ = F.coalesce("record_a", "plain_a") != F.coalesce("record_b", "plain_b")
+    return close.where(differ).select(F.col("kind_a").alias("a"), F.col("kind_b").alias("b"))
 
 
 def _links(rows: DataFrame, id_column: str, group_column: str, text_column: str, order: list[str] | None, size: int, similarity: float, method: str, radius: int) -> tuple[DataFrame, DataFrame]:
     """Verified links between kinds (a, b), and (id, kind) of the rows that hold."""
     table, latest = sketches(rows, id_column, group_column, text_column, order or ["updated_at", "version"], size)
-    pairs = prefix_pairs(table, similarity) if method == "prefix" else ball_pairs(table, radius)
+    pairs = prefix_pairs(table, similarity) if method == "prefix" else ball_pairs(table, radius).select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
     return kept(verified(pairs, table, similarity), "links"), latest
 
 
