@@ -69,12 +69,12 @@ def continuity(memories: DataFrame, now: datetime, window: timedelta = timedelta
     return out.where((F.col("unfinished") > 0) & (F.col("newest_at") > at(now - fresh)))
 
 
-def goals(memories: DataFrame, pairs: DataFrame, now: datetime, each: int = 20) -> DataFrame:
-    """Progress of each plan from the activities close to it; ``pairs`` (a, b) are close memories of one owner."""
-    plans = _top(filters.select_memories(memories, types=("PLAN",), states=("active",)), each, F.col("importance").desc_nulls_last()).select("id", "entity_id", "expires_at")
-    acts = filters.select_memories(memories, types=("ACTIVITY",), states=("active",)).select(F.col("id").alias("other"), F.col("created_at").alias("acted"))
-    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other")))
-    counted = both.join(acts, "other").groupBy("id").agg(F.count("*").alias("activities"), F.count_if(F.col("acted") > at(now - timedelta(days=7))).alias("recent"))
+def goals(memories: DataFrame, now: datetime, each: int = 20, near: float = 0.4, top: int = 20) -> DataFrame:
+    """Progress of each owner's ``each`` most important plans from the ``top`` activities close to each; only these two sides are compared."""
+    plans = _top(filters.select_memories(memories, types=("PLAN",), states=("active",)), each, F.col("importance").desc_nulls_last()).select("id", "entity_id", "expires_at", "embedding")
+    acts = filters.select_memories(memories, types=("ACTIVITY",), states=("active",)).select("id", "entity_id", "embedding", "created_at")
+    close = search.similarity_between(plans, acts, "entity_id", near, top=top).join(acts.select(F.col("id").alias("b"), F.col("created_at").alias("acted")), "b")
+    counted = close.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("activities"), F.count_if(F.col("acted") > at(now - timedelta(days=7))).alias("recent"))
     left = (micros("expires_at") - micros(at(now))) / 86_400_000_000.0
     status = F.when(F.col("activities").isNull(), "no_activity").when(F.col("recent") > 0, "on_track").when((left >= 0) & (left < 14), "at_risk").otherwise("stalled")
     return plans.join(counted, "id", "left").select("id", "entity_id", F.coalesce("activities", F.lit(0)).alias("activities"), F.least(F.lit(1.0), F.coalesce("activities", F.lit(0)) / 10).alias("progress"), status.alias("status"))
@@ -87,11 +87,12 @@ def silence(entities: DataFrame, mentions: DataFrame, now: datetime, least: int
     return entities.join(last, "id").select("id", F.col("owner_entity_id").alias("owner"), days.alias("days_silent")).where(F.col("days_silent") >= least)
 
 
-def gaps(memories: DataFrame, pairs: DataFrame, each: int = 50, shown: int = 5) -> DataFrame:
-    """Newest questions that no other memory of the owner comes close to."""
-    asked = _top(memories.where("state = 'active'"), each, F.col("created_at").desc()).where(filters.is_question(F.col("content")))
-    near = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    return _top(asked.join(near, "id", "left_anti"), shown, F.col("created_at").desc())
+def gaps(memories: DataFrame, near: float = 0.6, each: int = 50, shown: int = 5) -> DataFrame:
+    """Newest questions that no other memory of the owner comes close to; only questions are compared with the rest."""
+    live = memories.where("state = 'active'")
+    asked = _top(live, each, F.col("created_at").desc()).where(filters.is_question(F.col("content")))
+    answered = search.similarity_between(asked.select("id", "entity_id", "embedding"), live.select("id", "entity_id", "embedding"), "entity_id", near).where("a <> b").select(F.col("a").alias("id")).distinct()
+    return _top(asked.join(answered, "id", "left_anti"), shown, F.col("created_at").desc())
 
 
 def confluence(signals: DataFrame, scale: float = 1.0) -> DataFrame:
@@ -107,10 +108,6 @@ def fingerprint(signals: DataFrame) -> DataFrame:
     return parts.select("entity_id", F.substring(F.sha2(F.concat_ws("|", "p"), 256), 1, 16).alias("fingerprint"))
 
 
-def close_pairs(memories: DataFrame, least: float) -> DataFrame:
-    return search.similarity_pairs(memories, "entity_id", least)
-
-
 def relationships(entities: DataFrame, mentions: DataFrame, vectors: DataFrame, plans: DataFrame, now: datetime, least: int = 7, near: float = 0.4, top: int = 10, soon: timedelta = timedelta(days=14)) -> DataFrame:
     """(id, owner, days_silent, plans, urgency) of silent entities that matter: 'urgent' if a close plan ends soon, 'attention' if there is one, else 'info' (after more than 14 days only).
 

@@ -144,12 +144,12 @@ _NEAR = _VPAIRS + ", near as (select a, b from p where c >= 0.4 - 1e-9)"
 
 
 @C.add(WITH + _NEAR + """, plans as (select * from (select *, row_number() over (partition by entity_id order by importance desc nulls last, id) n from mem where memory_type = 'PLAN' and state = 'active') where n <= 20),
-acts as (select l.id, count(*) activities, count(*) filter (m.created_at > timestamp '2024-01-25') recent from (select a id, b o from near union all select b, a from near) l join mem m on m.id = l.o and m.memory_type = 'ACTIVITY' and m.state = 'active' group by 1)
+close as (select l.id, m.created_at, row_number() over (partition by l.id order by round(c, 9) desc, l.o) r from (select a id, b o, c from p where c >= 0.4 - 1e-9 union all select b, a, c from p where c >= 0.4 - 1e-9) l join plans using (id) join mem m on m.id = l.o and m.memory_type = 'ACTIVITY' and m.state = 'active'),
+acts as (select id, count(*) activities, count(*) filter (created_at > timestamp '2024-01-25') recent from close where r <= 20 group by 1)
 select id, entity_id, coalesce(activities, 0) activities, least(1, coalesce(activities, 0) / 10.0)::double progress, case when activities is null then 'no_activity' when recent > 0 then 'on_track' when expires_at >= timestamp '2024-02-01' and expires_at < timestamp '2024-02-15' then 'at_risk' else 'stalled' end status from plans left join acts using (id)""")
 def sig_goals(spark, folder):
     rows = memories(spark, folder, *_COLS, "embedding")
-    near = signals.close_pairs(rows.where((F.col("state") == "active") & (F.size("embedding") == 64)), 0.4)
-    return signals.goals(rows, near, NOW)
+    return signals.goals(rows.withColumn("embedding", F.when(F.size("embedding") == 64, F.col("embedding"))), NOW)
 
 
 @C.add(WITH + ", l as (select entity_id id, max(created_at) t from men group by 1) select id, owner_entity_id as \"owner\", floor((epoch_us(timestamp '2024-02-01') - epoch_us(t)) / 86400000000.0)::int days_silent from ent join l using (id) where greatest(epoch_us(timestamp '2024-02-01') - epoch_us(t), 0) >= 7 * 86400000000")
@@ -160,8 +160,7 @@ def sig_silence(spark, folder):
 @C.add(WITH + _NEAR + f", asked as (select *, row_number() over (partition by entity_id order by created_at desc, id) n from mem where state = 'active'), g as (select *, row_number() over (partition by entity_id order by created_at desc, id) k from asked where n <= 50 and {_Q} and id not in (select a from p where c >= 0.6 - 1e-9 union select b from p where c >= 0.6 - 1e-9)) select id, entity_id from g where k <= 5")
 def sig_gaps(spark, folder):
     rows = memories(spark, folder, *_COLS, "embedding")
-    near = signals.close_pairs(rows.where((F.col("state") == "active") & (F.size("embedding") == 64)), 0.6)
-    return signals.gaps(rows, near).select("id", "entity_id")
+    return signals.gaps(rows.withColumn("embedding", F.when(F.size("embedding") == 64, F.col("embedding")))).select("id", "entity_id")
 
 
 def _signals(spark, folder):

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import timedelta
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from memlode.functions.columns import NOW, at, dot
-from memlode.operators import commands, filters, graph, lifecycle, logs, scoring, search, signals, texts
+from memlode.operators import commands, filters, graph, index, lifecycle, logs, scoring, search, signals, texts
 from memlode.plans.base import _KEY, WITH, Catalog, actions, entities, memories, mentions, messages, relationships
 from memlode.plans.insight import _COLS, _DEAD, _DECAYING, _EDGES, _PEND, _REL, _graph
 from memlode.plans.relational import HOT
 from memlode.plans.search import _VEC, _VPAIRS, query_vector
+from memlode.runtime import own_dir
 from memlode.sources.parquet import clean_key, table
 
 C = Catalog()
@@ -392,6 +394,15 @@ def cosine_topk_visible(spark, folder):
     return search.similar(rows, query_vector(spark, folder), 50, least=-1.0).select("id", F.round("similarity", 6).alias("similarity"))
 
 
+@C.add(WITH + _VEC + "select id, round(sim, 6) similarity from s join n using (id) where n.nn > 0 and n.nn < 'infinity'::double order by round(sim, 9) desc, id limit 50")
+def index_topk(spark, folder):
+    """The index with all cells probed gives the exact answer."""
+    path = f"{own_dir(spark)}/index-{uuid.uuid4().hex}"
+    index.build(memories(spark, folder, "embedding").where(F.size("embedding") == 64), "id", "embedding", path, cells=32)
+    query = [float(v) for v in table(spark, folder, "embeddings").where("vec_id = 1").select("embedding").first()[0]]
+    return index.search(spark, path, query, 50, probes=32).select("id", F.round("similarity", 6).alias("similarity"))
+
+
 @C.add(WITH + ", x as (select entity_id, id, row_number() over (partition by entity_id order by importance desc nulls last, id) n from mem), y as (select entity_id, id, row_number() over (partition by entity_id order by created_at desc nulls last, id) n from mem) select x.entity_id query, round(count(y.id) / 5.0, 6) recall from x left join y on y.id = x.id and y.n <= 50 where x.n <= 5 and x.entity_id is not null group by 1")
 def recall(spark, folder):
     rows = memories(spark, folder, "entity_id", "importance", "created_at").where("entity_id is not null")

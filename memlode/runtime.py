@@ -73,6 +73,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; ``sweep`` removes it."""
+    return f"{shared_dir(spark).rstrip('/')}/memlode-{spark.sparkContext.applicationId}"
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and returns the table read from there.
 
@@ -81,7 +86,7 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     ship(spark)
-    path = f"{shared_dir(spark).rstrip('/')}/memlode-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -89,5 +94,5 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 def sweep(spark: SparkSession) -> None:
     """Removes the tables that ``kept`` wrote for this application."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/memlode-{spark.sparkContext.applicationId}")
+    path = jvm.org.apache.hadoop.fs.Path(own_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,23 +72,66 @@ def fan_out(events: DataFrame, handlers: dict[str, Callable[[DataFrame, int], No
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
 
 
-def budget(events: DataFrame, limit: float, window_seconds: int = 60) -> DataFrame:
-    """Per user: what was spent within the window, and whether another event fits; the state holds the window's rows only.
+def budget(events: DataFrame, limit: float, window_seconds: int = 60, late_seconds: int = 600) -> DataFrame:
+    """Per user: what was spent within the window that ends with each event, and whether the event fits.
 
+    The state holds an event as long as one that the watermark still lets in (``late_seconds``) could need it, and a
+    user without events for that time has no state. Each batch is worked through in order of time; events of a
+    later batch that belong before known ones count those of their own window only.
     On a batch the same result comes from a range window; ``tests`` hold both against each other.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(zip(*state.get, strict=True)) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        times, amounts = (np.array(x, dtype=float) for x in (state.get if state.exists else ([], [])))
         for frame in frames:
-            out = []
-            for row in frame.sort_values(["ts", "event_id"]).itertuples():
-                now = row.ts.timestamp()
-                held = [(t, v) for t, v in held if t >= now - window_seconds]
-                held.append((now, row.value))
-                total = sum(v for _, v in held)
-                out.append((key[0], row.event_id, round(total, 4), total <= limit))
-            yield pd.DataFrame(out, columns=["user_id", "event_id", "spent", "fits"])
-        state.update(([t for t, _ in held], [float(v) for _, v in held]))
-
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, event_id bigint, spent double, fits boolean", "t array<double>, v array<double>", "append", GroupStateTimeout.NoTimeout)
+            rows = frame.sort_values(["ts", "event_id"])
+            now, spent = rows["ts"].astype("int64").to_numpy() / _per_second(rows["ts"]), rows["value"].to_numpy(float)
+            joined, value = np.concatenate([times, now]), np.concatenate([amounts, spent])
+            order = np.argsort(joined, kind="stable")
+            joined, value = joined[order], value[order]
+            sums = np.concatenate([[0.0], np.cumsum(value)])
+            place = np.argsort(order, kind="stable")[len(times) :]
+            total = np.round(sums[place + 1] - sums[np.searchsorted(joined, now - window_seconds, side="left")], 4)
+            yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"].to_numpy(), "spent": total, "fits": total <= limit})
+            times, amounts = joined, value
+        seen = state.getCurrentWatermarkMs() / 1000
+        needed = times >= max(seen, 0) - window_seconds if len(times) else np.zeros(0, bool)
+        times, amounts = times[needed], amounts[needed]
+        state.update((times.tolist(), amounts.tolist()))
+        if len(times):
+            state.setTimeoutTimestamp(int(max(times[-1] + window_seconds + late_seconds, seen + 1) * 1000))
+
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", f"{late_seconds} seconds")
+    return timed.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, event_id bigint, spent double, fits boolean", "t array<double>, v array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _per_second(times: pd.Series) -> float:
+    """Units of a column's integers in a second."""
+    unit = getattr(times.dtype, "unit", "ns")
+    return {"s": 1.0, "ms": 1e3, "us": 1e6, "ns": 1e9}[unit]
+
+
+def watch(events: DataFrame, checks: dict[str, Callable[[DataFrame], DataFrame]], emit: Callable[[DataFrame, int], None], checkpoint: str, key: str = "entity_id"):
+    """Starts a query that runs checks over the owners each micro-batch touches, and emits what they find.
+
+    ``checks``: name -> function from a frame of owners (``key``) to rows with ``key`` and ``id``. ``emit`` gets one
+    frame per batch: (key, check, id) for every finding and a row with a null id and the number of findings per
+    owner; owners without findings get a row with 0. A batch that fails is run again with the same number.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        owners = batch.select(key).where(F.col(key).isNotNull()).distinct().persist()
+        try:
+            found = [check(owners).select(key, F.lit(name).alias("check"), F.col("id").cast("string").alias("id")) for name, check in checks.items()]
+            rows = found[0]
+            for part in found[1:]:
+                rows = rows.unionByName(part)
+            counts = owners.join(rows.groupBy(key).agg(F.count("*").alias("n")), key, "left").select(key, F.lit("all").alias("check"), F.lit(None).cast("string").alias("id"), F.coalesce("n", F.lit(0)).alias("n"))
+            emit(rows.withColumn("n", F.lit(1).cast("bigint")).unionByName(counts), number)
+        finally:
+            owners.unpersist()
+
+    return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)

@@ -55,3 +55,27 @@ def test_fan_out_reaches_handlers_once(spark, parts, tmp_path):
     query.trigger(availableNow=True).start().awaitTermination(120)
     assert sum(seen) == events.where("event_type = 'click'").count()
     assert sum(every) == events.count()
+
+
+def test_watch_checks_the_owners_of_each_batch(spark, parts, tmp_path):
+    folder, events = parts
+    got = []
+    owed = events.select(F.col("user_id").alias("entity_id"), F.col("event_id").alias("id"), "event_type")
+    checks = {"errors": lambda owners: owed.where("event_type = 'error'").join(owners, "entity_id", "left_semi"), "none": lambda owners: owed.where("false")}
+    stream = windows.events_stream(spark, folder, events.schema, 4).withColumnRenamed("user_id", "entity_id")
+    windows.watch(stream, checks, lambda df, n: got.extend(df.collect()), str(tmp_path / "watch")).trigger(availableNow=True).start().awaitTermination(120)
+    assert sum(r.check == "errors" for r in got) == events.where("event_type = 'error'").count()
+    assert sum(r.n for r in got if r.check == "all") == events.where("event_type = 'error'").count()
+    assert {r.entity_id for r in got if r.check == "all"} == {r[0] for r in events.select("user_id").distinct().collect()}
+
+
+def test_late_events_within_the_watermark_count(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    files = [[(1, 1, start, 5.0), (2, 1, start + timedelta(seconds=100), 7.0)], [(3, 1, start + timedelta(seconds=50), 1.0)], [(4, 1, start + timedelta(seconds=120), 2.0)]]
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts timestamp_ntz, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    got = {(e, s) for _, e, s, _ in run(spark, windows.budget(windows.events_stream(spark, str(tmp_path / "in"), schema, 1), 10.0, 60), tmp_path, "late")}
+    assert (1, 5.0) in got and len(got) == 4
