@@ -62,5 +62,6 @@ def distance(a: Column, b: Column) -> Column:
 
 def normalised(a: Column) -> Column:
     """The vector with length 1; null for a zero vector or numbers that aren't finite."""
-    size = F.sqrt(dot(a, a))
-    return F.when((size > 0) & (size < float("inf")), F.transform(a, lambda x: x.cast("double") / size))
+    # the length is bound by a lambda: written inside the inner one it would be computed once per element
+    scaled = F.transform(F.array(F.sqrt(dot(a, a))), lambda s: F.when((s > 0) & (s < float("inf")), F.transform(a, lambda x: x.cast("double") / s)))
+    return F.element_at(scaled, 1)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from memlode.functions.columns import at, cosine
+from memlode.functions.columns import at, cosine, normalised
 from memlode.operators import scoring
 from memlode.operators.filters import has_any_tag
 
@@ -147,9 +147,9 @@ def _pairs(threshold: float, top: int | None, one_side: bool):
 
 
 def _units(rows: DataFrame, group: str) -> DataFrame:
-    size = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    sound = rows.where(F.col("embedding").isNotNull() & F.col(group).isNotNull()).select("id", F.col(group).alias("_g"), "embedding", size.alias("_size"), F.size("embedding").alias("_dims")).where((F.col("_size") > 0) & (F.col("_size") < float("inf")))
-    return sound.select("id", "_g", "_dims", F.transform("embedding", lambda x: x.cast("double") / F.col("_size")).alias("_unit"))
+    rows = rows.where(F.col("embedding").isNotNull() & F.col(group).isNotNull())
+    # a generator computes the vector once; a filter on it would be pushed down and compute it again
+    return rows.select("id", F.col(group).alias("_g"), F.size("embedding").alias("_dims"), F.explode(F.array_compact(F.array(normalised(F.col("embedding"))))).alias("_unit"))
 
 
 def _placed(units: DataFrame, block: int) -> DataFrame:
