@@ -196,10 +196,10 @@ def ball_pairs(table: DataFrame, radius: int = 2, bits: int = 64) -> DataFrame:
 
 def verified(pairs: DataFrame, table: DataFrame, similarity: float) -> DataFrame:
     """Pairs of kinds (a, b) of one group and different records whose distinct shingles overlap in ``similarity`` of the union or more; ``pairs`` of their 64-bit hashes."""
-    pairs = kept(pairs, "pairs")  # narrow; as its size is known, the texts it needs are picked without a shuffle as long as it is small
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("_h")).distinct()
-    # texts are shuffled once: the same partitions serve to drop copies and for both sides of the join
-    texts = table.select(F.xxhash64("kind").alias("_h"), "kind", "owner", "plain", "grams").join(ends, "_h", "left_semi").repartition("_h").dropDuplicates(["_h", "kind"])
+    pairs = kept(pairs, "pairs")  # narrow: two numbers each
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("_h")).distinct().hint("merge")  # its size has no bound: never broadcast
+    # texts are shuffled once: the same partitions serve to pick those in pairs, to drop copies and for both sides of the join
+    texts = table.select(F.xxhash64("kind").alias("_h"), "kind", "owner", "plain", "grams").join(ends, "_h", "left_semi").dropDuplicates(["_h", "kind"])
     left, right = [texts.select(F.col("_h").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("kind", "owner", "plain", "grams")]) for x in "ab"]
     both = F.size(F.array_intersect("grams_a", "grams_b"))
     joined = pairs.join(left, "a").join(right, "b").where("owner_a = owner_b and plain_a <> plain_b")
