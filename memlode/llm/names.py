@@ -3,7 +3,8 @@
 Every spelling of an entity (its name, aliases and mentions) is cut into tokens, and the tokens' suffixes are the
 blocks. A suffix that too many entities share is refined by the neighbouring token; none is discarded. Pairs that meet are compared by the
 ratio of the longest common subsequence of their surnames (or of the organisations' own words), and by whether
-the given names (or the lines of business) can be the same. Links are closed transitively per owner.
+the given names (or the lines of business) can be the same. Links are closed transitively per owner. Organisations'
+names of three letters or fewer ('IBM', but 'HQ' too) link nothing that whole names keep apart (``_settled``).
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from memlode.operators.graph import components
 from memlode.runtime import kept
 from memlode.sources.parquet import newest
 
-# Fixed values, from general knowledge: words that open a role instead of a name; titles; legal forms; lines of business and their short forms.
+# Fixed values, from general knowledge: words that open a role instead of a name; words that are a role alone; titles; legal forms; lines of business and their short forms.
 DETERMINERS = {"the", "my", "our", "that", "this", "his", "her", "their", "your"}
+ROLES = {"hq", "headquarters", "office", "client", "customer", "vendor", "supplier"}
 TITLES = {"dr", "mr", "mrs", "ms", "miss", "prof", "professor", "herr", "frau", "sr", "sra", "mme"}
 LEGAL = {"inc", "incorporated", "llc", "ltd", "limited", "gmbh", "plc", "corp", "corporation", "co", "company", "sa", "ag", "bv", "pty"}
 BUSINESS = {
@@ -61,9 +63,9 @@ def _tokens(form: str) -> list[str]:
 
 
 def is_role(form: str) -> bool:
-    """'the landlord', 'my sister': a determiner and no more than two words in all."""
+    """'the landlord', 'my sister': a determiner and no more than two words in all; 'HQ': a role alone."""
     t = _tokens(form)
-    return not t or t[0] in DETERMINERS and len(t) <= 2
+    return not t or t[0] in DETERMINERS and len(t) <= 2 or len(t) == 1 and t[0] in ROLES
 
 
 def person(form: str, known: dict[str, set[str]]) -> set[tuple[str, str]]:
@@ -160,11 +162,19 @@ class Comparer:
                 parsed = set().union(*(person(f, self.known) for f in forms))
                 self.cache[key] = ({(g, s) for g, s in parsed if g}, {s for g, s in parsed if not g and s not in self.known})
             else:
-                self.cache[key] = ({organisation(f) for f in forms},)
+                read = {f: organisation(f) for f in forms}
+                whole = [[w for w in _tokens(f) if w not in LEGAL and w not in ("and", "the")] for f, (_, own) in read.items() if len(own) > 3]
+                self.cache[key] = (set(read.values()), whole)
         return self.cache[key]
 
     def same(self, kind: str, a: tuple, b: tuple) -> bool:
-        return self._persons(a, b) if kind == "person" else self._organisations(a[0], b[0])
+        return bool(self.links(kind, a, b))
+
+    def links(self, kind: str, a: tuple, b: tuple) -> list[tuple[str | None, bool, bool]]:
+        """What links two entities: (None, ..) if nothing else is needed, else each short name they share and which of the two have a whole name beside it."""
+        if kind == "person":
+            return [(None, False, False)] if self._persons(a, b) else []
+        return [(None, False, False)] if self._organisations(a[0], b[0]) else self._short_names(a, b)
 
     def _persons(self, a: tuple, b: tuple) -> bool:
         """One surname in common, and given names under it that may be one: whole ones decide, cut ones only where a side has no whole one."""
@@ -191,10 +201,25 @@ class Comparer:
             for other_lines, other in b:
                 if not own or not (lines & other_lines or not lines and not other_lines):
                     continue
-                if own == other or len(own) > 3 and len(other) > 3 and ratio(own, other) >= self.least + 0.05:  # short names: only equal ones
+                if len(own) > 3 and len(other) > 3 and ratio(own, other) >= self.least + 0.05:
                     return True
         return False
 
+    def _short_names(self, a: tuple, b: tuple) -> list[tuple[str | None, bool, bool]]:
+        """Equal names of three letters or fewer. Whole names that aren't alike deny them, unless the short name is the initials of both."""
+        got: set[tuple[str | None, bool, bool]] = set()
+        for lines, own in a[0]:
+            for other_lines, other in b[0]:
+                if not own or own != other or len(own) > 3 or not (lines & other_lines or not lines and not other_lines):
+                    continue
+                told_a, told_b = (any(own not in words for words in side[1]) for side in (a, b))
+                initials = all(any("".join(w[0] for w in words) == own for words in side[1]) for side in (a, b))
+                if initials or all({o for _, o in side[0]} == {own} for side in (a, b)):
+                    return [(None, False, False)]
+                if not (told_a and told_b):
+                    got.add((f"{own} {min(lines & other_lines, default='')}", told_a, told_b))
+        return sorted(got)
+
 
 def _name_tokens(known: dict[str, set[str]]):
     """Tokens of each entity to be indexed, with the first letters of the tokens beside them."""
@@ -224,13 +249,33 @@ def _judge(known: dict[str, set[str]], least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         comparer = Comparer(known, least)
         for batch in batches:
-            keep = [comparer.same(k, comparer.read(a, k, list(fa)), comparer.read(b, k, list(fb))) for k, a, b, fa, fb in zip(batch["type"], batch["a"], batch["b"], batch["fa"], batch["fb"], strict=True)]
-            chosen = np.array(keep, dtype=bool)
-            yield pd.DataFrame({c: batch[c].to_numpy(object)[chosen] for c in ("a", "b")})
+            rows = []
+            for kind, owner, a, b, fa, fb in zip(*(batch[c] for c in ("type", "owner", "a", "b", "fa", "fb")), strict=True):
+                rows += [(owner, a, b, *link) for link in comparer.links(kind, comparer.read(a, kind, list(fa)), comparer.read(b, kind, list(fb)))]
+            yield pd.DataFrame(rows, columns=["owner", "a", "b", "name", "told_a", "told_b"]).astype({"owner": object, "a": object, "b": object, "name": object, "told_a": bool, "told_b": bool})
 
     return run
 
 
+def _settled(links: DataFrame) -> DataFrame:
+    """(id, root) of links (owner, a, b, name, told_a, told_b): those without a name first, then those by a short name.
+
+    A short name links whoever bears it in an owner if the entities that have whole names beside it (told) are one by
+    now. If they are several, it is a role ('HQ') or means several organisations, and links nothing.
+    """
+    roots = components(links.where("name is null").select("a", "b"))
+    short = links.where("name is not null")
+    if short.isEmpty():
+        return roots
+    ends = short.select("owner", "name", F.col("a").alias("id"), F.col("told_a").alias("told")).unionByName(short.select("owner", "name", F.col("b").alias("id"), F.col("told_b").alias("told"))).distinct()
+    ends = kept(ends.join(roots, "id", "left").select("owner", "name", F.coalesce("root", "id").alias("a"), "told"), "short")
+    told = F.when(F.col("told"), F.col("a"))
+    clear = ends.groupBy("owner", "name").agg(F.min(told).alias("low"), F.max(told).alias("high"), F.min("a").alias("b")).where("low is null or low = high")
+    joined = components(ends.join(clear, ["owner", "name"]).select("a", "b").where("a <> b").distinct())
+    nodes = roots.unionByName(joined.select("id", F.col("id").alias("root"))).distinct()
+    return nodes.join(joined.select(F.col("id").alias("root"), F.col("root").alias("_top")), "root", "left").select("id", F.coalesce("_top", "root").alias("root"))
+
+
 def spellings(entities: DataFrame, mentions: DataFrame, types: tuple[str, ...] = ("person", "organization")) -> DataFrame:
     """(id, owner, type, forms): the newest row of each entity with all distinct spellings; each (entity, spelling) pair is made distinct before spellings are gathered."""
     rows = newest(entities.select("id", "owner_entity_id", "type", "canonical_name", "aliases", "updated_at"), "id", ["owner_entity_id", "type", "canonical_name", "aliases"], ["updated_at"])
@@ -268,8 +313,8 @@ def linked(entities: DataFrame, mentions: DataFrame, names: dict[str, set[str]]
     blocks = plain_keys.unionByName(longer.where(F.col("m") <= common).select("id", "key")).unionByName(refined).distinct()
     pairs = blocks.select(F.col("id").alias("a"), "key").join(blocks.select(F.col("id").alias("b"), "key"), "key").where("a < b").select("a", "b").distinct()
     left, right = base.select(F.col("id").alias("a"), "owner", "type", F.col("forms").alias("fa")), base.select(F.col("id").alias("b"), F.col("owner").alias("_owner"), F.col("type").alias("_type"), F.col("forms").alias("fb"))
-    judged = pairs.join(left, "a").join(right, "b").where("owner = _owner and type = _type").select("type", "a", "b", "fa", "fb")
-    return components(kept(judged.mapInPandas(_judge(known, least), "a string, b string"), "links"))
+    judged = pairs.join(left, "a").join(right, "b").where("owner = _owner and type = _type").select("type", "owner", "a", "b", "fa", "fb")
+    return _settled(kept(judged.mapInPandas(_judge(known, least), "owner string, a string, b string, name string, told_a boolean, told_b boolean"), "links"))
 
 
 def same_pairs(groups: DataFrame) -> DataFrame:

@@ -228,6 +228,23 @@ def test_short_organisations(a, b, same):
     assert bool(set(made[made.id == "a"].token.str[-4:]) & set(made[made.id == "b"].token.str[-4:])) or not same
 
 
+def test_short_names_of_several_organisations(spark):
+    """'HQ' and short names that aren't in any list link nothing that whole names keep apart, not even by way of an entity without one."""
+    from datetime import datetime
+
+    firms = {
+        "u1": [("a1", "Hedzov Fivlex Foods", ["HQ"]), ("a2", "Besneg Fivrud Aviation", ["hq"]), ("a3", "Danbes Tisvod Foods", ["HQ"]), ("a4", "Hedzov Fivlex Foods Ltd", None)],
+        "u2": [("b1", "Hedzov Fivlex Foods", ["XQ", "HFF"]), ("b2", "Besneg Tisrud Aviation", ["X.Q."]), ("b3", "KLM", ["XQ"]), ("b4", "HFF", ["XQ"]), ("b5", "K.L.M. Inc", None), ("b6", "Besneg Tisrud Avn", None)],
+        "u3": [("c1", "International Business Machines", ["IBM"]), ("c2", "I.B.M. Corp.", ["HQ"]), ("c3", "Intl. Bus. Machines", ["IBM"]), ("c4", "IBM", None), ("c5", "Vitsir Tismep Bank", ["HQ"])],
+        "u4": [("d1", "SAP", ["SAP Deutschland"]), ("d2", "SAP AG", ["SAP Walldorf"]), ("d3", "ABC", ["Rapkig Fivfub"]), ("d4", "A.B.C.", ["Sebpax Negvit"]), ("d5", "ABC", None), ("d6", "ABC Ltd", None)],
+    }
+    schema = "id string, owner_entity_id string, type string, canonical_name string, aliases array<string>, updated_at timestamp_ntz"
+    entities = spark.createDataFrame([(i, owner, "organization", name, more, datetime(2024, 1, 1)) for owner, rows in firms.items() for i, name, more in rows], schema)
+    mentions = spark.createDataFrame([("a3", "the office"), ("a2", "HQ")], "entity_id string, mention_text string")
+    groups = linked(entities, mentions)
+    assert {r.id: r.root for r in groups.collect()} == {"a1": "a1", "a4": "a1", "b1": "b1", "b4": "b1", "b2": "b2", "b6": "b2", "b3": "b3", "b5": "b3"} | dict.fromkeys(("c1", "c2", "c3", "c4"), "c1") | {"d1": "d1", "d2": "d1", "d5": "d5", "d6": "d5"}
+
+
 @pytest.mark.parametrize(("a", "b", "same"), [("David Thompson", "D. Thompson", True), ("David Thompson", "Thompson David", True), ("David Thompson", "Dave Thompson", True), ("George Baker", "Baker George", True), ("Oyelaran Adebisi", "Adebisi, O.", True), ("Oyelaran Adebisi", "Adebisi Oyelarn", True), ("David Thompson", "Mary Thompson", False), ("Oyelaran Adebisi", "Temitope Adebisi", False), ("David Mark", "Mark Peters", False), ("D. Thompson", "M. Thompson", False)])
 def test_names_without_fixed_places(a, b, same):
     c = Comparer(full_names(), 0.8)
